@@ -57,3 +57,13 @@ def not_nan(value: Column) -> Column:
 def larger(x: Column, y: Column) -> Column:
     """Larger of two values; null when either is null."""
     return F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y))
+
+
+def half_even(value: Column, places: int) -> Column:
+    """Round the scaled double half to even, as array libraries do.
+
+    F.round works on the shortest decimal text and sends ties away from zero;
+    price targets sit on half paise often enough for that to show.
+    """
+    scale = F.lit(float(10**places))
+    return F.rint(value.cast("double") * scale) / scale

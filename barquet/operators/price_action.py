@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS
-from barquet.functions.predicates import all_of, b, change, clip, flag, ratio
+from barquet.functions.predicates import all_of, b, change, clip, flag, half_even, ratio
 from barquet.functions.windows import (
     asof_backward, lag, resample_last, roll, series, week_label,
 )
@@ -97,7 +97,7 @@ def price_action_score(df: DataFrame) -> DataFrame:
         (C("pa_extension_ok") >= 1, r.score_extension),
     )
     score = sum((flag(test) * F.lit(float(points)) for test, points in parts), F.lit(0.0))
-    return df.withColumn("pa_score", F.round(score, 1)).withColumn(
+    return df.withColumn("pa_score", half_even(score, 1)).withColumn(
         "pa_signal", flag(b(C("pa_score") >= r.min_signal_score) & weekly)
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, PRESETS, SCREEN_FIELDS, VALUE_WORDS
-from barquet.functions.predicates import all_of, b, flag, larger
+from barquet.functions.predicates import all_of, b, flag, half_even, larger
 from barquet.operators.signals import weighted_score
 
 C = F.col
@@ -233,7 +233,7 @@ def safe_exit(df: DataFrame) -> DataFrame:
     """Price at which leaving loses nothing: the higher of pivot and stop."""
     return df.withColumn(
         "safe_exit_price",
-        F.round(larger(C("pivot_price"), C("trailing_stop_price")), 2),
+        half_even(larger(C("pivot_price"), C("trailing_stop_price")), 2),
     )
 
 

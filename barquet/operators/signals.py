@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import COMPOSITE_WEIGHTS, DEFAULTS
-from barquet.functions.predicates import all_of, b, change, clip, flag, ratio
+from barquet.functions.predicates import all_of, b, change, clip, flag, half_even, ratio
 from barquet.functions.scalars import with_suffix
 from barquet.functions.windows import lag, roll, series, streak
 from barquet.schemas import require
@@ -176,10 +176,10 @@ def pivot_levels(df: DataFrame) -> DataFrame:
         }
     ).withColumns(
         {
-            "pivot_price": F.round("__pivot", 2),
-            "base_low_price": F.round("__base", 2),
-            "distance_from_pivot_pct": F.round(change(C("close_price"), C("__pivot")) * 100, 2),
-            "distance_from_52w_high_pct": F.round(change(C("close_price"), C("high_52w")) * 100, 2),
+            "pivot_price": half_even(C("__pivot"), 2),
+            "base_low_price": half_even(C("__base"), 2),
+            "distance_from_pivot_pct": half_even(change(C("close_price"), C("__pivot")) * 100, 2),
+            "distance_from_52w_high_pct": half_even(change(C("close_price"), C("high_52w")) * 100, 2),
         }
     )
 
@@ -235,7 +235,7 @@ def relative_strength(df: DataFrame) -> DataFrame:
     return df.withColumn("__own", own).withColumns(
         {
             "rs_signal": flag(C("__own") > C("__index_return")),
-            "rs_value": F.round((C("__own") - C("__index_return")) * 100, 2),
+            "rs_value": half_even((C("__own") - C("__index_return")) * 100, 2),
         }
     ).drop("__own")
 
@@ -298,7 +298,7 @@ def weighted_score(weights: dict[str, int], digits: int) -> Column:
          for s, w in weights.items()),
         F.lit(0.0),
     )
-    return F.round(points / F.lit(float(total)) * 100, digits)
+    return half_even(points / F.lit(float(total)) * 100, digits)
 
 
 def composite(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS
-from barquet.functions.predicates import b, clip, flag, larger, ratio
+from barquet.functions.predicates import b, clip, flag, half_even, larger, ratio
 
 C = F.col
 R = DEFAULTS.targets
@@ -21,11 +21,11 @@ def price_targets(df: DataFrame) -> DataFrame:
     staged = df.withColumn("__p", F.nullif("pivot_price", F.lit(0.0))).withColumn(
         "__range", clip(C("__p") - C("base_low_price"), 0.0)
     )
-    out = {"base_range_pct": F.round(ratio(C("__range"), C("__p")) * 100, 2)}
+    out = {"base_range_pct": half_even(ratio(C("__range"), C("__p")) * 100, 2)}
     for n, multiple in ((1, R.t1), (2, R.t2), (3, R.t3)):
         price = _target(multiple)
-        out[f"target_{n}_price"] = F.round(price, 2)
-        out[f"target_{n}_pct"] = F.round((ratio(price, C("close_price")) - 1) * 100, 2)
+        out[f"target_{n}_price"] = half_even(price, 2)
+        out[f"target_{n}_pct"] = half_even((ratio(price, C("close_price")) - 1) * 100, 2)
     return staged.withColumns(out)
 
 
@@ -51,10 +51,10 @@ def trailing_stop(df: DataFrame) -> DataFrame:
     """
     close, t1, t2 = C("close_price"), _target(R.t1), _target(R.t2)
     support = clip(close - F.coalesce(C("atr_14"), F.lit(0.0)) * R.atr_multiple, 0.0)
-    under_pivot = F.round(C("__p") * (1 - R.stop_loss), 2)
+    under_pivot = half_even(C("__p") * (1 - R.stop_loss), 2)
     level = (
-        F.when(b(close > t2), F.round(t2 * R.stop_below_target, 2))
-        .when(b(close > t1), F.round(t1 * R.stop_below_target, 2))
+        F.when(b(close > t2), half_even(t2 * R.stop_below_target, 2))
+        .when(b(close > t1), half_even(t1 * R.stop_below_target, 2))
         .when(
             b((close >= t1 * R.near_t1) & (close <= t1))
             | b((close >= C("__p")) & (close < t1 * R.near_t1)) | b(close < C("__p")),
@@ -63,7 +63,7 @@ def trailing_stop(df: DataFrame) -> DataFrame:
     )
     return df.withColumn(
         "trailing_stop_price",
-        F.when(C("__p").isNotNull(), F.round(larger(level, support), 2)),
+        F.when(C("__p").isNotNull(), half_even(larger(level, support), 2)),
     )
 
 
@@ -81,15 +81,15 @@ def upside(df: DataFrame) -> DataFrame:
         (age > R.late_days, R.prob_late_stage2),
     )
     raw = sum((flag(t) * F.lit(p) for t, p in points), F.lit(R.base_prob))
-    prob = F.round(clip(raw, R.min_prob, R.max_prob), 1)
+    prob = half_even(clip(raw, R.min_prob, R.max_prob), 1)
     staged = df.withColumn("__prob", prob)
     share = C("__prob") / 100
     value = share * C("target_2_pct") - (F.lit(1.0) - share) * F.lit(stop)
     return staged.withColumns(
         {
-            "risk_reward_t2": F.round(C("target_2_pct") / F.lit(stop), 2),
+            "risk_reward_t2": half_even(C("target_2_pct") / F.lit(stop), 2),
             "upside_prob_pct": F.when(C("__p").isNotNull(), C("__prob")),
-            "ev_score": F.round(value, 2),
+            "ev_score": half_even(value, 2),
         }
     ).drop("__prob")
 
