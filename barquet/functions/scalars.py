@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, SYMBOL_SUFFIX
-from barquet.functions.predicates import ratio
+from barquet.functions.predicates import half_even, ratio
 
 # Marks removed from, and markers meaning "no value" in, scraped numbers.
 NUMBER_NOISE = "[,₹%\u00a0]|Cr"
@@ -62,7 +62,7 @@ def cagr(values: Column, years: int) -> Column:
     """Compound yearly growth in percent over the last `years` steps."""
     end, start = from_end(values, 1), from_end(values, years + 1)
     growth = (F.pow(ratio(end, start), F.lit(1.0 / years)) - 1) * 100
-    return F.when((start > 0) & (end > 0), F.round(growth, 2))
+    return F.when((start > 0) & (end > 0), half_even(growth, 2))
 
 
 def eps_accelerating(values: Column) -> Column:

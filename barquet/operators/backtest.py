@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, ENTRY_SIGNALS, UNKNOWN_REGIME
-from barquet.functions.predicates import b, ratio
+from barquet.functions.predicates import b, half_even, ratio
 from barquet.session import materialize, small_side
 
 C = F.col
@@ -143,20 +143,20 @@ def trade_exits(
     )
     return priced.select(
         *key,
-        F.round("entry_price", 2).alias("entry_price"),
+        half_even(C("entry_price"), 2).alias("entry_price"),
         "exit_date",
-        F.round("__exit", 2).alias("exit_price"),
+        half_even(C("__exit"), 2).alias("exit_price"),
         trade_return(C("entry_price"), C("__exit")).alias("return_pct"),
         F.datediff("exit_date", "entry_date").alias("holding_days"),
         "exit_reason",
-        F.round("composite_score", 1).alias("composite_score"),
+        half_even(C("composite_score"), 1).alias("composite_score"),
         "regime",
     )
 
 
 def trade_return(entry: Column, exit_price: Column) -> Column:
     """Return of a trade in percent, three places."""
-    return F.round((ratio(exit_price, entry) - 1.0) * 100.0, 3)
+    return half_even((ratio(exit_price, entry) - 1.0) * 100.0, 3)
 
 
 # ------------------------------------------------------------------ metrics
@@ -217,7 +217,7 @@ def equity_curve(trades: DataFrame) -> DataFrame:
 def max_drawdown(curve: DataFrame) -> DataFrame:
     """Deepest drawdown per strategy, not below -100 %."""
     return curve.groupBy("strategy").agg(
-        F.round(F.greatest(F.min("drawdown_pct"), F.lit(-100.0)), 2).alias("max_drawdown_pct")
+        half_even(F.greatest(F.min("drawdown_pct"), F.lit(-100.0)), 2).alias("max_drawdown_pct")
     )
 
 
@@ -238,26 +238,26 @@ def performance(trades: DataFrame) -> DataFrame:
     )
     pain = F.abs(F.coalesce("__pain", F.lit(0.0)))
     factor = F.when(
-        pain > 0, F.round(F.coalesce("__gain", F.lit(0.0)) / F.nullif(pain, F.lit(0.0)), 2)
+        pain > 0, half_even(F.coalesce("__gain", F.lit(0.0)) / F.nullif(pain, F.lit(0.0)), 2)
     ).otherwise(F.lit(float("inf")))
     per_year = F.lit(float(R.trading_days)) / F.greatest(C("__hold"), F.lit(1.0))
     sharpe = F.when(C("__std") > 0, ratio(C("__avg"), C("__std")) * F.sqrt(per_year)).otherwise(
         F.lit(0.0)
     )
-    rounded = lambda c, d: F.round(F.coalesce(C(c), F.lit(0.0)), d)
+    rounded = lambda c, d: half_even(F.coalesce(C(c), F.lit(0.0)), d)
     return base.select(
         "strategy", "total_trades",
-        F.round(C("__wins") / C("total_trades") * 100.0, 1).alias("win_rate"),
+        half_even(C("__wins") / C("total_trades") * 100.0, 1).alias("win_rate"),
         rounded("__avg", 2).alias("avg_return_pct"),
         rounded("__win", 2).alias("avg_win_pct"),
         rounded("__loss", 2).alias("avg_loss_pct"),
         factor.alias("profit_factor"),
-        F.round(sharpe, 2).alias("sharpe_ratio"),
+        half_even(sharpe, 2).alias("sharpe_ratio"),
         rounded("__total", 2).alias("total_return_pct"),
         "stop_count", "target_count", "timeout_count",
-        F.round("__best", 2).alias("best_trade_pct"),
-        F.round("__worst", 2).alias("worst_trade_pct"),
-        F.round("__hold", 1).alias("avg_holding_days"),
+        half_even(C("__best"), 2).alias("best_trade_pct"),
+        half_even(C("__worst"), 2).alias("worst_trade_pct"),
+        half_even(C("__hold"), 1).alias("avg_holding_days"),
     )
 
 
@@ -273,8 +273,8 @@ def regime_performance(trades: DataFrame) -> DataFrame:
     r = F.coalesce("return_pct", F.lit(0.0))
     return trades.groupBy("strategy", "regime").agg(
         F.count("*").alias("count"),
-        F.round(F.avg((r > 0).cast("double")) * 100, 1).alias("win_rate"),
-        F.round(F.avg(r), 2).alias("avg_return_pct"),
+        half_even(F.avg((r > 0).cast("double")) * 100, 1).alias("win_rate"),
+        half_even(F.avg(r), 2).alias("avg_return_pct"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, UNKNOWN_REGIME
-from barquet.functions.predicates import b
+from barquet.functions.predicates import half_even
 from barquet.functions.scalars import score_bucket
 from barquet.session import small_side
 
@@ -63,7 +63,7 @@ def confidence_model(
     """Hit rates by score bucket and market regime, thin cells left out."""
     hits = target_hits(calibration_entries(signals, as_of), forward_highs(bars))
     regimes = environment.select("trade_date", C("market_state").alias("market_regime"))
-    rates = {t: F.round(F.avg(f"hit_{t}") * 100, 1).alias(f"hit_rate_{t}") for t, _ in HORIZONS}
+    rates = {t: half_even(F.avg(f"hit_{t}") * 100, 1).alias(f"hit_rate_{t}") for t, _ in HORIZONS}
     return (
         hits.join(small_side(regimes), "trade_date", "left")
         .withColumn("market_regime", F.coalesce("market_regime", F.lit(UNKNOWN_REGIME)))
@@ -102,7 +102,7 @@ def apply_confidence(signals_on_day: DataFrame, model: DataFrame, regime: str |
 
     def confidence(i: int) -> Column:
         name = names[i]
-        return F.round(
+        return half_even(
             F.coalesce(C(f"__exact.{name}"), C(f"__any.{name}"), derived[i]), 1
         )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.config import FUNDAMENTAL_FILTERS
-from barquet.functions.predicates import b, flag
+from barquet.functions.predicates import b, flag, half_even
 from barquet.functions.scalars import cagr, clean_number, eps_accelerating
 
 C = F.col
@@ -75,7 +75,7 @@ def pivot_facts(facts: DataFrame) -> DataFrame:
 
 def debt_to_equity(borrowings: Column, equity: Column, reserves: Column) -> Column:
     worth = equity + reserves
-    return F.when(worth > 0, F.round(F.try_divide(borrowings, worth), 2))
+    return F.when(worth > 0, half_even(F.try_divide(borrowings, worth), 2))
 
 
 def quality_score(filters: Mapping[str, float] | None = None) -> Column:

@@ -189,7 +189,7 @@ FROM facts_n GROUP BY symbol"""
 
 def _cagr(v: str) -> str:
     return (f"CASE WHEN len({v}) >= 4 AND {v}[-4] > 0 AND {v}[-1] > 0 "
-            f"THEN round((pow({v}[-1] / {v}[-4], 1.0::DOUBLE / 3) - 1) * 100, 2) END")
+            f"THEN round_even((pow({v}[-1] / {v}[-4], 1.0::DOUBLE / 3) - 1) * 100, 2) END")
 
 
 def _yoy(k: int) -> str:
@@ -197,7 +197,7 @@ def _yoy(k: int) -> str:
 
 
 CTE["fund1"] = f"""
-SELECT *, CASE WHEN worth > 0 THEN round(borrowings / worth, 2) END AS debt_to_equity,
+SELECT *, CASE WHEN worth > 0 THEN round_even(borrowings / worth, 2) END AS debt_to_equity,
        {_cagr('sales')} AS sales_growth_3yr, {_cagr('profit')} AS profit_growth_3yr,
        CASE WHEN len(eps_q) >= 8 AND eps_q[-5] > 0 AND eps_q[-6] > 0 AND eps_q[-7] > 0
             THEN {_yoy(3)} < {_yoy(2)} AND {_yoy(2)} < {_yoy(1)} END AS eps_acceleration
@@ -397,10 +397,10 @@ SELECT *, CASE exit_reason WHEN 'STOP' THEN stopped WHEN 'TARGET' THEN reached E
        CASE exit_reason WHEN 'STOP' THEN ep * (1.0::DOUBLE - {stop}::DOUBLE)
             WHEN 'TARGET' THEN ep * (1.0::DOUBLE + {target}::DOUBLE) ELSE last_close END AS xp FROM ({picked})"""
     return f"""
-SELECT strategy, symbol, entry_date, round(ep, 2) AS entry_price, exit_date,
-       round(xp, 2) AS exit_price, round((xp / ep - 1.0) * 100.0, 3) AS return_pct,
+SELECT strategy, symbol, entry_date, round_even(ep, 2) AS entry_price, exit_date,
+       round_even(xp, 2) AS exit_price, round_even((xp / ep - 1.0) * 100.0, 3) AS return_pct,
        CAST(exit_date - entry_date AS INTEGER) AS holding_days, exit_reason,
-       round(cs, 1) AS composite_score, regime FROM ({priced})"""
+       round_even(cs, 1) AS composite_score, regime FROM ({priced})"""
 
 
 from barquet.config import STRATEGIES  # noqa: E402
@@ -427,8 +427,8 @@ FROM cal_entries c LEFT JOIN bars b ON b.symbol = c.symbol AND b.trade_date > c.
 GROUP BY 1, 2, 3"""
 CTE["confidence"] = """
 SELECT h.score_bucket, coalesce(e.market_state, 'UNKNOWN') AS market_regime, count(*) AS sample_count,
-       round(avg(hit_t1) * 100, 1) AS hit_rate_t1, round(avg(hit_t2) * 100, 1) AS hit_rate_t2,
-       round(avg(hit_t3) * 100, 1) AS hit_rate_t3
+       round_even(avg(hit_t1) * 100, 1) AS hit_rate_t1, round_even(avg(hit_t2) * 100, 1) AS hit_rate_t2,
+       round_even(avg(hit_t3) * 100, 1) AS hit_rate_t3
 FROM cal_hits h LEFT JOIN environment e ON e.trade_date = h.trade_date
 GROUP BY 1, 2 HAVING count(*) >= 30"""
 
