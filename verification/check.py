@@ -48,27 +48,28 @@ def rows_of(names, rows):
 
 
 def compare(df, con, sql):
+    """(problem or None, number of rows)"""
     got = [tuple(r) for r in df.collect()]
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
     if sorted(df.columns) != sorted(names):
-        return f"columns differ: {sorted(set(df.columns) ^ set(names))}"
+        return f"columns differ: {sorted(set(df.columns) ^ set(names))}", 0
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if len(a) != len(b):
-        return f"rows {len(a)} != {len(b)}"
+        return f"rows {len(a)} != {len(b)}", len(a)
     cols = sorted(names)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         x, y = bad[0]
         diff = {c: (p, q) for c, p, q in zip(cols, x, y) if p != q}
-        return f"{len(bad)} of {len(a)} rows differ, e.g. {diff}"
+        return f"{len(bad)} of {len(a)} rows differ, e.g. {diff}", len(a)
     kinds = [
         (c, type(p).__name__, type(q).__name__)
         for x, y in zip(a, b) for c, p, q in zip(cols, x, y)
         if p is not None and type(p) is not type(q)
     ]
-    return f"types differ {sorted(set(kinds))}" if kinds else None
+    return (f"types differ {sorted(set(kinds))}" if kinds else None), len(a)
 
 
 def main(argv):
@@ -87,8 +88,8 @@ def main(argv):
         try:
             df = fn(spark, sf)
             if name in ORACLES:
-                problem = compare(df, con, ORACLES[name])
-                n = "ok"
+                problem, count = compare(df, con, ORACLES[name])
+                n = f"{count} rows" if count else "NO ROWS"
             else:
                 n, problem = f"rows only: {df.count()}", None
         except Exception as exc:  # report and go on
