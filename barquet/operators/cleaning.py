@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, FEATURE_COLUMNS, PRICE_COLUMNS
@@ -52,16 +52,14 @@ def plausible_bars(bars: DataFrame) -> DataFrame:
 def without_volume_spikes(bars: DataFrame) -> DataFrame:
     """Drop volumes far above the symbol's median.
 
-    The exact median needs a symbol's volumes together; they are bounded by one
-    per calendar day because the panel key is unique. percentile() keeps
-    (value, count) pairs and merges partial maps before the shuffle.
+    The exact median needs a symbol's volumes together; the unique panel key
+    bounds them by one per calendar day. As a window the panel is shuffled once
+    on symbol, where a join with a median table would read it twice.
     """
     limit = DEFAULTS.cleaning.max_volume_multiplier
-    medians = bars.groupBy("symbol").agg(
-        F.percentile(F.col("volume"), F.lit(0.5)).alias("__median")
-    )
+    median = F.percentile(F.col("volume"), F.lit(0.5)).over(Window.partitionBy("symbol"))
     return (
-        bars.join(medians, "symbol")
+        bars.withColumn("__median", median)
         .filter(
             (F.col("__median") <= 0) | (F.col("volume") < F.col("__median") * limit)
         )

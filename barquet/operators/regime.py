@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barquet.config import DEFAULTS, FALLBACK_STATE
 from barquet.functions.predicates import all_of, b, change, flag
 from barquet.functions.windows import ema, roll, series
+from barquet.session import small_side
 
 C = F.col
 R = DEFAULTS.regime
@@ -70,7 +71,7 @@ def score_states(states: DataFrame) -> DataFrame:
 def market_state(scored: DataFrame, states: DataFrame) -> DataFrame:
     """State of each score; scores outside every range are BEAR."""
     return scored.join(
-        F.broadcast(score_states(states)), "regime_score", "left"
+        small_side(score_states(states)), "regime_score", "left"
     ).withColumn("market_status", F.coalesce("market_status", F.lit(FALLBACK_STATE)))
 
 
@@ -97,7 +98,7 @@ def environment(regime: DataFrame, states: DataFrame) -> DataFrame:
            "allow_pyramiding": False, "cash_mode": True}
     return (
         regime.select("trade_date", C("market_status").alias("market_state"), "regime_score")
-        .join(F.broadcast(limits), "market_state", "left")
+        .join(small_side(limits), "market_state", "left")
         .withColumns({c: F.coalesce(C(c), F.lit(v)) for c, v in off.items()})
         .select("trade_date", "market_state", "regime_score", *off)
     )

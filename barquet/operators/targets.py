@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS
@@ -12,18 +12,18 @@ C = F.col
 R = DEFAULTS.targets
 
 
-def _target(multiple: float) -> Column:
-    return C("__p") + C("__range") * F.lit(multiple)
-
-
 def price_targets(df: DataFrame) -> DataFrame:
     """Pivot plus a share of the base's height, in price and percent."""
     staged = df.withColumn("__p", F.nullif("pivot_price", F.lit(0.0))).withColumn(
         "__range", clip(C("__p") - C("base_low_price"), 0.0)
     )
+    multiples = {1: R.t1, 2: R.t2, 3: R.t3}
+    staged = staged.withColumns(
+        {f"__t{n}": C("__p") + C("__range") * F.lit(m) for n, m in multiples.items()}
+    )
     out = {"base_range_pct": half_even(ratio(C("__range"), C("__p")) * 100, 2)}
-    for n, multiple in ((1, R.t1), (2, R.t2), (3, R.t3)):
-        price = _target(multiple)
+    for n in multiples:
+        price = C(f"__t{n}")
         out[f"target_{n}_price"] = half_even(price, 2)
         out[f"target_{n}_pct"] = half_even((ratio(price, C("close_price")) - 1) * 100, 2)
     return staged.withColumns(out)
@@ -31,7 +31,7 @@ def price_targets(df: DataFrame) -> DataFrame:
 
 def position_stage(df: DataFrame) -> DataFrame:
     """Where the close stands between pivot and targets."""
-    close, t1, t2 = C("close_price"), _target(R.t1), _target(R.t2)
+    close, t1, t2 = C("close_price"), C("__t1"), C("__t2")
     stage = (
         F.when(b(close > t2), "PAST_T2")
         .when(b(close > t1), "PAST_T1")
@@ -49,7 +49,7 @@ def trailing_stop(df: DataFrame) -> DataFrame:
     has no stop; in the base and up to the first target the stop sits under the
     pivot, beyond a target just under that target.
     """
-    close, t1, t2 = C("close_price"), _target(R.t1), _target(R.t2)
+    close, t1, t2 = C("close_price"), C("__t1"), C("__t2")
     support = clip(close - F.coalesce(C("atr_14"), F.lit(0.0)) * R.atr_multiple, 0.0)
     under_pivot = half_even(C("__p") * (1 - R.stop_loss), 2)
     level = (
@@ -97,5 +97,5 @@ def upside(df: DataFrame) -> DataFrame:
 def targets(df: DataFrame) -> DataFrame:
     return (
         df.transform(price_targets).transform(position_stage)
-        .transform(trailing_stop).transform(upside).drop("__p", "__range")
+        .transform(trailing_stop).transform(upside).drop("__p", "__range", "__t1", "__t2", "__t3")
     )

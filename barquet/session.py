@@ -28,6 +28,11 @@ def build_session(
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Panels hash-partitioned by symbol join on (symbol, trade_date) as they are.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # The JVM never compiles methods beyond 8,000 bytes of code; let wide
+        # projections use split methods instead of one interpreted giant.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")

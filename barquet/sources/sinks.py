@@ -17,15 +17,29 @@ from barquet.schemas import require
 from barquet.session import materialize
 
 
-def unique_rows(df: DataFrame, key: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
-    """One row per key; the smallest row wins, so every run keeps the same one.
+# Types an aggregation buffer can hold in place, so grouping can hash.
+_FIXED_WIDTH = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean",
+                "date", "timestamp")
 
-    min over a struct combines map-side: repeated keys never meet in one task
-    before they have been reduced.
+
+def unique_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key; the same row on every run.
+
+    Repeated keys are reduced map-side, so a key with any number of copies
+    reaches the shuffle once per task. Rows of fixed-width columns are picked
+    by their hash, which keeps the aggregation hash-based; others by their
+    smallest value, which sorts.
     """
     rest = [c for c in df.columns if c not in key]
-    lead = [F.col(c).alias(f"__p{i}") for i, c in enumerate(prefer)]
-    picked = df.groupBy(*key).agg(F.min(F.struct(*lead, *rest)).alias("__row"))
+    types = dict(df.dtypes)
+    if rest and all(types[c] in _FIXED_WIDTH for c in rest):
+        # Nulls leave a hash unchanged, so their places are hashed as well.
+        pick = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
+        picked = df.withColumn("__pick", pick).groupBy(*key).agg(
+            *[F.min_by(c, "__pick").alias(c) for c in rest]
+        )
+        return picked.select(*df.columns)
+    picked = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row"))
     return picked.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

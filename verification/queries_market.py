@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -303,33 +305,50 @@ def _(s: Stages):
     return quality.thin_history(_lots(s))
 
 
-CTE["kept"] = "SELECT * FROM marked WHERE NOT is_stale"
+# The log run sees the sparse source dates, so that it finds gaps as well.
+CTE["sparse"] = """
+SELECT r.symbol, r.src_date AS trade_date, d.open_price, d.high_price, d.low_price, d.close_price, d.volume
+FROM dirty_once d JOIN raw_bars r ON r.symbol = d.symbol AND r.trade_date = d.trade_date
+WHERE d.close_price IS NOT NULL"""
+CTE["sparse_day"] = "SELECT max(trade_date) AS d FROM sparse"
+CTE["sparse_marked"] = f"""
+SELECT *, coalesce(volume = 0 AND {lag('volume')} = 0
+  AND abs(close_price - {lag('close_price')}) < 0.01, FALSE) AS is_stale FROM sparse"""
+CTE["kept"] = "SELECT * FROM sparse_marked WHERE NOT is_stale"
 CTE["qlog"] = f"""
-SELECT (SELECT d FROM last_day) AS run_date, 'stale_delete' AS check_type, symbol,
+SELECT (SELECT d FROM sparse_day) AS run_date, 'stale_delete' AS check_type, symbol,
        format('{{}} stale rows deleted | {{}} → {{}} | price={{:.2f}}', count(*),
               CAST(min(trade_date) AS VARCHAR), CAST(max(trade_date) AS VARCHAR),
               arg_min(close_price, trade_date)) AS description, count(*) AS rows_affected
-FROM marked WHERE is_stale GROUP BY symbol
+FROM sparse_marked WHERE is_stale GROUP BY symbol
 UNION ALL
-SELECT (SELECT d FROM last_day), 'gap_detected', symbol,
+SELECT (SELECT d FROM sparse_day), 'gap_detected', symbol,
        format('{{}} calendar days missing | {{}} → {{}}', gap_days, CAST(gap_start AS VARCHAR), CAST(gap_end AS VARCHAR)), 0
-FROM ({_gap_sql("kept", "trade_date", "SELECT d FROM last_day")})
+FROM ({_gap_sql("kept", "trade_date", "SELECT d FROM sparse_day")})
 UNION ALL
-SELECT (SELECT d FROM last_day), 'thin_history', symbol,
+SELECT (SELECT d FROM sparse_day), 'thin_history', symbol,
        format('{{}} | {{}} days | from {{}}',
               CASE WHEN count(*) < 63 THEN 'CRITICAL' WHEN count(*) < 200 THEN 'WARNING' ELSE 'CAUTION' END,
               count(*), CAST(min(trade_date) AS VARCHAR)), 0
 FROM kept GROUP BY symbol HAVING count(*) < 252"""
 
 
-def _qlog(s: Stages) -> DataFrame:
-    return quality.quality_log(cleaning.valid_candles(s.dirty_bars()), s.last_day())
+def _qlog(s: Stages) -> tuple[DataFrame, date]:
+    raw = s.raw_bars()
+    dates = raw.select("symbol", "trade_date", "src_date")
+    sparse = (
+        s.dirty_bars().distinct().dropna(subset=["close_price"])
+        .join(dates, ["symbol", "trade_date"])
+        .drop("trade_date").withColumnRenamed("src_date", "trade_date")
+    )
+    day = s._date("last_src", lambda: raw.agg(F.max("src_date")))
+    return quality.quality_log(sparse, day), day
 
 
 @register("quality_log", "SELECT * FROM qlog")
 def _(s: Stages):
     """Q3."""
-    return _qlog(s)
+    return _qlog(s)[0]
 
 
 @register("quality_summary", """
@@ -337,7 +356,7 @@ SELECT check_type, count(*) AS issues, sum(rows_affected)::BIGINT AS rows_affect
 FROM qlog GROUP BY 1""")
 def _(s: Stages):
     """A7, one run."""
-    return quality.log_summary(_qlog(s), s.last_day())
+    return quality.log_summary(*_qlog(s))
 
 
 @register("quality_report", """
@@ -346,7 +365,7 @@ SELECT run_date, check_type, count(*) AS issues, sum(rows_affected)::BIGINT AS r
 FROM qlog GROUP BY 1, 2""")
 def _(s: Stages):
     """A7, week report."""
-    return quality.log_report(_qlog(s), s.last_day())
+    return quality.log_report(*_qlog(s))
 
 
 # ------------------------------------------------------------------ universe
