@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from barquet.functions.predicates import b
 
 
+# Relative distance below which an average has settled on its input.
+SETTLED = 1e-12
+
+
 def series(key: str = "symbol", order: str = "trade_date") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
@@ -69,7 +73,8 @@ def ema(
     x * decay**-k, scaled back by decay**k. Inside a block of a few calendar
     years the powers fit a double; earlier blocks enter through their end
     values, of which a series has only a handful. Rows with a null value must
-    be dropped before.
+    be dropped before. An average within rounding error of the value is the
+    value, so a constant series is exactly its own average.
     """
     names = names or {s: f"{prefix}{s}" for s in spans}
     years = era_years or _era_years(spans)
@@ -97,6 +102,11 @@ def ema(
             F.col(f"__l{s}") + F.pow(F.lit(decay[s]), F.col("__k") + 1) * total,
         ).otherwise(F.col(f"__l{s}"))
 
+    def settled(s: int) -> Column:
+        x = F.col(value).cast("double")
+        near = F.abs(F.col(names[s]) - x) <= F.abs(x) * SETTLED
+        return F.when(near, x).otherwise(F.col(names[s]))
+
     staged = (
         df.withColumn("__era", era)
         .withColumns(
@@ -114,7 +124,9 @@ def ema(
     staged = staged.withColumn(
         "__ends", F.collect_list(F.when(F.col("__last"), end)).over(before)
     )
-    out = staged.withColumns({names[s]: carried(s) for s in spans})
+    out = staged.withColumns({names[s]: carried(s) for s in spans}).withColumns(
+        {names[s]: settled(s) for s in spans}
+    )
     return out.drop("__era", "__k", "__seed", "__last", "__ends", *[f"__l{s}" for s in spans])
 
 
