@@ -424,6 +424,7 @@ class MLRules:
     learning_rate: float = 0.04
     min_child: int = 15
     subsample: float = 0.80
+    feature_share: float = 0.80
     seed: int = 42
     min_rows: int = 50
     test_share: float = 0.20

@@ -62,7 +62,11 @@ def last_values(section: str, label: str, n: int) -> Column:
 
 
 def pivot_facts(facts: DataFrame) -> DataFrame:
-    """One row per symbol: newest single figures and short histories."""
+    """One row per symbol: newest single figures and short histories.
+
+    Repeated facts are reduced first, so a symbol's lists hold one value per
+    reporting period however often it was scraped.
+    """
     single = [
         F.max_by(
             F.when(_at(s, l), C("value")), F.when(_at(s, l), C("period"))
@@ -70,7 +74,10 @@ def pivot_facts(facts: DataFrame) -> DataFrame:
         for name, (s, l) in LATEST.items()
     ]
     lines = [last_values(s, l, n).alias(name) for name, (s, l, n) in SERIES.items()]
-    return parse_facts(facts).groupBy("symbol").agg(*single, *lines)
+    once = parse_facts(facts).groupBy("symbol", "section", "label", "period").agg(
+        F.max("value").alias("value")
+    )
+    return once.groupBy("symbol").agg(*single, *lines)
 
 
 def debt_to_equity(borrowings: Column, equity: Column, reserves: Column) -> Column:

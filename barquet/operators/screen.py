@@ -190,6 +190,48 @@ def ranked(
     return df.filter(C("composite_score") >= min_score).orderBy(*best_first()).limit(top_n)
 
 
+def ranked_by_each(
+    df: DataFrame, min_score: float = 0.0, top_n: int = R.top_n,
+    presets: Mapping[str, Mapping[str, int]] = PRESETS,
+) -> DataFrame:
+    """The top rows of every preset's ranking in one job.
+
+    Each row is scored under all presets at once; ranks come from the distinct
+    scores of each preset, and the per-preset cut is taken before the shuffle.
+    """
+    default = next(iter(presets))
+
+    def scored(name: str) -> Column:
+        used = {s: w for s, w in presets[name].items() if w > 0 and s in df.columns}
+        keep = name == default or not used
+        return F.struct(
+            F.lit(name).alias("preset"),
+            (C("composite_score") if keep else weighted_score(used, 1)).alias("score"),
+            (C("composite_rank") if keep else F.lit(None).cast("double")).alias("stored_rank"),
+        )
+
+    tall = df.select(
+        "symbol", "ev_score", F.explode(F.array(*[scored(n) for n in presets])).alias("e")
+    ).select("symbol", "ev_score", "e.*")
+    by_score = Window.partitionBy("preset").orderBy(F.desc("score"))
+    levels = tall.select("preset", "score").distinct().withColumn(
+        "level", F.dense_rank().over(by_score).cast("double")
+    )
+    best = Window.partitionBy("preset").orderBy(
+        C("ev_score").desc_nulls_last(), F.desc("score"), "symbol"
+    )
+    top = (
+        tall.filter(C("score") >= min_score)
+        .withColumn("position", F.row_number().over(best))
+        .filter(C("position") <= top_n)
+    )
+    return top.join(levels, ["preset", "score"]).select(
+        "preset", "position", "symbol", "score",
+        F.coalesce("stored_rank", "level").alias("rank"),
+        flag(C("score") >= 70).alias("candidate"), "ev_score",
+    )
+
+
 def two_tier_sort(df: DataFrame, order_by: str = "Score", ascending: bool = False) -> DataFrame:
     """Rows whose sort value reaches 50 by expected value, the others by sort value.
 

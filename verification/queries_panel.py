@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquet.functions import windows
+from barquet.functions.custom import per_symbol
 from barquet.operators import features, price_action, signals, targets, timeframes
 from barquet.operators.sector import with_sector
 from barquet.plans.daily import feature_table
@@ -49,13 +50,13 @@ def _(s: Stages):
 
 
 @register("trend_score_counts", """
-SELECT symbol, trend_score, count(*) AS bars, round(avg(close_price), 4) AS avg_close
+SELECT symbol, trend_score, count(*) AS bars, round(sum(close_price), 2) AS closes
 FROM features GROUP BY 1, 2""")
 def _(s: Stages):
     """W1 and W2 rolled up per symbol."""
     scored = s.bars().transform(features.moving_averages).transform(features.trend_score)
     return scored.groupBy("symbol", "trend_score").agg(
-        F.count("*").alias("bars"), F.round(F.avg("close_price"), 4).alias("avg_close")
+        F.count("*").alias("bars"), F.round(F.sum("close_price"), 2).alias("closes")
     )
 
 
@@ -174,6 +175,23 @@ def _(s: Stages):
     )
 
 
+@register("custom_per_symbol", """
+SELECT symbol, trade_date, round(close_price / max(close_price) OVER (
+         PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1, 6) AS off_peak
+FROM bars""")
+def _(s: Stages):
+    """2.12: a user's own per-symbol function on Arrow batches."""
+
+    def off_peak(pdf):
+        pdf = pdf.sort_values("trade_date")
+        pdf["off_peak"] = (pdf["close_price"] / pdf["close_price"].cummax() - 1).round(6)
+        return pdf[["symbol", "trade_date", "off_peak"]]
+
+    return per_symbol(
+        timeframe_panel(s.bars()), off_peak, "symbol string, trade_date date, off_peak double"
+    )
+
+
 # ------------------------------------------------------------------ signals
 @register("trend_signal", shown("signals", "trend_signal"))
 def _(s: Stages):

@@ -22,12 +22,15 @@ def lag(col: str, n: int = 1, w: str = W) -> str:
 
 
 def ema(col: str, span: int, pos: str = "pos", w: str = W) -> str:
+    """Exponential average seeded with the first value; one that is within
+    rounding error of the value is the value (a constant is its own average)."""
     beta = f"({span - 1}::DOUBLE / {span + 1})"
     gain = f"CASE WHEN {pos} = 0 THEN 1.0::DOUBLE ELSE 1 - {beta} END"
-    return (
+    e = (
         f"pow({beta}, {pos}) * sum({col} * {gain} * pow({beta}, -{pos})) "
         f"OVER ({w} ROWS UNBOUNDED PRECEDING)"
     )
+    return f"CASE WHEN abs({e} - {col}) <= abs({col}) * 1e-12 THEN {col} ELSE {e} END"
 
 
 def yes(test: str) -> str:
