@@ -75,10 +75,8 @@ def market_state(scored: DataFrame, states: DataFrame) -> DataFrame:
     ).withColumn("market_status", F.coalesce("market_status", F.lit(FALLBACK_STATE)))
 
 
-def regime_history(index_bars: DataFrame, states: DataFrame) -> DataFrame:
-    """Regime of every session after the warm-up; nothing for short series."""
-    numbered = index_score(enrich_index(index_bars)).withColumn("__n", F.row_number().over(_sessions()))
-    return market_state(numbered.filter(C("__n") > R.warmup_bars), states).select(
+def _regime_rows(numbered: DataFrame, states: DataFrame) -> DataFrame:
+    return market_state(numbered, states).select(
         "index_code", "trade_date", "market_status",
         C("regime_score").cast("double").alias("regime_score"), C("close").alias("index_close"),
         "ema_50", "ema_200", (C("close") > C("ema_50")).alias("above_ema_50"),
@@ -88,6 +86,24 @@ def regime_history(index_bars: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
+def regime_history(index_bars: DataFrame, states: DataFrame) -> DataFrame:
+    """Regime of every session after the warm-up; nothing for short series."""
+    numbered = index_score(enrich_index(index_bars)).withColumn(
+        "__n", F.row_number().over(_sessions())
+    )
+    return _regime_rows(numbered.filter(C("__n") > R.warmup_bars), states)
+
+
+def current_regime(index_bars: DataFrame, states: DataFrame) -> DataFrame:
+    """Regime of the newest session; needs as many bars as the warm-up, not more."""
+    whole = Window.partitionBy("index_code")
+    numbered = index_score(enrich_index(index_bars)).withColumns(
+        {"__n": F.row_number().over(_sessions()), "__bars": F.count("*").over(whole)}
+    )
+    newest = (C("__n") == C("__bars")) & (C("__bars") >= R.warmup_bars)
+    return _regime_rows(numbered.filter(newest), states)
+
+
 def environment(regime: DataFrame, states: DataFrame) -> DataFrame:
     """Exposure and permissions of each session's state; unknown states are all off."""
     limits = states.select(

@@ -48,14 +48,16 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    A folder of our own is made only where the session names none (local runs).
+    Only a local session without the setting gets a folder of its own; on a
+    cluster a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="barquet-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barquet-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

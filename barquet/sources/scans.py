@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barquet import config
 from barquet.functions.predicates import b
-from barquet.schemas import PRICES, require
+from barquet.functions.scalars import with_suffix
+from barquet.schemas import PRICES, conform, require
 
 PRICE_ACTION_INPUT = (
     "symbol", "trade_date", "close_price", "high_price", "low_price",
@@ -23,6 +25,11 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PRICES).parquet(path).select(*config.PRICE_COLUMNS)
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table in its declared schema; columns it lacks are null."""
+    return conform(spark.read.parquet(path), schema)
+
+
 def price_panel(df: DataFrame) -> DataFrame:
     return require(df, config.PRICE_COLUMNS).select(*config.PRICE_COLUMNS)
 
@@ -71,8 +78,6 @@ def universe_symbols(universe: DataFrame, prices: DataFrame) -> DataFrame:
     The fallback is a join condition, not a driver-side test: priced symbols
     survive only where the (one-row) count of active symbols is zero.
     """
-    from barquet.functions.scalars import with_suffix
-
     active = universe.filter(b(F.col("is_active")) & F.col("symbol").isNotNull()).select(
         with_suffix(F.col("symbol")).alias("symbol")
     )

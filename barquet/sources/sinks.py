@@ -49,20 +49,34 @@ def clean_nan(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
+def _by_partition(df: DataFrame, column: str) -> DataFrame:
+    """Bring each partition value together for writing.
+
+    A rebalance, not a repartition: adaptive execution splits a value that
+    outgrows a task and merges small ones, so a hot date is written by many tasks.
+    """
+    return df.hint("rebalance", F.col(column))
+
+
+def _declared(
+    df: DataFrame, columns: Sequence[str], key: Sequence[str], assume_unique: bool
+) -> DataFrame:
+    rows = clean_nan(require(df, columns).select(*columns))
+    return rows if assume_unique else unique_rows(rows, key)
+
+
 def rebuild(
     df: DataFrame, path: str, columns: Sequence[str],
     key: Sequence[str] = ("symbol", "trade_date"), partition_by: str | None = None,
-    files_per_partition: int = 1,
+    assume_unique: bool = False,
 ) -> None:
     """Replace a whole table: declared columns only, one row per key.
 
-    With `partition_by`, each partition is written by `files_per_partition`
-    tasks; raise it when one partition outgrows a task.
+    Frames whose key is unique by construction can say so and save a shuffle.
     """
-    out = unique_rows(clean_nan(require(df, columns).select(*columns)), key)
+    out = _declared(df, columns, key, assume_unique)
     if partition_by:
-        spread = F.pmod(F.hash(*key), F.lit(files_per_partition))
-        out = out.repartition(F.col(partition_by), spread)
+        out = _by_partition(out, partition_by)
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -71,14 +85,14 @@ def rebuild(
 
 def rebuild_bucketed(
     df: DataFrame, table: str, path: str, columns: Sequence[str], buckets: int,
-    key: Sequence[str] = ("symbol", "trade_date"),
+    key: Sequence[str] = ("symbol", "trade_date"), assume_unique: bool = False,
 ) -> None:
     """Replace a panel bucketed by symbol.
 
     Readers get the symbol partitioning from the files: per-symbol windows and
     panel-to-panel joins on (symbol, trade_date) need no exchange.
     """
-    out = unique_rows(clean_nan(require(df, columns).select(*columns)), key)
+    out = _declared(df, columns, key, assume_unique)
     (
         out.repartition(buckets, "symbol").sortWithinPartitions(*key)
         .write.mode("overwrite").option("path", path).format("parquet")
@@ -90,7 +104,7 @@ def replace_dates(
     df: DataFrame, path: str, key: Sequence[str], date_column: str = "trade_date"
 ) -> None:
     """Replace exactly the dates present in df; other dates stay untouched."""
-    rows = unique_rows(clean_nan(df), key)
+    rows = _by_partition(unique_rows(clean_nan(df), key), date_column)
     (
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_column).parquet(path)

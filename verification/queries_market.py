@@ -56,6 +56,13 @@ def _(s: Stages):
     return places(regime.regime_history(s.index_bars(), s.market_states()), **_R)
 
 
+@register("current_regime", rounded(
+    "(SELECT * FROM regime ORDER BY trade_date DESC LIMIT 1)", **_R))
+def _(s: Stages):
+    """R1 for the newest session."""
+    return places(regime.current_regime(s.index_bars(), s.market_states()), **_R)
+
+
 @register("environment", "SELECT * FROM environment")
 def _(s: Stages):
     """R3 and J12."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquet import config
 from barquet.operators import cleaning
+from barquet.plans import store
 from barquet.schemas import TRADES
-from barquet.session import shared_folder
+from barquet.session import materialize, shared_folder
 from barquet.sources import listings, scans, sinks
 from barquet.streaming import incremental
 from verification.registry import register
@@ -332,7 +334,41 @@ def _(s: Stages):
     for _i in range(2):
         stored = s.spark.read.parquet(path)
         new = incremental.new_bars(s.bars().unionByName(s.bars()), stored)
-        from barquet.session import materialize
-
         materialize(new, "append").write.mode("append").parquet(path)
     return s.spark.read.parquet(path)
+
+
+# ------------------------------------------------------------------ the whole day
+CTE["gated_days"] = """
+SELECT e.cash_mode, e.cash_mode OR NOT e.allow_breakouts OR coalesce(x.distribution_count, 0) >= 5 AS shut
+FROM environment e LEFT JOIN distribution x ON x.trade_date = e.trade_date ORDER BY e.trade_date DESC LIMIT 1"""
+
+
+@register("daily_tables", """
+SELECT 'features' AS name, count(*) AS rows, sum(trend_score)::BIGINT AS total FROM features
+UNION ALL SELECT 'regime', count(*), sum(regime_score)::BIGINT FROM regime
+UNION ALL SELECT 'environment', count(*), sum(CASE WHEN cash_mode THEN 1 ELSE 0 END)::BIGINT FROM environment
+UNION ALL SELECT 'signals', count(*),
+  (sum(breakout_ready_signal) - (SELECT CASE WHEN shut THEN (SELECT coalesce(sum(breakout_ready_signal), 0)
+     FROM signals WHERE trade_date = (SELECT d FROM last_day)) ELSE 0 END FROM gated_days))::BIGINT FROM signals
+UNION ALL SELECT 'price_action', count(*), sum(pa_signal)::BIGINT FROM price_action
+UNION ALL SELECT 'timeframes', count(*), sum(mtf_score)::BIGINT FROM timeframes""")
+def _(s: Stages):
+    """All daily tables built and stored in order, with one control total each."""
+    inputs = store.Inputs(
+        s.bars(), s.index_bars(), s.market_states(), s.universe(), s.earnings(),
+        s.fundamentals(), s.vol_index(),
+    )
+    tables = store.build_all(inputs, store.Store(s.spark, _fresh(s, "day")), s.last_day())
+    totals = {
+        "features": F.sum("trend_score"), "regime": F.sum("regime_score"),
+        "environment": F.sum(C("cash_mode").cast("int")),
+        "signals": F.sum("breakout_ready_signal"), "price_action": F.sum("pa_signal"),
+        "timeframes": F.sum("mtf_score"),
+    }
+    parts = [
+        tables[n].agg(F.count("*").alias("rows"), total.cast("bigint").alias("total"))
+        .select(F.lit(n).alias("name"), "rows", "total")
+        for n, total in totals.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
