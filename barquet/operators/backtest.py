@@ -84,6 +84,61 @@ def signal_entries(
     )
 
 
+def strategy_entries(
+    strategies: Sequence[tuple[str, str, int | None]],
+    start: date,
+    end: date,
+    signals: DataFrame,
+    prices: DataFrame,
+    regime: DataFrame,
+    timeframes: DataFrame,
+    price_action: DataFrame,
+    environment: DataFrame,
+    min_composite: float = R.min_composite,
+) -> DataFrame:
+    """Entries of several strategies: (name, entry signal, lowest timeframe score).
+
+    Every panel is read and joined once; a row then unfolds into the strategies
+    it belongs to.
+    """
+    for _, signal, _ in strategies:
+        check_entry_signal(signal)
+    key = ["symbol", "trade_date"]
+    in_range = C("trade_date").between(start, end)
+    plain = sorted({s for _, s, _ in strategies if s not in PA_ENTRIES} | {"breakout_signal"})
+    days = regime.select("trade_date", C("market_status").alias("regime"))
+    open_days = environment.select(
+        "trade_date",
+        (~b(C("cash_mode")) & (C("market_state") != R.blocked_state)).alias("__open"),
+    )
+    rows = (
+        signals.filter(in_range & (C("composite_score") >= min_composite))
+        .select(*key, "composite_score", "stage2_days", *plain)
+        .join(price_action.filter(in_range).select(*key, "pa_signal"), key, "left")
+        .join(timeframes.filter(in_range).select(*key, "mtf_score"), key, "left")
+        .join(small_side(open_days), "trade_date", "left")
+        .join(small_side(days), "trade_date", "left")
+    )
+    acted = b(C("pa_signal") == 1) & b(C("__open"))
+
+    def holds(signal: str, mtf: int | None) -> Column:
+        if signal == "pa_signal":
+            test = acted
+        elif signal == "combined_pa_ema":
+            test = acted & b(C("breakout_signal") == 1)
+        else:
+            test = b(C(signal) == 1)
+        return test if mtf is None else test & (F.coalesce("mtf_score", F.lit(0)) >= mtf)
+
+    member = F.array(*[F.when(holds(s, m), F.lit(n)) for n, s, m in strategies])
+    tagged = rows.withColumn("strategy", F.explode(F.array_compact(member)))
+    priced = prices.filter(in_range).select(*key, C("close_price").alias("entry_price"))
+    return tagged.join(priced, key).select(
+        "strategy", C("trade_date").alias("entry_date"), "symbol", "composite_score",
+        "stage2_days", "entry_price", F.coalesce("regime", F.lit(UNKNOWN_REGIME)).alias("regime"),
+    )
+
+
 def _bucket(day: Column, width: int) -> Column:
     return F.floor(F.unix_date(day) / F.lit(width)).cast("int")
 

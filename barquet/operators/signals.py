@@ -346,24 +346,21 @@ def regime_gate(
     rows keep their signals for back-tests; rank, probability and expected
     value are not refreshed.
     """
-    newest = gate.groupBy().agg(
-        F.max_by(
-            F.struct("allow_breakouts", "cash_mode", "distribution_count"), "trade_date"
-        ).alias("g")
+    days = (dates or signals).select(C("trade_date").alias("day"))
+    rules = gate.select(
+        C("trade_date").alias("rule_day"),
+        F.struct("allow_breakouts", "cash_mode", "distribution_count").alias("g"),
     )
-    last = (dates or signals).agg(F.max("trade_date").alias("trade_date"))
-    # Both sides have exactly one row; the constant key keeps it an equi-join.
-    switch = (
-        last.withColumn("__one", F.lit(1))
-        .join(newest.withColumn("__one", F.lit(1)), "__one", "left")
-        .select(
-            "trade_date",
-            F.coalesce(C("g.cash_mode"), F.lit(False)).alias("__cash"),
-            (
-                ~F.coalesce(C("g.allow_breakouts"), F.lit(True))
-                | (F.coalesce(C("g.distribution_count"), F.lit(0)) >= R.distribution_gate)
-            ).alias("__shut"),
-        )
+    # One aggregate over both tables gives the one-row switch.
+    switch = days.unionByName(rules, allowMissingColumns=True).agg(
+        F.max("day").alias("trade_date"), F.max_by("g", "rule_day").alias("g")
+    ).select(
+        "trade_date",
+        F.coalesce(C("g.cash_mode"), F.lit(False)).alias("__cash"),
+        (
+            ~F.coalesce(C("g.allow_breakouts"), F.lit(True))
+            | (F.coalesce(C("g.distribution_count"), F.lit(0)) >= R.distribution_gate)
+        ).alias("__shut"),
     )
     out = signals.join(F.broadcast(switch), "trade_date", "left")
     cash, shut = b(C("__cash")), b(C("__shut"))

@@ -116,16 +116,14 @@ def first_missing_session(
         prices.select("symbol", "trade_date").join(cal, "trade_date")
         .groupBy("symbol").agg(F.collect_set("session_no").alias("__seen"))
     )
-    sessions = calendar.agg(F.max("session_no").alias("__n")).withColumn("__one", F.lit(1))
+    sessions = calendar.count()  # bounded by the caller's choice of calendar
     gaps = (
-        symbols.select("symbol").withColumn("__one", F.lit(1))
-        .join(present, "symbol", "left")
-        .join(F.broadcast(sessions), "__one")
+        symbols.select("symbol").join(present, "symbol", "left")
         .withColumn(
             "session_no",
             F.array_min(
                 F.array_except(
-                    F.sequence(F.lit(1), C("__n")),
+                    F.sequence(F.lit(1), F.lit(sessions)),
                     F.coalesce(C("__seen"), F.array().cast("array<int>")),
                 )
             ),

@@ -59,12 +59,9 @@ def compare(
     panels: Panels, start: date, end: date,
     strategies: Sequence[tuple[str, str, int | None]] = STRATEGIES, **exit_rules,
 ) -> DataFrame:
-    """Closed trades of several strategies in one job."""
-    tagged = [
-        entries_for(panels, signal, start, end, name, min_mtf_score=mtf)
-        for name, signal, mtf in strategies
-    ]
-    entries = tagged[0]
-    for rows in tagged[1:]:
-        entries = entries.unionByName(rows)
+    """Closed trades of several strategies in one pass over the panels."""
+    entries = backtest.strategy_entries(
+        strategies, start, end, panels.signals, panels.prices, panels.regime,
+        panels.timeframes, panels.price_action, panels.environment,
+    )
     return backtest.trade_exits(entries, _reachable(panels, start, end), **exit_rules)

@@ -274,3 +274,33 @@ def test_train_score_save_load(spark, tmp_path):
     assert a == b and all(0 <= r.ml_win_prob <= 1 for r in a)
     assert all(r.ml_signal == int(r.ml_win_prob >= 0.6) for r in a)
     assert timedelta(days=1)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from barquet.session import shared_folder
+
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: None),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    session.conf.get = lambda *_: "hdfs://shared"
+    assert shared_folder(session) == "hdfs://shared"
+
+
+def test_per_symbol_function_may_fail_for_one_symbol(panel):
+    from barquet.functions.custom import per_symbol
+
+    def fn(pdf):
+        if pdf["symbol"].iloc[0] == "BAD":
+            raise ValueError("no")
+        return pdf.groupby("symbol", as_index=False)["close_price"].sum()
+
+    df = panel({"A": [1.0, 2.0], "BAD": [1.0]}).select("symbol", "close_price")
+    schema = "symbol string, close_price double"
+    assert [tuple(r) for r in per_symbol(df, fn, schema).collect()] == [("A", 3.0)]
+    with pytest.raises(Exception, match="no"):
+        per_symbol(df, fn, schema, on_error="raise").collect()
