@@ -73,18 +73,8 @@ def bulk_range(
 
 
 def universe_symbols(universe: DataFrame, prices: DataFrame) -> DataFrame:
-    """Active symbols, suffixed; all priced symbols when none is active.
-
-    The fallback is a join condition, not a driver-side test: priced symbols
-    survive only where the (one-row) count of active symbols is zero.
-    """
-    active = universe.filter(b(F.col("is_active")) & F.col("symbol").isNotNull()).select(
-        with_suffix(F.col("symbol")).alias("symbol")
-    )
-    has_active = active.limit(1).agg((F.count("*") == 0).alias("empty")).filter("empty")
-    fallback = (
-        prices.select(with_suffix(F.col("symbol")).alias("symbol"), F.lit(True).alias("empty"))
-        .join(F.broadcast(has_active), "empty", "left_semi")
-        .select("symbol")
-    )
-    return active.unionByName(fallback).distinct()
+    """Active symbols, suffixed; all priced symbols when none is active."""
+    suffixed = with_suffix(F.col("symbol")).alias("symbol")
+    active = universe.filter(b(F.col("is_active")) & F.col("symbol").isNotNull())
+    source = prices if active.isEmpty() else active
+    return source.select(suffixed).distinct()

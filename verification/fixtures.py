@@ -92,8 +92,8 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = C("s_suppkey")
     return (
         table(spark, sf_dir, "supplier")
-        .join(F.broadcast(table(spark, sf_dir, "nation")), C("s_nationkey") == C("n_nationkey"))
-        .join(F.broadcast(table(spark, sf_dir, "region")), C("n_regionkey") == C("r_regionkey"))
+        .join(table(spark, sf_dir, "nation"), C("s_nationkey") == C("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), C("n_regionkey") == C("r_regionkey"))
         .select(
             F.concat(F.lit("S"), k.cast("string")).alias("symbol"),
             F.when(k % 29 != 28, C("s_name")).alias("company_name"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barquet.functions import windows
 from barquet.functions.custom import per_symbol
+from barquet.functions.predicates import half_even
 from barquet.operators import features, price_action, signals, targets, timeframes
 from barquet.operators.sector import with_sector
 from barquet.plans.daily import feature_table
@@ -22,14 +23,14 @@ def show(df: DataFrame, *cols: str, **places: int) -> DataFrame:
     """Key columns, plain columns and columns rounded to some places."""
     return df.select(
         "symbol", "trade_date", *cols,
-        *[F.round(c, n).alias(c) for c, n in places.items()],
+        *[half_even(C(c), n).alias(c) for c, n in places.items()],
     )
 
 
 def shown(src: str, *cols: str, **places: int) -> str:
     """The SQL twin of show()."""
     parts = ["symbol", "trade_date", *cols]
-    parts += [f"round({c}, {n}) AS {c}" for c, n in places.items()]
+    parts += [f"round_even({c}, {n}) AS {c}" for c, n in places.items()]
     return f"SELECT {', '.join(parts)} FROM {src}"
 
 
