@@ -85,22 +85,20 @@ def ema(
     decay = {s: (s - 1) / (s + 1) for s in spans}
 
     def local(s: int) -> Column:
-        gain = F.when(F.col("__seed"), F.lit(1.0)).otherwise(F.lit(1 - decay[s]))
-        term = F.col(value).cast("double") * gain * F.pow(F.lit(decay[s]), -F.col("__k"))
-        return F.pow(F.lit(decay[s]), F.col("__k")) * F.sum(term).over(
+        term = F.col(value).cast("double") * F.pow(F.lit(decay[s]), -F.col("__k"))
+        return F.pow(F.lit(decay[s]), F.col("__k")) * F.lit(1 - decay[s]) * F.sum(term).over(
             block.rowsBetween(Window.unboundedPreceding, 0)
         )
 
     def carried(s: int) -> Column:
-        total = F.aggregate(
-            "__ends",
-            F.lit(0.0),
-            lambda acc, e: acc * F.pow(F.lit(decay[s]), e["n"]) + e[f"l{s}"],
+        total = F.when(F.size("__ends") == 0, F.col("__first")).otherwise(
+            F.aggregate(
+                "__ends",
+                F.col("__first"),
+                lambda acc, e: acc * F.pow(F.lit(decay[s]), e["n"]) + e[f"l{s}"],
+            )
         )
-        return F.when(
-            F.size("__ends") > 0,
-            F.col(f"__l{s}") + F.pow(F.lit(decay[s]), F.col("__k") + 1) * total,
-        ).otherwise(F.col(f"__l{s}"))
+        return F.col(f"__l{s}") + F.pow(F.lit(decay[s]), F.col("__k") + 1) * total
 
     def settled(s: int) -> Column:
         x = F.col(value).cast("double")
@@ -112,8 +110,7 @@ def ema(
         .withColumns(
             {
                 "__k": (F.row_number().over(block) - 1).cast("double"),
-                "__seed": F.lag(F.lit(1)).over(whole).isNull(),
-                "__last": ~b(F.lead("__era").over(whole) == F.col("__era")),
+                "__last": F.lead(F.lit(1)).over(block).isNull(),
             }
         )
         .withColumns({f"__l{s}": local(s) for s in spans})
@@ -121,13 +118,18 @@ def ema(
     end = F.struct(
         (F.col("__k") + 1).alias("n"), *[F.col(f"__l{s}").alias(f"l{s}") for s in spans]
     )
-    staged = staged.withColumn(
-        "__ends", F.collect_list(F.when(F.col("__last"), end)).over(before)
+    staged = staged.withColumns(
+        {
+            "__ends": F.collect_list(F.when(F.col("__last"), end)).over(before),
+            "__first": F.first(F.col(value).cast("double")).over(
+                whole.rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        }
     )
     out = staged.withColumns({names[s]: carried(s) for s in spans}).withColumns(
         {names[s]: settled(s) for s in spans}
     )
-    return out.drop("__era", "__k", "__seed", "__last", "__ends", *[f"__l{s}" for s in spans])
+    return out.drop("__era", "__k", "__first", "__last", "__ends", *[f"__l{s}" for s in spans])
 
 
 def asof_backward(
@@ -192,27 +194,42 @@ def month_label(day: str = "trade_date") -> Column:
     return F.last_day(F.col(day))
 
 
+def streak_inputs(key: str = "symbol", order: str = "trade_date") -> dict[str, Column]:
+    """Columns a streak needs that do not depend on what is tested."""
+    w = series(key, order)
+    return {
+        "__pos": F.row_number().over(w),
+        "__next": F.lead(order).over(w),
+        "__start": F.first(order).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    }
+
+
+def last_off(active: Column, key: str = "symbol", order: str = "trade_date") -> Column:
+    """Position of the latest row that failed the test, and the date after it."""
+    upto = series(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    off = F.when(~b(active), F.struct(F.col("__pos").alias("p"), F.col("__next").alias("d")))
+    return F.last(off, ignorenulls=True).over(upto)
+
+
 def streak(
     df: DataFrame, active: Column, days: str, started: str,
     key: str = "symbol", order: str = "trade_date",
 ) -> DataFrame:
     """Length and first date of the current run of true rows.
 
-    The running position of the latest run start is carried forward, so no
-    second sort by run id is needed.
+    The run starts after the latest false row, whose position is carried
+    forward: no second sort by run id is needed. Inputs already present
+    (streak_inputs, and last_off as `__off`) are used as they are.
     """
-    w = series(key, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    have = set(df.columns)
+    df = df.withColumns({n: c for n, c in streak_inputs(key, order).items() if n not in have})
+    if "__off" not in have:
+        df = df.withColumn("__off", last_off(active, key, order))
     on = b(active)
-    staged = df.withColumns({"__on": on, "__pos": F.row_number().over(w)})
-    opens = F.col("__on") & ~b(F.lag("__on").over(w))
-    staged = staged.withColumn(
-        "__open", F.when(opens, F.struct(F.col("__pos").alias("p"), F.col(order).alias("d")))
-    ).withColumn("__open", F.last("__open", ignorenulls=True).over(upto))
-    return staged.withColumns(
+    return df.withColumns(
         {
-            days: F.when(F.col("__on"), F.col("__pos") - F.col("__open.p") + 1)
+            days: F.when(on, F.col("__pos") - F.coalesce("__off.p", F.lit(0)))
             .otherwise(F.lit(0)).cast("int"),
-            started: F.when(F.col("__on"), F.col("__open.d")),
+            started: F.when(on, F.coalesce("__off.d", "__start")),
         }
-    ).drop("__on", "__pos", "__open")
+    ).drop("__pos", "__next", "__start", "__off")

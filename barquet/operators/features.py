@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, EMA_SPANS, FEATURE_COLUMNS
@@ -31,9 +31,8 @@ def weinstein_stage(df: DataFrame) -> DataFrame:
     """Stage 1-4 from the position around, and the slope of, the long average."""
     r = DEFAULTS.features
     band = r.flat_band_pct
-    slope = F.coalesce(
-        change(C("ema_200"), lag("ema_200", r.slope_bars)) * 100, F.lit(0.0)
-    )
+    df = _layer(df, {"__ema_200_lag": lag("ema_200", r.slope_bars)})
+    slope = F.coalesce(change(C("ema_200"), C("__ema_200_lag")) * 100, F.lit(0.0))
     staged = df.withColumn("__slope", slope)
     close = C("close_price")
     advancing = all_of(
@@ -48,29 +47,39 @@ def weinstein_stage(df: DataFrame) -> DataFrame:
     return staged.withColumn(
         "weinstein_stage",
         F.when(advancing, 2).when(declining, 4).when(basing, 1).otherwise(3),
-    ).drop("__slope")
+    ).drop("__slope", "__ema_200_lag")
+
+
+def _layer(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are not there yet, as one window operator."""
+    missing = {n: c for n, c in columns.items() if n not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
+def _volume_windows() -> dict[str, Column]:
+    volume = C("volume").cast("double")
+    return {
+        "avg_volume_10": roll(F.avg, volume, 10),
+        "avg_volume_20": roll(F.avg, volume, 20),
+    }
 
 
 def volume_averages(df: DataFrame) -> DataFrame:
     """10- and 20-bar average volume and today's multiple of the latter."""
-    volume = C("volume").cast("double")
-    return df.withColumns(
-        {
-            "avg_volume_10": roll(F.avg, volume, 10),
-            "avg_volume_20": roll(F.avg, volume, 20),
-        }
-    ).withColumn("relative_volume", ratio(C("volume"), C("avg_volume_20")))
+    return _layer(df, _volume_windows()).withColumn(
+        "relative_volume", ratio(C("volume"), C("avg_volume_20"))
+    )
 
 
 def volatility(df: DataFrame) -> DataFrame:
     """Range, true range average, range volatility and its contraction."""
     r = DEFAULTS.features
-    prev = lag("close_price")
+    n = r.volatility_bars
+    df = _layer(df, {"__prev_close": lag("close_price")})
     true_range = F.greatest(
         C("high_price") - C("low_price"),
-        F.abs(C("high_price") - prev), F.abs(C("low_price") - prev),
+        F.abs(C("high_price") - C("__prev_close")), F.abs(C("low_price") - C("__prev_close")),
     )
-    n = r.volatility_bars
     return (
         df.withColumns(
             {
@@ -88,18 +97,31 @@ def volatility(df: DataFrame) -> DataFrame:
             "volatility_contraction",
             ratio(C("volatility_10"), roll(F.avg, C("volatility_10"), n, 1)),
         )
-        .drop("__tr")
+        .drop("__tr", "__prev_close")
     )
 
 
+def _year_windows() -> dict[str, Column]:
+    r = DEFAULTS.features
+    return {
+        "high_52w": roll(F.max, C("close_price"), r.year_bars, r.year_min_bars),
+        "low_52w": roll(F.min, C("close_price"), r.year_bars, r.year_min_bars),
+    }
+
+
 def year_range(df: DataFrame) -> DataFrame:
     """52-week high and low of the close."""
-    r = DEFAULTS.features
-    return df.withColumns(
+    return _layer(df, _year_windows())
+
+
+def _bar_windows(df: DataFrame) -> DataFrame:
+    """All windows over averages and bars alone, in one operator."""
+    return _layer(
+        df,
         {
-            "high_52w": roll(F.max, C("close_price"), r.year_bars, r.year_min_bars),
-            "low_52w": roll(F.min, C("close_price"), r.year_bars, r.year_min_bars),
-        }
+            **_volume_windows(), **_year_windows(), "__prev_close": lag("close_price"),
+            "__ema_200_lag": lag("ema_200", DEFAULTS.features.slope_bars),
+        },
     )
 
 
@@ -126,6 +148,7 @@ def build_features(bars: DataFrame, earnings: DataFrame | None = None) -> DataFr
     return (
         earnings_mark(bars, earnings)
         .transform(moving_averages)
+        .transform(_bar_windows)
         .transform(trend_score)
         .transform(weinstein_stage)
         .transform(volume_averages)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barquet.config import COMPOSITE_WEIGHTS, DEFAULTS
 from barquet.functions.predicates import all_of, b, change, clip, flag, half_even, ratio
 from barquet.functions.scalars import with_suffix
-from barquet.functions.windows import lag, roll, series, streak
+from barquet.functions.windows import lag, last_off, roll, series, streak, streak_inputs
 from barquet.schemas import require
 
 C = F.col
@@ -63,16 +63,44 @@ def attach_context(
     return out.join(small_side(index_returns(index_bars)), "trade_date", "left")
 
 
+# ------------------------------------------------------------------ shared windows
+def _window_inputs() -> dict[str, Column]:
+    """Window columns the signals share; all depend on features alone.
+
+    Computed together they are one window operator instead of one per signal.
+    """
+    n, need = R.pivot_bars, R.pivot_min_bars
+    close = C("close_price")
+    return {
+        "__ema_200_lag": lag("ema_200", R.trend_long_slope),
+        "__ema_50_lag": lag("ema_50", R.trend_short_slope),
+        "__bar_no": F.row_number().over(series()),
+        "__atr_peak": roll(F.max, C("atr_14"), R.vcp_atr_bars, R.vcp_atr_min_bars),
+        "__eve": F.lead("is_earnings_day", 1, 0).over(series()) == 1,
+        "__pivot": F.nullif(roll(F.max, close, n, need, shift=1), F.lit(0.0)),
+        "__base": F.nullif(roll(F.min, close, n, need, shift=1), F.lit(0.0)),
+        "__prev_close": lag("close_price"),
+        "__prev_volume_10": lag("avg_volume_10"),
+        "__rs_close": lag("close_price", R.rs_bars),
+    }
+
+
+def with_inputs(df: DataFrame, *names: str) -> DataFrame:
+    """Add the shared window columns that are still missing."""
+    every = _window_inputs()
+    missing = [n for n in (names or every) if n not in df.columns]
+    return df.withColumns({n: every[n] for n in missing}) if missing else df
+
+
 # ------------------------------------------------------------------ trend
 def trend_signal(df: DataFrame) -> DataFrame:
     """Stacked averages, both slopes up."""
-    return df.withColumn(
+    return with_inputs(df, "__ema_200_lag", "__ema_50_lag").withColumn(
         "trend_signal",
         flag(
             all_of(
                 C("close_price") > C("ema_50"), C("ema_50") > C("ema_150"), C("ema_150") > C("ema_200"),
-                C("ema_200") > lag("ema_200", R.trend_long_slope),
-                C("ema_50") > lag("ema_50", R.trend_short_slope),
+                C("ema_200") > C("__ema_200_lag"), C("ema_50") > C("__ema_50_lag"),
             )
         ),
     )
@@ -84,14 +112,15 @@ def stage2_signal(df: DataFrame) -> DataFrame:
     The stored 52-week columns equal the full-year range once the symbol has a
     year of bars, so no second 252-row window is evaluated.
     """
-    full_year = F.row_number().over(series()) >= DEFAULTS.features.year_bars
+    df = with_inputs(df, "__ema_200_lag", "__bar_no")
+    full_year = C("__bar_no") >= DEFAULTS.features.year_bars
     position = ratio(C("close_price") - C("low_52w"), C("high_52w") - C("low_52w"))
     return df.withColumn(
         "stage2_signal",
         flag(
             all_of(
                 C("close_price") > C("ema_150"), C("close_price") > C("ema_200"),
-                C("ema_200") > lag("ema_200", R.trend_long_slope),
+                C("ema_200") > C("__ema_200_lag"),
                 full_year, position >= R.stage2_range_position,
             )
         ),
@@ -123,9 +152,8 @@ def vcp_signal(df: DataFrame) -> DataFrame:
 
     The only look ahead is the next bar's announcement mark, known in advance.
     """
-    peak = roll(F.max, C("atr_14"), R.vcp_atr_bars, R.vcp_atr_min_bars)
-    atr_share = F.coalesce(ratio(C("atr_14"), peak), F.lit(1.0))
-    eve = F.lead("is_earnings_day", 1, 0).over(series()) == 1
+    df = with_inputs(df, "__atr_peak", "__eve")
+    atr_share = F.coalesce(ratio(C("atr_14"), C("__atr_peak")), F.lit(1.0))
     return df.withColumn(
         "vcp_signal",
         flag(
@@ -133,7 +161,7 @@ def vcp_signal(df: DataFrame) -> DataFrame:
                 C("stage2_signal") == 1, C("ema_alignment_signal") == 1,
                 C("volume_contraction_signal") == 1,
                 C("volatility_contraction_signal") == 1,
-                atr_share < R.vcp_atr_ratio, ~b(eve),
+                atr_share < R.vcp_atr_ratio, ~b(C("__eve")),
             )
         ),
     )
@@ -168,13 +196,7 @@ def quality_signal(df: DataFrame, pass_score: int = 6) -> DataFrame:
 # ------------------------------------------------------------------ breakout
 def pivot_levels(df: DataFrame) -> DataFrame:
     """Prior 20-bar high and low of the close, today excluded, and distances."""
-    n, need = R.pivot_bars, R.pivot_min_bars
-    return df.withColumns(
-        {
-            "__pivot": F.nullif(roll(F.max, C("close_price"), n, need, shift=1), F.lit(0.0)),
-            "__base": F.nullif(roll(F.min, C("close_price"), n, need, shift=1), F.lit(0.0)),
-        }
-    ).withColumns(
+    return with_inputs(df, "__pivot", "__base").withColumns(
         {
             "pivot_price": half_even(C("__pivot"), 2),
             "base_low_price": half_even(C("__base"), 2),
@@ -192,9 +214,10 @@ def _stacked() -> Column:
 
 def breakout_signal(df: DataFrame) -> DataFrame:
     """Close over the pivot with thirteen guards."""
-    gap = change(C("open_price"), lag("close_price"))
+    df = with_inputs(df, "__pivot", "__base", "__prev_close", "__prev_volume_10")
+    gap = change(C("open_price"), C("__prev_close"))
     gap_trap = all_of(gap > R.breakout_max_gap, C("close_price") < C("open_price"))
-    dry_up = ratio(lag("avg_volume_10"), C("avg_volume_20")) < R.breakout_dry_up
+    dry_up = ratio(C("__prev_volume_10"), C("avg_volume_20")) < R.breakout_dry_up
     base_range = ratio(C("__pivot") - C("__base"), C("__pivot"))
     close_position = ratio(C("close_price") - C("low_price"), C("high_price") - C("low_price"))
     late = all_of(C("stage2_days") > 0, C("stage2_days") > R.breakout_max_stage2_days)
@@ -231,8 +254,8 @@ def breakout_ready_signal(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ relative strength
 def relative_strength(df: DataFrame) -> DataFrame:
     """Return over the lookback against the index."""
-    own = change(C("close_price"), lag("close_price", R.rs_bars))
-    return df.withColumn("__own", own).withColumns(
+    own = change(C("close_price"), C("__rs_close"))
+    return with_inputs(df, "__rs_close").withColumn("__own", own).withColumns(
         {
             "rs_signal": flag(C("__own") > C("__index_return")),
             "rs_value": half_even((C("__own") - C("__index_return")) * 100, 2),
@@ -240,15 +263,21 @@ def relative_strength(df: DataFrame) -> DataFrame:
     ).drop("__own")
 
 
+def _rs_past() -> Column:
+    return roll(F.max, C("rs_value"), R.rs_high_bars, R.rs_high_min_bars, shift=1)
+
+
 def rs_new_high(df: DataFrame) -> DataFrame:
     """Relative strength above its own past year."""
-    past = roll(F.max, C("rs_value"), R.rs_high_bars, R.rs_high_min_bars, shift=1)
-    return df.withColumn("rs_new_high", flag(C("rs_value") > past))
+    if "__rs_past" not in df.columns:
+        df = df.withColumn("__rs_past", _rs_past())
+    return df.withColumn("rs_new_high", flag(C("rs_value") > C("__rs_past"))).drop("__rs_past")
 
 
 # ------------------------------------------------------------------ templates
 def minervini_signal(df: DataFrame) -> DataFrame:
     """Eight-condition trend template."""
+    df = with_inputs(df, "__ema_200_lag")
     below_high = ratio(C("high_52w") - C("close_price"), C("high_52w"))
     return df.withColumn(
         "minervini_signal",
@@ -256,7 +285,7 @@ def minervini_signal(df: DataFrame) -> DataFrame:
             all_of(
                 C("close_price") > C("ema_150"), C("close_price") > C("ema_200"),
                 C("ema_150") > C("ema_200"),
-                C("ema_200") > lag("ema_200", R.template_slope),
+                C("ema_200") > C("__ema_200_lag"),
                 C("ema_50") > C("ema_150"), C("ema_50") > C("ema_200"),
                 C("close_price") > C("ema_50"),
                 change(C("close_price"), C("low_52w")) >= R.template_min_gain_from_low,
@@ -397,14 +426,24 @@ def raw_signals(
     fundamentals: DataFrame | None = None,
     pass_score: int = 6,
 ) -> DataFrame:
-    """Every signal up to the composite score."""
-    return (
+    """Every signal up to the composite score.
+
+    Windows come in three layers: those of features alone, those of the Stage 2
+    flag and relative strength, and the symbol's set of scores.
+    """
+    base = with_inputs(
         attach_context(
             require(features, SIGNAL_INPUT).select(*SIGNAL_INPUT), index_bars, fundamentals
-        )
-        .transform(trend_signal)
-        .transform(stage2_signal)
+        ).withColumns(streak_inputs())
+    )
+    second = (
+        base.transform(trend_signal).transform(stage2_signal).transform(relative_strength)
+        .withColumns({"__off": last_off(C("stage2_signal") == 1), "__rs_past": _rs_past()})
+    )
+    return (
+        second
         .transform(stage2_age)
+        .transform(rs_new_high)
         .transform(contraction_signals)
         .transform(vcp_signal)
         .transform(liquidity_signal)
@@ -412,8 +451,6 @@ def raw_signals(
         .transform(pivot_levels)
         .transform(breakout_signal)
         .transform(breakout_ready_signal)
-        .transform(relative_strength)
-        .transform(rs_new_high)
         .transform(minervini_signal)
         .transform(darvas_signal)
         .transform(composite)
