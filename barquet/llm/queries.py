@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import chat, packing, quality_rules, records
-from barquet.llm.common import table
+from barquet.llm import chat, compression, language_id, packing, quality_rules, records
+from barquet.llm.common import table, text_crc32
 from barquet.session import shared_folder
 
 
@@ -30,6 +30,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(text_crc32(F.col("doc_id")) % 5, F.lit(0))
+    model = language_id.train(docs.filter(fold != 0))
+    return language_id.predict(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     indexed = records.write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -84,10 +93,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(text_crc32(F.col("doc_id")) % 3, F.lit(1))
+    labels = table(spark, sf_dir, "labels").filter(fold != 1)
+    model = compression.train(docs.filter(fold != 1), labels)
+    return compression.score(docs, model).select(
+        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op6_records": op6_records,
     "op7_chat": op7_chat,
+    "op10_compression": op10_compression,
 }
 ORACLES: dict[str, str] = {"op7_chat": OP7_SQL}
