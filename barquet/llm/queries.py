@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import chat, compression, language_id, packing, quality_rules, records
+from barquet.llm import archive, chat, compression, extract, language_id, packing, quality_rules, records
 from barquet.llm.common import table, text_crc32
 from barquet.session import shared_folder
 
@@ -39,6 +39,32 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write(table(spark, sf_dir, "pages"), folder)
+    return archive.parse(archive.records(spark, folder))
+
+
+OP4_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), sized AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest, sha256(payload) AS strong
+  FROM payloads
+), newest AS (
+  SELECT strong, max(page_id) AS newest FROM sized WHERE payload_bytes >= 1000 GROUP BY strong
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN newest IS NULL OR newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM sized LEFT JOIN newest USING (strong)
+"""
+
+
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     indexed = records.write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -107,8 +133,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_archive": op4_archive,
     "op6_records": op6_records,
     "op7_chat": op7_chat,
+    "op8_extract": op8_extract,
     "op10_compression": op10_compression,
 }
-ORACLES: dict[str, str] = {"op7_chat": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_archive": OP4_SQL, "op7_chat": OP7_SQL}
