@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 import numpy as np
@@ -10,10 +9,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: what separates words in all contracts.
+# Fixed value: what separates words in all contracts; bytes.split() takes the same.
 BLANKS = " \t\n\x0b\f\r"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+# Rows of ids a side may have and still be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of ids, marked for broadcast if a count finds it small enough;
+    beyond that the join shuffles."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 def importable(spark: SparkSession) -> None:
@@ -34,12 +40,9 @@ def text_crc32(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text)
-
-
-def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
+def lower_words(text: str | None) -> list[bytes]:
+    """Words in UTF-8, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 class WordHashes:
@@ -47,9 +50,9 @@ class WordHashes:
 
     def __init__(self, entries: int = 1_000_000):
         self._entries = entries
-        self._memo: dict[str, int] = {}
+        self._memo: dict[bytes, int] = {}
 
-    def __call__(self, found: list[str]) -> np.ndarray:
+    def __call__(self, found: list[bytes]) -> np.ndarray:
         memo = self._memo
         try:
             return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
@@ -58,7 +61,7 @@ class WordHashes:
         if len(memo) > self._entries:
             memo.clear()
         for word in set(found).difference(memo):
-            memo[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+            memo[word] = xxhash.xxh64_intdigest(word)
         return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import archive, chat, compression, extract, language_id, packing, quality_rules, records
+from barquet.llm import archive, chat, compression, extract, jaccard_join, language_id, packing, quality_rules, records
 from barquet.llm.common import table, text_crc32
 from barquet.session import shared_folder
 
@@ -129,6 +129,10 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -137,6 +141,7 @@ QUERIES = {
     "op6_records": op6_records,
     "op7_chat": op7_chat,
     "op8_extract": op8_extract,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_compression": op10_compression,
 }
 ORACLES: dict[str, str] = {"op4_archive": OP4_SQL, "op7_chat": OP7_SQL}
