@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import archive, chat, compression, extract, jaccard_join, language_id, packing, quality_rules, records
+from barquet.llm import archive, chat, compression, decontaminate, extract, jaccard_join, language_id, packing, quality_rules, records
 from barquet.llm.common import table, text_crc32
 from barquet.session import shared_folder
 
@@ -65,6 +65,10 @@ def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     indexed = records.write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -138,6 +142,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_archive": op4_archive,
+    "op5_decontamination": op5_decontamination,
     "op6_records": op6_records,
     "op7_chat": op7_chat,
     "op8_extract": op8_extract,
