@@ -38,8 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, checked_broadcast, shingle_hashes
-from barquet.session import materialize
+from barquet.llm.common import WordHashes, shingle_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -172,16 +171,21 @@ class Items:
 FOUND = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """One row for each document and item that it leaks, with its most similar window."""
+def _blocks(benchmark: DataFrame, radius: int) -> Iterator[Items]:
+    """The benchmark in blocks of a bounded size, each indexed."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars) // BLOCK_CHARS + 1
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        known = Items.build(sorted(((r["item_id"], r["text"]) for r in block), key=str), radius)
+        yield Items.build(sorted(((r["item_id"], r["text"]) for r in block), key=str), radius)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """One row for each document and item that it leaks, with its most similar window."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = None
+    for known in _blocks(benchmark, radius):
 
         def run(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -199,10 +203,13 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radiu
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` which leak no item."""
-    leaking = materialize(find(docs, benchmark, **options).select("doc_id").distinct(), "leaking")
-    # A row without doc_id cannot be named by the search: it is judged with all its like.
-    return docs.join(
-        checked_broadcast(leaking), docs["doc_id"].eqNullSafe(leaking["doc_id"]), "left_anti"
-    )
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, unchanged, which leak no item."""
+    for known in _blocks(benchmark, radius):
+
+        def run(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not known.leaks(t.as_py(), least) for t in batch.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 500
@@ -210,6 +210,12 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def training_filter(column: Column, folds: int = 5) -> Column:
-    """Rows to learn from: all but every fifth by id checksum."""
-    return column % folds != 0
+def confident(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of `docs`, unchanged, whose text has a language with at least this score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.predict(t.as_py()) for t in batch.column("text")]
+            yield batch.filter(pa.array([a != UNKNOWN and s >= least for a, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import BLANKS
+from barquet.llm.common import BLANKS, checked_broadcast
 from barquet.session import materialize
 
 WINDOW = 5
@@ -53,10 +53,10 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row for each document: base counts and the features of the learner."""
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `carry` columns of every row, base counts and the learner's features."""
     text = docs.select(
-        F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.struct(*carry).alias("carried"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("trimmed", F.trim(F.col("text"), F.lit(BLANKS)))
     split = text.withColumn(
         "words", F.when(F.col("trimmed") != "", F.split("trimmed", r"[\x20\x09-\x0D]+"))
@@ -65,7 +65,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "lines", F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     )
     hashed = split.select(
-        "doc_id", "text",
+        "carried", "text",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -101,7 +101,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     chars = F.length("text")
     counted = starts.select(
-        "doc_id", "n_words", "n_lines", "n_dup_lines",
+        "carried", "n_words", "n_lines", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         chars.cast("long").alias("n_chars"),
         (F.length(_without(F.col("text"), BLANKS))).cast("long").alias("word_chars"),
@@ -114,7 +114,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     w = F.greatest(F.col("n_words"), F.lit(1))
     c = F.greatest(F.col("word_chars"), F.lit(1))
     return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *(F.col("carried")[c].alias(c) for c in carry), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / w).alias("mean_word"),
         (F.col("n_symbols") / c).alias("symbol_share"),
         (F.col("n_repeat_words") / w).alias("repeat_share"),
@@ -261,12 +261,29 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def _marked(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").select(
+        "doc_id", (F.col("quality") == 0).alias("bad")
+    )
+
+
 def apply(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Measure `docs`, learn from labelled ones that pass the base test (`quality` 0 is
     bad), judge all."""
     stats = materialize(statistics(docs), "statistics")
-    marked = labels.filter("doc_id is not null and quality is not null").select(
-        "doc_id", (F.col("quality") == 0).alias("bad")
-    )
-    open_rows = stats.filter(~base_failed()).join(marked, "doc_id")
+    open_rows = stats.filter(~base_failed()).join(_marked(labels), "doc_id")
     return judge(stats, learn(open_rows, **options))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, unchanged, that pass the base test and the learned rules.
+
+    Labelled rows are measured first, to learn; then each row is judged by itself."""
+    marked = materialize(_marked(labels), "marked")
+    known = docs.select("doc_id", "text").join(checked_broadcast(marked), "doc_id").select("doc_id", "text", "bad")
+    rules = learn(materialize(statistics(known, ("doc_id", "bad")), "statistics").filter(~base_failed()), **options)
+    judged = judge(statistics(docs.select("text", F.struct(*docs.columns).alias("whole")), ("whole",)), rules)
+    # The row number, never negative, keeps the optimizer from pushing the filter below the
+    # measuring, where it would be repeated.
+    numbered = judged.select("whole", "kept", F.monotonically_increasing_id().alias("row"))
+    return numbered.filter("kept and row >= 0").select("whole.*")
