@@ -30,6 +30,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<",
     re.S,
 )
+# A tag with a quote that never ends.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -97,10 +99,10 @@ def parse(html: str) -> Node:
     at, dropping, depth = 0, "", 0
     while at < len(html):
         m = _TOKEN.match(html, at)
-        if m is None:  # a tag with an open quote
-            m = re.compile("<").match(html, at)
+        if m[0] == "<":
+            m = _LOOSE.match(html, at) or m
         at = m.end()
-        closing, tag, attributes = m[1], m[2], m[3]
+        closing, tag, attributes = m.groups()
         if tag is None:
             if not dropping and (m[0] == "<" or m[0][0] != "<"):
                 here.items.append(m[0])
