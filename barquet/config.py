@@ -220,7 +220,6 @@ class BacktestRules:
     target: float = 0.20
     max_holding_days: int = 60
     min_composite: float = 50.0
-    forward_buffer_days: int = 120
     trading_days: int = 252
     histogram_bins: int = 30
     blocked_state: str = "DEFENSIVE"
@@ -420,6 +419,7 @@ class MLRules:
 
     win_reason: str = "TARGET"
     trees: int = 400
+    patience: int = 50
     depth: int = 5
     learning_rate: float = 0.04
     min_child: int = 15

@@ -37,9 +37,9 @@ def entries_for(
     return rows.withColumn("strategy", F.lit(name or entry_signal))
 
 
-def _reachable(panels: Panels, start: date, end: date) -> DataFrame:
-    """Prices from the first entry day to the forward buffer's end."""
-    last = end + timedelta(days=R.forward_buffer_days)
+def _reachable(panels: Panels, start: date, end: date, max_holding_days: int) -> DataFrame:
+    """Prices from the first entry day to the last day a trade can be held."""
+    last = end + timedelta(days=max_holding_days)
     return panels.prices.filter(F.col("trade_date").between(start, last))
 
 
@@ -51,17 +51,23 @@ def run(
     """Closed trades of one signal."""
     entries = entries_for(panels, entry_signal, start, end, name, **bounds)
     return backtest.trade_exits(
-        entries, _reachable(panels, start, end), stop_loss, target, max_holding_days
+        entries, _reachable(panels, start, end, max_holding_days), stop_loss, target,
+        max_holding_days,
     )
 
 
 def compare(
     panels: Panels, start: date, end: date,
-    strategies: Sequence[tuple[str, str, int | None]] = STRATEGIES, **exit_rules,
+    strategies: Sequence[tuple[str, str, int | None]] = STRATEGIES,
+    stop_loss: float = R.stop_loss, target: float = R.target,
+    max_holding_days: int = R.max_holding_days,
 ) -> DataFrame:
     """Closed trades of several strategies in one pass over the panels."""
     entries = backtest.strategy_entries(
         strategies, start, end, panels.signals, panels.prices, panels.regime,
         panels.timeframes, panels.price_action, panels.environment,
     )
-    return backtest.trade_exits(entries, _reachable(panels, start, end), **exit_rules)
+    return backtest.trade_exits(
+        entries, _reachable(panels, start, end, max_holding_days), stop_loss, target,
+        max_holding_days,
+    )

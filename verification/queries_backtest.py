@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from barquet.operators import backtest, calibration, ml
@@ -63,6 +65,16 @@ def _(s: Stages):
                            0.03, 0.05, 10, name="vcp")
 
 
+@register("backtest_long_hold", exits(
+    entries("long", "breakout_ready_signal", None, 50,
+            "s.trade_date <= (SELECT min(trade_date) FROM bars) + 300"), 0.9, 0.9, 200))
+def _(s: Stages):
+    """J9 and A9 with a holding period beyond the entries' own range."""
+    first = s.first_day()
+    return backtesting.run(s.panels(), "breakout_ready_signal", first, first + timedelta(days=300),
+                           0.9, 0.9, 200, name="long")
+
+
 @register("strategy_trades", "SELECT * FROM trades")
 def _(s: Stages):
     """Six strategies in one job."""
@@ -247,9 +259,7 @@ def _(s: Stages):
 @register("ml_scores")
 def _(s: Stages):
     """M2-M4: train on labelled entries, score one date. Rows only: the trees are MLlib's."""
-    model, _metrics = ml.train(
-        s._stored("ml_training", lambda: _labelled(s)), trees=20
-    )
+    model, _metrics = ml.train(s._stored("ml_training", lambda: _labelled(s)))
     return ml.score_date(
         model, s.signals(), s.timeframes(), s.price_action(), s.regime(), s.screen_day()
     )
