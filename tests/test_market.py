@@ -159,15 +159,29 @@ def test_gaps_only_in_the_recent_past(spark):
     assert [(r.gap_start, r.gap_days) for r in got] == [(date(2024, 5, 1), 6)]
 
 
-def test_report_shows_the_head_of_a_long_symbol_list(spark):
+def test_report_has_every_symbol(spark):
     day = date(2024, 1, 1)
     log = spark.createDataFrame(
         [(day, "thin_history", f"S{i:04d}", "", 1) for i in range(500)]
         + [(day - timedelta(days=9), "thin_history", "OLD", "", 1)], QUALITY_LOG)
     rows = quality.log_report(log, day).collect()
-    full = ", ".join(f"S{i:04d}" for i in range(500))
     assert len(rows) == 1 and rows[0].issues == 500 and rows[0].rows_deleted == 500
-    assert rows[0].symbols == full[:60]
+    named = quality.log_symbols(log, day).collect()
+    assert sorted(r.symbol for r in named) == [f"S{i:04d}" for i in range(500)]
+    assert {(r.run_date, r.check_type, r.issues) for r in named} == {(day, "thin_history", 1)}
+
+
+def test_several_indices_are_refused_or_chosen(spark):
+    from barquet.functions.days import one_per_day
+
+    day = date(2024, 1, 1)
+    rows = spark.createDataFrame(
+        [("A", day, 1.0), ("B", day, 2.0), ("A", day + timedelta(days=1), None)],
+        "index_code string, trade_date date, x double")
+    got = one_per_day(rows, "A").orderBy("trade_date").collect()
+    assert [r.x for r in got] == [1.0, None]
+    with pytest.raises(Exception, match="choose one index_code"):
+        one_per_day(rows).collect()
 
 
 # ------------------------------------------------------------------ universe

@@ -367,14 +367,20 @@ def _(s: Stages):
 
 
 @register("quality_report", """
-SELECT run_date, check_type, count(*) AS issues, sum(rows_affected)::BIGINT AS rows_deleted,
-       substr(string_agg(symbol, ', ' ORDER BY symbol), 1, 60) AS symbols
+SELECT run_date, check_type, count(*) AS issues, sum(rows_affected)::BIGINT AS rows_deleted
 FROM qlog GROUP BY 1, 2""")
 def _(s: Stages):
     """A7, week report."""
     return quality.log_report(*_qlog(s))
 
 
+@register("quality_report_symbols", """
+SELECT run_date, check_type, symbol, count(*) AS issues FROM qlog GROUP BY 1, 2, 3""")
+def _(s: Stages):
+    """A7, every symbol of the week report."""
+    return quality.log_symbols(*_qlog(s))
+
+
 # ------------------------------------------------------------------ universe
 def _tickers(s: Stages) -> DataFrame:
     """Suppliers and parts as tickers; only suppliers have prices."""
