@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, ENTRY_SIGNALS, UNKNOWN_REGIME
+from barquet.functions.days import one_per_day
 from barquet.functions.predicates import b, half_even, ratio
-from barquet.session import materialize, small_side
+from barquet.session import materialize
 
 C = F.col
 R = DEFAULTS.backtest
@@ -65,7 +66,7 @@ def signal_entries(
             ~b(C("cash_mode")) & (C("market_state") != R.blocked_state)
         ).select("trade_date")
         rows = rows.join(hits, key, "left_semi").join(
-            small_side(open_days), "trade_date", "left_semi"
+            open_days, "trade_date", "left_semi"
         )
     if min_mtf_score is not None:
         aligned = timeframes.filter(in_range).select(*key, "mtf_score")
@@ -73,10 +74,10 @@ def signal_entries(
             F.coalesce("mtf_score", F.lit(0)) >= min_mtf_score
         )
     priced = prices.filter(in_range).select(*key, C("close_price").alias("entry_price"))
-    states = regime.select("trade_date", C("market_status").alias("regime"))
+    states = one_per_day(regime.select("trade_date", C("market_status").alias("regime")))
     return (
         rows.join(priced, key)
-        .join(small_side(states), "trade_date", "left")
+        .join(states, "trade_date", "left")
         .select(
             C("trade_date").alias("entry_date"), "symbol", "composite_score", "stage2_days",
             "entry_price", F.coalesce("regime", F.lit(UNKNOWN_REGIME)).alias("regime"),
@@ -106,7 +107,7 @@ def strategy_entries(
     key = ["symbol", "trade_date"]
     in_range = C("trade_date").between(start, end)
     plain = sorted({s for _, s, _ in strategies if s not in PA_ENTRIES} | {"breakout_signal"})
-    days = regime.select("trade_date", C("market_status").alias("regime"))
+    days = one_per_day(regime.select("trade_date", C("market_status").alias("regime")))
     open_days = environment.select(
         "trade_date",
         (~b(C("cash_mode")) & (C("market_state") != R.blocked_state)).alias("__open"),
@@ -116,8 +117,8 @@ def strategy_entries(
         .select(*key, "composite_score", "stage2_days", *plain)
         .join(price_action.filter(in_range).select(*key, "pa_signal"), key, "left")
         .join(timeframes.filter(in_range).select(*key, "mtf_score"), key, "left")
-        .join(small_side(open_days), "trade_date", "left")
-        .join(small_side(days), "trade_date", "left")
+        .join(open_days, "trade_date", "left")
+        .join(days, "trade_date", "left")
     )
     acted = b(C("pa_signal") == 1) & b(C("__open"))
 
@@ -249,7 +250,7 @@ def equity_curve(trades: DataFrame) -> DataFrame:
         F.coalesce(F.sum("__sum").over(before), zero).alias("__start"),
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"),
     )
-    running = fixed.join(small_side(starts), ["strategy", "__piece"]).withColumns(
+    running = fixed.join(starts, ["strategy", "__piece"]).withColumns(
         {
             "trade_no": C("__offset") + F.row_number().over(piece),
             "cumulative_return": C("__start") + F.sum("return_pct").over(upto),
@@ -259,7 +260,7 @@ def equity_curve(trades: DataFrame) -> DataFrame:
     tops = tops.select(
         "strategy", "__piece", F.max("__top").over(before).alias("__top_before")
     )
-    out = running.join(small_side(tops), ["strategy", "__piece"], "left").withColumn(
+    out = running.join(tops, ["strategy", "__piece"], "left").withColumn(
         "peak", F.greatest(F.max("equity").over(upto), C("__top_before"))
     )
     return out.select(
@@ -319,7 +320,7 @@ def performance(trades: DataFrame) -> DataFrame:
 def performance_report(trades: DataFrame) -> DataFrame:
     """Performance with the deepest drawdown of each strategy's curve."""
     return performance(trades).join(
-        small_side(max_drawdown(equity_curve(trades))), "strategy", "left"
+        max_drawdown(equity_curve(trades)), "strategy", "left"
     )
 
 
@@ -340,7 +341,7 @@ def return_histogram(trades: DataFrame, bins: int = R.histogram_bins) -> DataFra
         F.min("return_pct").alias("lo"), F.max("return_pct").alias("hi")
     )
     spot = F.floor(ratio(C("return_pct") - C("lo"), C("hi") - C("lo")) * bins)
-    placed = known.join(small_side(ends), "strategy").withColumn(
+    placed = known.join(ends, "strategy").withColumn(
         "bin", F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)).cast("int")
     )
     return placed.groupBy("strategy", "bin").agg(

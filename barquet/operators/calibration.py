@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from barquet.config import DEFAULTS, UNKNOWN_REGIME
 from barquet.functions.predicates import half_even
 from barquet.functions.scalars import score_bucket
-from barquet.session import small_side
 
 C = F.col
 R = DEFAULTS.targets
@@ -65,7 +64,7 @@ def confidence_model(
     regimes = environment.select("trade_date", C("market_state").alias("market_regime"))
     rates = {t: half_even(F.avg(f"hit_{t}") * 100, 1).alias(f"hit_rate_{t}") for t, _ in HORIZONS}
     return (
-        hits.join(small_side(regimes), "trade_date", "left")
+        hits.join(regimes, "trade_date", "left")
         .withColumn("market_regime", F.coalesce("market_regime", F.lit(UNKNOWN_REGIME)))
         .groupBy("score_bucket", "market_regime")
         .agg(F.count("*").alias("sample_count"), *rates.values())

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barquet.config import DEFAULTS, FALLBACK_STATE
+from barquet.functions.days import one_per_day
 from barquet.functions.predicates import all_of, b, change, flag
 from barquet.functions.windows import ema, roll, series
-from barquet.session import small_side
 
 C = F.col
 R = DEFAULTS.regime
@@ -71,7 +71,7 @@ def score_states(states: DataFrame) -> DataFrame:
 def market_state(scored: DataFrame, states: DataFrame) -> DataFrame:
     """State of each score; scores outside every range are BEAR."""
     return scored.join(
-        small_side(score_states(states)), "regime_score", "left"
+        score_states(states), "regime_score", "left"
     ).withColumn("market_status", F.coalesce("market_status", F.lit(FALLBACK_STATE)))
 
 
@@ -104,8 +104,13 @@ def current_regime(index_bars: DataFrame, states: DataFrame) -> DataFrame:
     return _regime_rows(numbered.filter(newest), states)
 
 
-def environment(regime: DataFrame, states: DataFrame) -> DataFrame:
-    """Exposure and permissions of each session's state; unknown states are all off."""
+def environment(
+    regime: DataFrame, states: DataFrame, index_code: str | None = None
+) -> DataFrame:
+    """Exposure and permissions of each session's state; unknown states are all off.
+
+    One row per session: of the index named, or of the only one.
+    """
     limits = states.select(
         C("state_code").alias("market_state"), "exposure_level", "max_position_size",
         "allow_breakouts", "allow_pyramiding", "cash_mode",
@@ -113,8 +118,9 @@ def environment(regime: DataFrame, states: DataFrame) -> DataFrame:
     off = {"exposure_level": 0.0, "max_position_size": 0.0, "allow_breakouts": False,
            "allow_pyramiding": False, "cash_mode": True}
     return (
-        regime.select("trade_date", C("market_status").alias("market_state"), "regime_score")
-        .join(small_side(limits), "market_state", "left")
+        one_per_day(regime, index_code)
+        .select("trade_date", C("market_status").alias("market_state"), "regime_score")
+        .join(limits, "market_state", "left")
         .withColumns({c: F.coalesce(C(c), F.lit(v)) for c, v in off.items()})
         .select("trade_date", "market_state", "regime_score", *off)
     )
@@ -228,10 +234,13 @@ def regime_table(
     )
 
 
-def gate_rows(env: DataFrame, distribution: DataFrame) -> DataFrame:
+def gate_rows(
+    env: DataFrame, distribution: DataFrame, index_code: str | None = None
+) -> DataFrame:
     """Inputs of the signal gate: permissions and distribution days by date."""
+    days = one_per_day(distribution, index_code)
     return env.join(
-        distribution.select("trade_date", "distribution_count"), "trade_date", "left"
+        days.select("trade_date", "distribution_count"), "trade_date", "left"
     ).select("trade_date", "allow_breakouts", "cash_mode", "distribution_count")
 
 

@@ -56,9 +56,31 @@ def _value(raw: float | str) -> float:
     return float(raw)
 
 
+# Another name of a field.
+_ALIASES = {"stage 2": "Stage2"}
+
+
+def resolve_field(field: str, columns: Sequence[str]) -> str | None:
+    """Column of a display or column name in any case; None for a known display
+    name whose column is absent. Other names raise ValueError."""
+    word = field.strip().lower()
+    shown = {k.lower(): v for k, v in SCREEN_FIELDS.items()}
+    for alias, target in _ALIASES.items():
+        if target in SCREEN_FIELDS:
+            shown.setdefault(alias, SCREEN_FIELDS[target])
+    own = {c.lower(): c for c in columns}
+    if word in shown:
+        return own.get(shown[word].lower())
+    if word in own:
+        return own[word]
+    raise ValueError(f"unknown screen field {field!r}")
+
+
 def _predicate(test: Test, columns: Sequence[str]) -> Column:
-    name = SCREEN_FIELDS.get(test.field, test.field)
-    if name not in columns or test.op not in _COMPARE:
+    if test.op not in _COMPARE:
+        raise ValueError(f"unknown operator {test.op!r}")
+    name = resolve_field(test.field, columns)
+    if name is None:
         return F.lit(True)
     return b(_COMPARE[test.op](C(f"`{name}`").cast("double"), F.lit(_value(test.value))))
 
@@ -66,7 +88,8 @@ def _predicate(test: Test, columns: Sequence[str]) -> Column:
 def screen_condition(conditions: Sequence[Test | AnyOf], columns: Sequence[str]) -> Column:
     """One predicate, folded left to right without precedence.
 
-    A OR B AND C means (A OR B) AND C. Unknown columns hold, nulls fail.
+    A OR B AND C means (A OR B) AND C. Names match in any case; an unknown field or
+    operator raises ValueError, a known field whose column is absent holds, nulls fail.
     """
     def step(mask: Column, cond: Test | AnyOf) -> Column:
         tests = cond.tests if isinstance(cond, AnyOf) else (cond,)
@@ -235,10 +258,15 @@ def ranked_by_each(
 def two_tier_sort(df: DataFrame, order_by: str = "Score", ascending: bool = False) -> DataFrame:
     """Rows whose sort value reaches 50 by expected value, the others by sort value.
 
-    The threshold applies to the chosen sort column, whatever it is. Expected
+    An unknown sort field falls back to Score. The threshold applies to the chosen sort column, whatever it is. Expected
     values of the second tier are blanked.
     """
-    name = SCREEN_FIELDS.get(order_by, order_by)
+    try:
+        name = resolve_field(order_by, df.columns)
+    except ValueError:
+        name = None
+    if name is None:
+        name = SCREEN_FIELDS["Score"]
     if name not in df.columns:
         return df
     value, ev = C(f"`{name}`").cast("double"), C("ev_score")

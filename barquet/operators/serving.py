@@ -296,7 +296,7 @@ def load_presets(table: DataFrame) -> tuple[dict[str, dict[str, int]], str]:
     """
     rows = (
         table.filter(b(C("is_active")))
-        .orderBy("sort_order", "preset_name", "signal_name").limit(10_000).collect()
+        .orderBy("sort_order", "preset_name", "signal_name").collect()
     )
     if not rows:
         return {n: dict(w) for n, w in PRESETS.items()}, next(iter(PRESETS))

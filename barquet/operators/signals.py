@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet.config import COMPOSITE_WEIGHTS, DEFAULTS
+from barquet.functions.days import one_per_day
 from barquet.functions.predicates import all_of, b, change, clip, flag, half_even, ratio
 from barquet.functions.scalars import with_suffix
 from barquet.functions.windows import lag, last_off, roll, series, streak, streak_inputs
@@ -32,10 +33,10 @@ def latest_quality(fundamentals: DataFrame) -> DataFrame:
 
 
 def index_returns(index_bars: DataFrame) -> DataFrame:
-    """Index return over the relative-strength lookback, by date."""
+    """Index return over the relative-strength lookback, by index and date."""
     w = series("index_code")
     return index_bars.select(
-        "trade_date",
+        "index_code", "trade_date",
         change(C("close"), F.lag("close", R.rs_bars).over(w)).alias("__index_return"),
     )
 
@@ -44,15 +45,14 @@ def attach_context(
     features: DataFrame,
     index_bars: DataFrame | None = None,
     fundamentals: DataFrame | None = None,
+    index_code: str | None = None,
 ) -> DataFrame:
     """Join index returns and fundamentals onto the panel.
 
     The fundamentals side is keyed in panel form, so when it outgrows a
     broadcast the shuffle on symbol is the one the windows need anyway. The
-    index side has one row per session and is broadcast after a size check.
+    index side has one row per session, of the index named or of the only one.
     """
-    from barquet.session import small_side
-
     out = features
     if fundamentals is None:
         out = out.withColumn("__quality", F.lit(None).cast("int"))
@@ -60,7 +60,8 @@ def attach_context(
         out = out.join(latest_quality(fundamentals), "symbol", "left")
     if index_bars is None:
         return out.withColumn("__index_return", F.lit(None).cast("double"))
-    return out.join(small_side(index_returns(index_bars)), "trade_date", "left")
+    returns = one_per_day(index_returns(index_bars), index_code).select("trade_date", "__index_return")
+    return out.join(returns, "trade_date", "left")
 
 
 # ------------------------------------------------------------------ shared windows

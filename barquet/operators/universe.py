@@ -111,26 +111,26 @@ def first_missing_session(
     forming every symbol-session pair: the first position that the sorted
     positions skip. Symbols with no row at all miss the first session.
     """
-    cal = F.broadcast(calendar)
     present = (
-        prices.select("symbol", "trade_date").join(cal, "trade_date")
+        prices.select("symbol", "trade_date").join(calendar, "trade_date")
         .groupBy("symbol").agg(F.collect_set("session_no").alias("__seen"))
     )
-    sessions = calendar.count()  # bounded by the caller's choice of calendar
+    last = calendar.agg(F.coalesce(F.max("session_no"), F.lit(0)).alias("__last"))  # one row
     gaps = (
-        symbols.select("symbol").join(present, "symbol", "left")
+        symbols.select("symbol").join(present, "symbol", "left").crossJoin(F.broadcast(last))
         .withColumn(
             "session_no",
             F.array_min(
                 F.array_except(
-                    F.sequence(F.lit(1), F.lit(sessions)),
+                    F.when(C("__last") > 0, F.sequence(F.lit(1), C("__last")))
+                    .otherwise(F.array().cast("array<int>")),
                     F.coalesce(C("__seen"), F.array().cast("array<int>")),
                 )
             ),
         )
         .filter(C("session_no").isNotNull())
     )
-    return gaps.join(cal, "session_no").select(
+    return gaps.join(calendar, "session_no").select(
         "symbol", C("trade_date").alias("first_missing")
     )
 

@@ -1,4 +1,4 @@
-"""Session settings, shared-folder tables and size-checked broadcasts."""
+"""Session settings and shared-folder tables."""
 
 from __future__ import annotations
 
@@ -6,14 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Rows a per-date or per-sector side may have and still be broadcast. One row
-# per calendar day for two centuries fits; anything larger joins by shuffle.
-BROADCAST_ROWS = 100_000
-
 
 def build_session(
     app: str = "barquet", master: str | None = None, shuffle_partitions: int | None = None
@@ -73,15 +68,3 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame for broadcast once its row count is known to be bounded.
-
-    The frame should be a stored or otherwise cheap table: its rows are counted
-    (at most max_rows + 1 of them). Beyond the bound it is returned unmarked
-    and joins by shuffle, with the adaptive skew handling.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

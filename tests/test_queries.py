@@ -21,7 +21,8 @@ def test_query(spark, con, name):
         problem, _ = compare(df, con, ORACLES[name])
         assert problem is None
     else:
-        assert df.count() >= 0
+        rows = df.collect()
+        assert rows and len({tuple(r)[:2] for r in rows}) == len(rows)
 
 
 def test_combined_entries_are_breakouts(spark):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barquet import config
 from barquet.operators import cleaning, ml, screen, serving
 from barquet.plans.screening import run_screen
-from barquet.session import small_side
 from barquet.sources import listings, scans, sinks
 from barquet.streaming import incremental
 from tests.conftest import weekdays
@@ -47,7 +46,7 @@ def test_screen_conditions(rows):
     assert hits(rows) == set("ABCDE")
     assert hits(rows, t("Score", ">=", 55)) == set("ABE")
     assert hits(rows, t("ROE%", "<", 100)) == set("BCDE")  # unknown values fail
-    assert hits(rows, t("Nonsense", "=", 1)) == set("ABCDE")  # unknown fields hold
+    assert hits(rows, t("IC", "=", 1)) == set("ABCDE")  # absent columns hold
     assert hits(rows, *screen.between("Score", 40, 60)) == set("BCE")
     assert hits(rows, t("VCP", "=", "tick"), t("Liquid", "=", "yes")) == {"A"}
     assert hits(rows, t("Liquid", "=", "off")) == set("CE")
@@ -183,11 +182,24 @@ def test_bucketed_panels_join_without_a_shuffle(spark, panel, tmp_path):
     assert "Exchange" not in plan
 
 
-def test_small_side_has_another_way(spark):
-    df = spark.range(50)
-    marked = small_side(df, 50)._jdf.queryExecution().analyzed().toString()
-    plain = small_side(df, 49)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in marked and "ResolvedHint" not in plain
+def test_screen_names_resolve_or_fail(rows):
+    upper = screen.screen(rows, [screen.Test("Score", ">=", 50)]).count()
+    assert 0 < upper < rows.count()
+    for name in ("score", " SCORE ", "composite_score"):
+        assert screen.screen(rows, [screen.Test(name, ">=", 50)]).count() == upper
+    with pytest.raises(ValueError, match="unknown screen field"):
+        screen.screen(rows, [screen.Test("Scoer", ">=", 50)])
+    with pytest.raises(ValueError, match="unknown operator"):
+        screen.screen(rows, [screen.Test("Score", "=>", 50)])
+    key = lambda df: [r.symbol for r in df.collect()]
+    assert key(screen.two_tier_sort(rows, "nothing")) == key(screen.two_tier_sort(rows, "Score"))
+
+
+def test_best_round_waits_for_patience():
+    falls = [1.0, 0.9, 0.95, 0.96, 0.8, 0.85, 0.86, 0.87, 0.5]
+    assert ml.best_round(falls, 3) == (5, True)
+    assert ml.best_round(falls, 4) == (9, False)
+    assert ml.best_round([3.0], 5) == (1, False)
 
 
 # ------------------------------------------------------------------ incremental
@@ -264,6 +276,7 @@ def test_train_score_save_load(spark, tmp_path):
     rows = labelled(spark, 300).withColumn(
         "pa_score", F.when(F.col("symbol") != "S1", F.col("pa_score")))
     model, metrics = ml.train(rows, trees=5)
+    assert 1 <= metrics["trees"] <= 5 and model.stages[-1].getNumTrees == metrics["trees"]
     assert metrics["auc"] > 0.7 and metrics["n_train"] + metrics["n_test"] == 300
     assert len(metrics["top_features"]) == 5
     path = str(tmp_path / "model")

@@ -272,6 +272,17 @@ def _(s: Stages):
                 "rs_signal", "rs_value", "rs_new_high")
 
 
+@register("relative_strength_of_two", shown("signals", "rs_signal", "rs_value", "rs_new_high"))
+def _(s: Stages):
+    """J13 where the index table holds a second index."""
+    two = s.index_bars().unionByName(s.index_bars().withColumns(
+        {"index_code": F.lit("OTHER"), "close": F.col("close") * 2 + F.dayofyear("trade_date")}))
+    code = s.index_bars().select("index_code").first()[0]
+    return show(signals.attach_context(s.features(), two, index_code=code)
+                .transform(signals.relative_strength).transform(signals.rs_new_high),
+                "rs_signal", "rs_value", "rs_new_high")
+
+
 @register("minervini_signal", shown("signals", "minervini_signal"))
 def _(s: Stages):
     """G13."""
