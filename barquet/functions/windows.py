@@ -105,8 +105,14 @@ def ema(
         near = F.abs(F.col(names[s]) - x) <= F.abs(x) * SETTLED
         return F.when(near, x).otherwise(F.col(names[s]))
 
+    # The window over whole series comes first: rows are then hashed by key alone, which
+    # serves the windows of blocks as well.
     staged = (
         df.withColumn("__era", era)
+        .withColumn(
+            "__first",
+            F.first(F.col(value).cast("double")).over(whole.rowsBetween(Window.unboundedPreceding, 0)),
+        )
         .withColumns(
             {
                 "__k": (F.row_number().over(block) - 1).cast("double"),
@@ -121,9 +127,6 @@ def ema(
     staged = staged.withColumns(
         {
             "__ends": F.collect_list(F.when(F.col("__last"), end)).over(before),
-            "__first": F.first(F.col(value).cast("double")).over(
-                whole.rowsBetween(Window.unboundedPreceding, 0)
-            ),
         }
     )
     out = staged.withColumns({names[s]: carried(s) for s in spans}).withColumns(
@@ -179,9 +182,16 @@ def resample_last(
     key: str = "symbol",
     order: str = "trade_date",
 ) -> DataFrame:
-    """Last value per key and period label; empty periods give no row."""
-    return df.groupBy(key, label.alias(name)).agg(
-        F.max_by(F.col(value), F.col(order)).alias(value)
+    """Last value per key and period label; empty periods give no row.
+
+    The last row of a period is the one whose successor has another label: a window by
+    key, like all windows around it, instead of a grouping with a shuffle of its own.
+    """
+    following = F.lead(name).over(series(key, order))
+    return (
+        df.withColumn(name, label).withColumn("__next", following)
+        .filter(F.col("__next").isNull() | (F.col("__next") != F.col(name)))
+        .select(key, name, value)
     )
 
 

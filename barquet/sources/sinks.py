@@ -23,23 +23,23 @@ _FIXED_WIDTH = ("tinyint", "smallint", "int", "bigint", "float", "double", "bool
 
 
 def unique_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key; the same row on every run.
+    """One row per key: the one with the smallest hash, the same on every run.
 
     Repeated keys are reduced map-side, so a key with any number of copies
-    reaches the shuffle once per task. Rows of fixed-width columns are picked
-    by their hash, which keeps the aggregation hash-based; others by their
-    smallest value, which sorts.
+    reaches the shuffle once per task. Column types only decide how: fixed-width
+    columns are picked one by one, which keeps the aggregation hash-based, others as one
+    struct, which sorts. The surviving row does not depend on that.
     """
     rest = [c for c in df.columns if c not in key]
     types = dict(df.dtypes)
+    # Nulls leave a hash unchanged, so their places are hashed as well.
+    pick = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest]) if rest else F.lit(0)
     if rest and all(types[c] in _FIXED_WIDTH for c in rest):
-        # Nulls leave a hash unchanged, so their places are hashed as well.
-        pick = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
         picked = df.withColumn("__pick", pick).groupBy(*key).agg(
             *[F.min_by(c, "__pick").alias(c) for c in rest]
         )
         return picked.select(*df.columns)
-    picked = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row"))
+    picked = df.groupBy(*key).agg(F.min(F.struct(pick.alias("__pick"), *rest)).alias("__row"))
     return picked.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

@@ -98,6 +98,15 @@ def _(s: Stages):
     return screen.ranked_by_each(s.scanner()).withColumn("rank", F.round("rank", 4)).drop("position")
 
 
+@register("preset_table_ranking", " UNION ALL ".join(_preset_sql(n, w) for n, w in PRESETS.items()))
+def _(s: Stages):
+    """The same with the weights of the stored preset table."""
+    presets, default = serving.load_presets(serving.preset_table(s.spark))
+    presets = {default: presets[default]} | presets
+    ranked = screen.ranked_by_each(s.scanner(), presets=presets)
+    return ranked.withColumn("rank", F.round("rank", 4)).drop("position")
+
+
 _ONE = "Trending Leaders"
 
 
