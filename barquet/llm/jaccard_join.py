@@ -16,16 +16,17 @@ Equal sets are one class, represented by its smallest doc_id; only classes are c
   all heavy ones times the mean length of a list, both from counts.
 
 Large groups of near copies would fill lists with pairs. So hubs are tried first: sets with
-an equal min-hash band are checked against one set of the band, whichever round's hash
-is least, one set move each. Links found so make components, and the exact lists
+an equal min-hash band are checked against the set of the band which shares bands with most
+others, one set move each. Links found so make components, and the exact lists
 are then scanned for pairs of different components alone (lists within one component
 are dropped by a map-side minimum and maximum). A pair from the lists goes on if the
-shingles it shares within both prefixes, plus what can follow the last of them, reach o(s, t). All that
-remain are verified on the whole sets. Hubs save work; the lists decide what links.
+shingles it shares within the prefixes for its o(s, t), plus what can follow the last of them, reach o(s, t). All that
+remain are verified on the whole sets: first a few pairs of each component, then more,
+then all that still lie in different ones. Hubs save work; the lists decide what links.
 
-Which shingles count as frequent is estimated from the sets of every sixteenth class;
-this only orders shingles, and any order gives the same links. The frequent ones travel to all
-tasks: the cut-off doubles until at most `FREQUENT` are left.
+Which shingles count as frequent is estimated from the sets of every sixteenth text (by its
+hash); this only orders shingles, and any order gives the same links. The frequent ones travel to
+all tasks: the cut-off doubles until at most `FREQUENT` are left.
 
 Defined cases: null text, or text without words, has an empty set and links with nothing; with
 fewer words than a shingle the whole sequence is one shingle; rows that share a doc_id share its
@@ -49,12 +50,14 @@ from barquet.llm.common import WordHashes, checked_broadcast, lower_words, mixed
 from barquet.llm.components import components
 from barquet.session import materialize
 
-LARGEST_LIGHT = 24
+LARGEST_LIGHT = 14
 FREQUENT = 2_000_000
 SAMPLED = 16
 BANDS, BAND_ROWS = 6, 3
 HUB_ROUNDS = 3
 HUB_SHARE = 64
+# Pairs of a component tried in each round of verification; the last round takes all.
+TRIES = (4, 16)
 
 _hashes = WordHashes()
 _SEEDS = np.random.default_rng(20240101).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
@@ -120,25 +123,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, the set's 128-bit digest, and the set itself for every 16th digest."""
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    raw = xxhash.xxh128_digest(tokens.tobytes())
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
+def _sample(docs: DataFrame, size: int) -> DataFrame:
+    """Digest and set of every sixteenth text, equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hi, lo, sampled = [], [], [], []
-            for text in batch.column("text"):
-                tokens = shingle_set(text.as_py(), size)
-                digest = xxhash.xxh128_digest(tokens.tobytes())
-                n.append(len(tokens))
-                hi.append(int.from_bytes(digest[:8], "big", signed=True))
-                lo.append(int.from_bytes(digest[8:], "big", signed=True))
-                sampled.append(tokens if lo[-1] % SAMPLED == 0 else tokens[:0])
-            yield pa.record_batch(
-                [batch.column("doc_id"), _longs(n), _longs(hi), _longs(lo), _lists(sampled)],
-                names=["doc_id", "n", "hi", "lo", "sampled"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, sampled array<long>")
+            sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
+            digests = [_digest(x) for x in sets]
+            yield pa.record_batch([_longs([d[0] for d in digests]), _longs([d[1] for d in digests]), _lists(sets)],
+                                  names=["hi", "lo", "sampled"])
+
+    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    return chosen.mapInArrow(run, "hi long, lo long, sampled array<long>").groupBy("hi", "lo").agg(
+        F.first("sampled").alias("sampled")
+    )
 
 
 def _frequent(sampled: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray, float]:
@@ -155,28 +158,36 @@ def _frequent(sampled: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray,
     return np.sort(rows.astype(np.int64).view(np.uint64)), length
 
 
-def _sketches(docs: DataFrame, size: int, frequent: np.ndarray, lightest: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, prefix shingles in order, and bands, of all sets that enter lists."""
+def _sketches(docs: DataFrame, size: int, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """doc_id, n, 128-bit digest, prefix shingles in order and bands of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.array([], np.uint64)
         for batch in batches:
-            ids, n, prefixes, bands = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            n, digests, prefixes, bands = [], [], [], []
+            for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), size)
-                if len(tokens) < lightest:
+                n.append(len(tokens))
+                digests.append(_digest(tokens))
+                if not len(tokens):
+                    prefixes.append(nothing)
+                    bands.append(nothing)
                     continue
-                common = np.zeros(len(tokens), bool)
+                order = mixed(tokens) >> np.uint64(1)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                    common = frequent[at] == tokens
-                ids.append(doc_id.as_py())
-                n.append(len(tokens))
-                prefixes.append(tokens[np.lexsort((mixed(tokens), common))][: prefix_length(len(tokens), num, den)])
+                    order |= (frequent[at] == tokens).astype(np.uint64) << np.uint64(63)
+                length = prefix_length(len(tokens), num, den)
+                first = np.argpartition(order, length - 1)[:length]
+                prefixes.append(tokens[first[np.argsort(order[first])]])
                 bands.append(_bands(tokens))
-            yield pa.record_batch([_longs(ids), _longs(n), _lists(prefixes), _lists(bands)],
-                                  names=["node", "n", "prefix", "bands"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), _longs(n), _longs([d[0] for d in digests]), _longs([d[1] for d in digests]),
+                 _lists(prefixes), _lists(bands)],
+                names=["doc_id", "n", "hi", "lo", "prefix", "bands"],
+            )
 
-    return docs.mapInArrow(run, "node long, n long, prefix array<long>, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>, bands array<long>")
 
 
 def _light_links(light: DataFrame, docs: DataFrame, size: int, boundary: int, num: int, den: int) -> DataFrame:
@@ -264,26 +275,42 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
     return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(check, "a long, b long")
 
 
-def _labelled(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """nodes with the component of each, its own where it has no link."""
-    if found is None:
-        return nodes.withColumn("component", F.col("node"))
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def hub_pairs(bands: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """One pair (a, b) for each node in a band with another component's hub."""
+def hub_pairs(bands: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) for each node in a band with another component's hub. bands: node,
+    band, and score, the nodes that share a band with it; the best score makes a hub."""
     rows = _labelled(bands, found)
     hubs = rows.groupBy("band").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("h"),
+        F.max(F.struct("score", F.xxhash64("node", F.lit(turn)), "node", "component")).alias("h"),
         F.min("component").alias("c0"), F.max("component").alias("c1"),
-    ).filter("c0 <> c1").select("band", F.col("h.node").alias("b"), F.col("h.component").alias("cb"))
+    ).filter("c0 <> c1").select("band", F.col("h.score").alias("hub_score"), F.col("h.node").alias("b"), F.col("h.component").alias("cb"))
     return rows.join(hubs, "band").filter("component <> cb").groupBy(F.col("node").alias("a")).agg(
-        F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b")
+        F.max_by("b", F.struct("hub_score", F.xxhash64("b", F.lit(turn)))).alias("b")
     )
 
 
-def list_pairs(sketches: DataFrame, found: DataFrame | None, boundary: int, num: int, den: int) -> DataFrame:
+def next_pairs(pairs: DataFrame, found: DataFrame, tries: int | None) -> DataFrame:
+    """Of `pairs` those still of different components, at most `tries` for each of them."""
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rows = pairs.join(a, "a", "left").join(b, "b", "left").select(
+        "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")
+    ).filter("ca <> cb")
+    if tries is None:
+        return rows.select("a", "b")
+    # Of each component (the younger one of a pair) the pair with the least hash in each slot,
+    # reduced before any exchange.
+    slot = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
+    return rows.groupBy(F.greatest("ca", "cb").alias("c"), slot.alias("slot")).agg(
+        F.min(F.struct(F.xxhash64("b", "a"), "a", "b")).alias("p")
+    ).select("p.a", "p.b")
+
+
+def list_pairs(sketches: DataFrame, found: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components whose prefixes leave a link possible."""
     entries = _labelled(sketches.select("node", "n", "prefix"), found).select(
         "node", "n", "component", F.posexplode("prefix").alias("at", "h")
@@ -297,7 +324,9 @@ def list_pairs(sketches: DataFrame, found: DataFrame | None, boundary: int, num:
     right = used.select("h", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "at")))
     met = left.join(right, "h").filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        # Of a pair only the prefixes count that its own sizes ask for.
+        & ((num + den) * (F.col("n_a") - F.col("at_a")) >= num * (F.col("n_a") + F.col("n_b")))
+        & ((num + den) * (F.col("n_b") - F.col("at_b")) >= num * (F.col("n_a") + F.col("n_b")))
         & (F.greatest("n_a", "n_b") > boundary)
     )
     shared = met.groupBy("node_a", "node_b").agg(
@@ -312,42 +341,49 @@ def list_pairs(sketches: DataFrame, found: DataFrame | None, boundary: int, num:
 def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = materialize(_sets(docs, size), "sets")
-    known = sets.filter("n > 0 and doc_id is not null")
+    frequent, length = _frequent(_sample(docs, size))
+    every = materialize(_sketches(docs, size, frequent, num, den), "sketches")
+    known = every.filter("n > 0 and doc_id is not null")
     classes = materialize(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes")
     nodes = classes.select("node", "n").distinct()
 
     # Boundary between light and heavy sets.
-    frequent, length = _frequent(
-        known.filter(F.size("sampled") > 0).groupBy("hi", "lo").agg(F.first("sampled").alias("sampled"))
-    )
     small = {r["n"]: r["c"] for r in nodes.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     beyond = nodes.filter(F.col("n") > LARGEST_LIGHT).agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0]
     boundary = choose_boundary(small, float(beyond or 0), length, num, den)
-
     light = materialize(nodes.filter(F.col("n") <= boundary).select("node"), "light")
     links = materialize(_light_links(light, docs, size, boundary, num, den), "links")
 
     copies = materialize(
-        known.join(classes.select("hi", "lo", "node"), ["hi", "lo"]).filter("doc_id <> node").select("doc_id").distinct(), "copies"
+        known.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "node"), ["hi", "lo"])
+        .filter("doc_id <> node").select("doc_id").distinct(), "copies",
     )
-    originals = docs.filter("doc_id is not null").join(checked_broadcast(copies), "doc_id", "left_anti")
     lightest = next(n for n in range(1, boundary + 2) if den * n >= num * (boundary + 1))
-    sketches = materialize(_sketches(originals, size, frequent, lightest, num, den), "sketches")
+    originals = known.filter(F.col("n") >= lightest).join(checked_broadcast(copies), "doc_id", "left_anti")
+    sketches = originals.select(F.col("doc_id").alias("node"), "n", "prefix", "bands")
     bands = sketches.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    bands = materialize(bands.join(shared, "band"), "bands")
+    scores = bands.groupBy("node").agg(F.sum("k").alias("score"))
+    bands = materialize(bands.select("node", "band").join(scores, "node"), "bands")
 
     for turn in range(HUB_ROUNDS):
-        found = components(links)
+        found = materialize(components(links), "components")
         pairs = materialize(hub_pairs(bands, found, turn), "pairs")
         if pairs.isEmpty():
             break
         links = materialize(links.unionByName(verified(docs, pairs, size, num, den)), "links")
     found = materialize(components(links), "components")
-    pairs = materialize(list_pairs(sketches, found, boundary, num, den), "pairs")
-    links = links.unionByName(verified(docs, pairs, size, num, den))
-    found = materialize(components(links), "components")
+    open_pairs = materialize(list_pairs(sketches, found, boundary, num, den), "pairs")
+    for tries in (*TRIES, None):
+        pairs = materialize(next_pairs(open_pairs, found, tries), "pairs")
+        if pairs.isEmpty():
+            break
+        links = materialize(links.unionByName(verified(docs, pairs, size, num, den)), "links")
+        found = materialize(components(links), "components")
+        open_pairs = materialize(open_pairs.join(pairs, ["a", "b"], "left_anti"), "pairs")
 
-    members = sets.select("doc_id", "n", "hi", "lo").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left")
+    members = every.select("doc_id", "n", "hi", "lo").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left")
     return members.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")).join(found, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"),
