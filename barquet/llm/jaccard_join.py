@@ -16,10 +16,16 @@ Equal sets are one class, represented by its smallest doc_id; only classes are c
   all heavy ones times the mean length of a list, both from counts.
 
 Large groups of near copies would fill lists with pairs. So hubs are tried first: sets with
-an equal min-hash band are checked against the set of the band which shares bands with most
-others, one set move each. Links found so make components, and the exact lists
-are then scanned for pairs of different components alone (lists within one component
-are dropped by a map-side minimum and maximum). A pair from the lists goes on if the
+an equal min-hash band are compared with the set of the band which shares bands with most
+others, one set move each. That decides whether they link, and leaves each set's few differences from
+its hub, taken anew from the majority of the hub's sets. Two sets x, y of a hub differ in
+|Dx| + |Dy| - 2 |Dx n Dy| shingles. With w = (num + den) |D| - (den - num) n they link without a
+common difference exactly when w(x) + w(y) <= 0, and then both link with the set of the least
+w: a star. All other links of a hub's sets share differences, which are few and mostly rare, and are found by the
+prefixes of their lists. The pairs of a hub are thus decided without listing them.
+
+The lists of shingles are then scanned for pairs of different components and hubs alone (lists
+within one component are dropped by a map-side minimum and maximum). A pair from the lists goes on if the
 shingles it shares within the prefixes for its o(s, t), plus what can follow the last of them, reach o(s, t). All that
 remain are verified on the whole sets: first a few pairs of each component, then more,
 then all that still lie in different ones. Hubs save work; the lists decide what links.
@@ -54,7 +60,6 @@ LARGEST_LIGHT = 14
 FREQUENT = 2_000_000
 SAMPLED = 16
 BANDS, BAND_ROWS = 6, 3
-HUB_ROUNDS = 3
 HUB_SHARE = 64
 # Pairs of a component tried in each round of verification; the last round takes all.
 TRIES = (4, 16)
@@ -221,9 +226,11 @@ def _light_links(light: DataFrame, docs: DataFrame, size: int, boundary: int, nu
     return signed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of stored pairs (a, b) those that link. The set of a goes to b; a b with many
-    partners is copied to several tasks, one for each HUB_SHARE of them."""
+def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of stored pairs (a, b): linked, the sizes n and hub_n of both sets, and where a and b
+    differ in at most half of a's size, the difference: shingles of a alone (negative), then
+    of b alone. The set of a goes to b; a b with many partners is copied to several
+    tasks, one for each HUB_SHARE of them."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_SHARE).alias("k"))
     salted = pairs.join(shares, "b").select(
         F.col("a").alias("node"), F.struct(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("k")).alias("salt"), F.lit(1).alias("role")).alias("to")
@@ -249,9 +256,9 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, nothing = None, [], np.array([], np.uint64)
         for batch in batches:
-            a, b = [], []
+            a, b, linked, n, hub_n, differences = [], [], [], [], [], []
             columns = [batch.column(c) for c in ("hub", "salt", "role", "node", "tokens")]
             for hub, salt, role, node, raw in zip(*columns):
                 hub, role = hub.as_py(), role.as_py()
@@ -262,17 +269,83 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                     held.append(tokens)
                     continue
                 for other in held:
-                    both = len(np.intersect1d(other, tokens, assume_unique=True))
-                    if both and den * both >= num * (len(other) + len(tokens) - both):
-                        a.append(node.as_py())
-                        b.append(hub)
-                        break
-            yield pa.record_batch([_longs(a), _longs(b)], names=["a", "b"])
+                    own = tokens[np.isin(tokens, other, assume_unique=True, invert=True)]
+                    both = len(tokens) - len(own)
+                    a.append(node.as_py())
+                    b.append(hub)
+                    linked.append(both > 0 and den * both >= num * (len(other) + len(tokens) - both))
+                    n.append(len(tokens))
+                    hub_n.append(len(other))
+                    # Several rows with the hub's doc_id are no one centre.
+                    if len(held) > 1 or 2 * (len(own) + len(other) - both) > len(tokens):
+                        differences.append(nothing)
+                        continue
+                    lost = other[np.isin(other, tokens, assume_unique=True, invert=True)]
+                    differences.append(np.concatenate([(own >> np.uint64(1)) | np.uint64(1 << 63), lost >> np.uint64(1)]))
+            yield pa.record_batch(
+                [_longs(a), _longs(b), pa.array(linked, pa.bool_()), _longs(n), _longs(hub_n), _lists(differences)],
+                names=["a", "b", "linked", "n", "hub_n", "difference"],
+            )
 
     sent = docs.join(checked_broadcast(wanted), docs.doc_id == wanted.node).select("doc_id", "text", "to").mapInArrow(
         send, "hub long, salt long, role int, node long, tokens binary"
     )
-    return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(check, "a long, b long")
+    return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(
+        check, "a long, b long, linked boolean, n long, hub_n long, difference array<long>"
+    )
+
+
+def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of stored pairs (a, b) those that link."""
+    return compared(docs, pairs, size, num, den).filter("linked").select("a", "b")
+
+
+def hub_members(tried: DataFrame, num: int, den: int) -> DataFrame:
+    """hub, node, w and difference (sorted, from the hub's majority) of each set whose
+    difference from its hub is known, and of the hubs themselves."""
+    known = tried.filter("size(difference) > 0")
+    rows = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), "n", "difference")
+    hubs = known.groupBy(F.col("b").alias("hub")).agg(F.first("hub_n").alias("n"), (F.count("*") + 1).alias("members"))
+    rows = rows.unionByName(hubs.select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<bigint>").alias("difference")))
+    usual = (
+        rows.select("hub", F.explode("difference").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("c"))
+        .join(hubs, "hub").filter(2 * F.col("c") > F.col("members"))
+        .groupBy("hub").agg(F.collect_list("h").alias("usual"))
+    )
+    rows = rows.join(usual, "hub", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    moved = F.sort_array(F.concat(F.array_except("difference", "usual"), F.array_except("usual", "difference")))
+    return rows.select("hub", "node", "n", moved.alias("difference")).withColumn(
+        "w", (num + den) * F.size("difference").cast("long") - (den - num) * F.col("n")
+    )
+
+
+def hub_stars(members: DataFrame) -> DataFrame:
+    """Links (a, b) of all sets of a hub that link without a common difference."""
+    least = members.groupBy("hub").agg(F.min(F.struct("w", "node")).alias("z"))
+    return members.join(least, "hub").filter((F.col("w") + F.col("z.w") <= 0) & (F.col("node") != F.col("z.node"))).select(
+        F.col("node").alias("a"), F.col("z.node").alias("b")
+    )
+
+
+def hub_links(members: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """All other links (a, b) among the sets of a hub that join two components."""
+    entries = _labelled(members, found).select(
+        "hub", "node", "component", "w", F.size("difference").alias("d"), F.posexplode("difference").alias("at", "h")
+    )
+    lists = entries.groupBy("hub", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    used = materialize(entries.join(lists.select("hub", "h"), ["hub", "h"], "left_semi"), "differences")
+    sides = [used.select("hub", "h", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "w", "d", "at"))) for k in "ab"]
+    # Twice (num + den) times the differences two sets must share to link.
+    need = F.col("w_a") + F.col("w_b")
+    met = sides[0].join(sides[1], ["hub", "h"]).filter(
+        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & (2 * (num + den) * (F.col("d_a") - F.col("at_a")) >= need) & (2 * (num + den) * (F.col("d_b") - F.col("at_b")) >= need)
+    ).select("hub", "node_a", "node_b").distinct()
+    own = [members.select("hub", F.col("node").alias(f"node_{k}"), F.col("difference").alias(f"difference_{k}"), F.col("w").alias(f"w_{k}")) for k in "ab"]
+    shared = F.size(F.array_intersect("difference_a", "difference_b"))
+    return met.join(own[0], ["hub", "node_a"]).join(own[1], ["hub", "node_b"]).filter(2 * (num + den) * shared >= need).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")
+    )
 
 
 def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -280,16 +353,16 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def hub_pairs(bands: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+def hub_pairs(bands: DataFrame, found: DataFrame) -> DataFrame:
     """One pair (a, b) for each node in a band with another component's hub. bands: node,
     band, and score, the nodes that share a band with it; the best score makes a hub."""
     rows = _labelled(bands, found)
     hubs = rows.groupBy("band").agg(
-        F.max(F.struct("score", F.xxhash64("node", F.lit(turn)), "node", "component")).alias("h"),
+        F.max(F.struct("score", F.xxhash64("node"), "node", "component")).alias("h"),
         F.min("component").alias("c0"), F.max("component").alias("c1"),
     ).filter("c0 <> c1").select("band", F.col("h.score").alias("hub_score"), F.col("h.node").alias("b"), F.col("h.component").alias("cb"))
     return rows.join(hubs, "band").filter("component <> cb").groupBy(F.col("node").alias("a")).agg(
-        F.max_by("b", F.struct("hub_score", F.xxhash64("b", F.lit(turn)))).alias("b")
+        F.max_by("b", F.struct("hub_score", F.xxhash64("b"))).alias("b")
     )
 
 
@@ -310,20 +383,25 @@ def next_pairs(pairs: DataFrame, found: DataFrame, tries: int | None) -> DataFra
     ).select("p.a", "p.b")
 
 
-def list_pairs(sketches: DataFrame, found: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components whose prefixes leave a link possible."""
-    entries = _labelled(sketches.select("node", "n", "prefix"), found).select(
-        "node", "n", "component", F.posexplode("prefix").alias("at", "h")
+def list_pairs(
+    sketches: DataFrame, found: DataFrame, hubs: DataFrame, boundary: int, num: int, den: int
+) -> DataFrame:
+    """Pairs (a, b) of different components and hubs whose prefixes leave a link possible.
+    hubs: node and hub of the sets that `hub_links` has decided."""
+    entries = _labelled(sketches.select("node", "n", "prefix"), found).join(hubs, "node", "left").select(
+        "node", "n", "component", "hub", F.posexplode("prefix").alias("at", "h")
     )
     mixed_lists = materialize(
         entries.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h"),
         "lists",
     )
     used = materialize(entries.join(checked_broadcast(mixed_lists), "h", "left_semi"), "entries")
-    left = used.select("h", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "at")))
-    right = used.select("h", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "at")))
+    names = ("node", "n", "component", "hub", "at")
+    left = used.select("h", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = used.select("h", *(F.col(c).alias(f"{c}_b") for c in names))
     met = left.join(right, "h").filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & ~F.coalesce(F.col("hub_a") == F.col("hub_b"), F.lit(False))
         # Of a pair only the prefixes count that its own sizes ask for.
         & ((num + den) * (F.col("n_a") - F.col("at_a")) >= num * (F.col("n_a") + F.col("n_b")))
         & ((num + den) * (F.col("n_b") - F.col("at_b")) >= num * (F.col("n_a") + F.col("n_b")))
@@ -367,14 +445,18 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
     scores = bands.groupBy("node").agg(F.sum("k").alias("score"))
     bands = materialize(bands.select("node", "band").join(scores, "node"), "bands")
 
-    for turn in range(HUB_ROUNDS):
-        found = materialize(components(links), "components")
-        pairs = materialize(hub_pairs(bands, found, turn), "pairs")
-        if pairs.isEmpty():
-            break
-        links = materialize(links.unionByName(verified(docs, pairs, size, num, den)), "links")
     found = materialize(components(links), "components")
-    open_pairs = materialize(list_pairs(sketches, found, boundary, num, den), "pairs")
+    pairs = materialize(hub_pairs(bands, found), "pairs")
+    tried = materialize(compared(docs, pairs, size, num, den), "tried")
+    members = materialize(hub_members(tried, num, den), "members")
+    links = materialize(links.unionByName(tried.filter("linked").select("a", "b")).unionByName(hub_stars(members)), "links")
+    found = materialize(components(links), "components")
+    links = materialize(links.unionByName(hub_links(members, found, num, den)), "links")
+    found = materialize(components(links), "components")
+    # A doc_id with several texts is left to the lists.
+    once = tried.groupBy(F.col("a").alias("node")).count().filter("count = 1").select("node")
+    hubs = materialize(members.filter("node <> hub").select("node", "hub").join(once, "node", "left_semi"), "hubs")
+    open_pairs = materialize(list_pairs(sketches, found, hubs, boundary, num, den), "pairs")
     for tries in (*TRIES, None):
         pairs = materialize(next_pairs(open_pairs, found, tries), "pairs")
         if pairs.isEmpty():

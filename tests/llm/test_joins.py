@@ -86,7 +86,6 @@ def test_join_equals_brute_force(spark, size, num, den, seed):
 def test_boundary_does_not_change_links(spark, monkeypatch, boundary):
     importable(spark)
     monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *a: boundary)
-    monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 0)
     rows = groups(4, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
