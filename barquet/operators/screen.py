@@ -132,7 +132,7 @@ QUICK_SCREENS = {
     ),
 }
 
-# Sample screens.
+# Sample screens: conditions and order are fixed values, the names are short ones of this library.
 SAMPLE_SCREENS = {
     "Fresh Stage 2 + RS leaders": NamedScreen(
         (*_on("Stage2"), *between("S2 Age(d)", 1, 15), *_on("RS", "Liquid")), "S2 Age(d)", True

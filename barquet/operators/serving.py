@@ -20,6 +20,7 @@ R = DEFAULTS.screen
 
 FUND = {"quality_score": "fund_quality_score", "promoter_holding": "fund_promoter_pct",
         "roe": "fund_roe", "roce": "fund_roce"}
+# Report columns.
 SCANNER_SIGNALS = (
     "symbol", "trade_date", "composite_score", "composite_rank",
     "institutional_candidate", "trend_signal", "stage2_signal", "vcp_signal",
@@ -171,10 +172,12 @@ def regime_history(env: DataFrame, limit: int = R.recent_dates) -> DataFrame:
 
 
 # ------------------------------------------------------------------ stocks
+# Report columns.
 DETAIL_FEATURES = (
     "symbol", "trade_date", "close_price", "high_52w", "low_52w", "ema_10", "ema_21",
     "ema_50", "ema_150", "ema_200", "atr_14", "volatility_contraction",
 )
+# Report columns.
 DETAIL_SIGNALS = (
     "composite_score", "trend_signal", "stage2_signal", "vcp_signal", "breakout_signal",
     "breakout_ready_signal", "liquidity_signal", "quality_signal", "rs_signal",

@@ -9,6 +9,7 @@ from barquet.operators.features import build_features
 from barquet.operators.signals import raw_signals, regime_gate
 from barquet.operators.targets import targets
 
+# The columns of the signal table, in the order in which they are computed here.
 SIGNAL_COLUMNS = (
     "symbol", "trade_date", "close_price", "trend_signal", "stage2_signal",
     "stage2_days", "stage2_started_date", "ema_alignment_signal",
