@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from barquet.config import DEFAULTS
 from barquet.operators import backtest, calibration, ml
 from barquet.plans import backtesting
 from verification.queries_market import places
@@ -256,13 +257,32 @@ def _(s: Stages):
     return _labelled(s)
 
 
-@register("ml_scores")
-def _(s: Stages):
-    """M2-M4: train on labelled entries, score one date. Rows only: the trees are MLlib's."""
+def _scores(s: Stages):
     model, _metrics = ml.train(s._stored("ml_training", lambda: _labelled(s)))
     return ml.score_date(
         model, s.signals(), s.timeframes(), s.price_action(), s.regime(), s.screen_day()
     )
 
 
+@register("ml_scores")
+def _(s: Stages):
+    """M2-M4: train on labelled entries, score one date. Rows only: the trees are MLlib's."""
+    return s._stored("ml_scores", lambda: _scores(s))
+
+
+_P_MIN = DEFAULTS.ml.min_composite
+
+
+@register("ml_scored_keys", f"""
+SELECT symbol, trade_date, TRUE AS is_probability, TRUE AS signal_agrees FROM signals
+WHERE trade_date = (SELECT d FROM screen_day) AND composite_score >= {_P_MIN}""")
+def _(s: Stages):
+    """M4: every candidate of the date is scored, and the signal follows the threshold."""
+    rows = s._stored("ml_scores", lambda: _scores(s))
+    return rows.select(
+        "symbol", "trade_date", C("ml_win_prob").between(0, 1).alias("is_probability"),
+        (C("ml_signal") == (C("ml_win_prob") >= DEFAULTS.ml.threshold).cast("int")).alias("signal_agrees"),
+    )
+
+
 _ = roll
