@@ -5,40 +5,46 @@ a run of signs) on its own, so an id list is the concatenation of the id lists o
 a text's pre-tokens. The encoder therefore asks the library once for a distinct
 pre-token and joins the remembered bytes. Texts with characters whose class may
 differ between Unicode versions, or with a special token's string, go to the
-library whole. The memo is emptied at `MEMO_ENTRIES`.
+library whole. The memo has two generations of at most `MEMO_ENTRIES` each: when the
+young one is full it becomes the old one, and what is asked for again moves up.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from functools import cache
-
-import numpy as np
+from unicodedata import category
 
 END_ID = 0
 MEMO_ENTRIES = 1_000_000
 
-# Fixed value: the split rule of the byte-level vocabularies.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 # Everything but printable Latin and plain white space.
-_UNUSUAL = re.compile("[^\t-\r -~¡-ɏ]")
+_LATIN = [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]
+_UNUSUAL = re.compile("[^\t-\r -~\u00a1-\u024f]")
+# Fixed value: the split rule of the byte-level vocabularies, with letters and numbers
+# spelt out over the range above.
+_LETTERS = "".join(chr(c) for c in _LATIN if category(chr(c))[0] == "L")
+_NUMBERS = "".join(chr(c) for c in _LATIN if category(chr(c))[0] == "N")
+_SPLIT = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+"
+    r"|\s+(?!\S)|\s+"
+)
 
 
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, end id included."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_file(path)
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._split = regex.compile(SPLIT).findall
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self.vocabulary = self._library.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, text: str) -> bytes:
@@ -54,25 +60,26 @@ class Encoder:
             if _UNUSUAL.search(text) or any(s in text for s in self._special):
                 pieces.append(self._whole(text))
             else:
-                pieces.append(found := self._split(text))
+                pieces.append(found := _SPLIT.findall(text))
                 new.update(found)
-        new.difference_update(self._memo)
-        if len(self._memo) + len(new) > MEMO_ENTRIES:
-            self._memo.clear()
-            new = {p for found in pieces if isinstance(found, list) for p in found}
-        words = list(new)
+        if len(self._memo) > MEMO_ENTRIES:
+            self._old, self._memo = self._memo, {}
+        memo, old = self._memo, self._old
+        new.difference_update(memo)
+        memo.update((p, old[p]) for p in new.intersection(old))
+        words = list(new.difference(old))
         for word, coded in zip(
             words, self._library.encode_batch_fast(words, add_special_tokens=False)
         ):
-            self._memo[word] = _packed(coded.ids)
-        get = self._memo.__getitem__
+            memo[word] = _packed(coded.ids)
+        get = memo.__getitem__
         return [
             (p if isinstance(p, bytes) else b"".join(map(get, p))) + end for p in pieces
         ]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()  # four bytes, little-endian on all usual machines
 
 
 @cache
