@@ -65,9 +65,13 @@ class Encoder:
         if len(self._memo) > MEMO_ENTRIES:
             self._old, self._memo = self._memo, {}
         memo, old = self._memo, self._old
-        new.difference_update(memo)
-        memo.update((p, old[p]) for p in new.intersection(old))
-        words = list(new.difference(old))
+        words = []
+        for piece in new:  # set operations with a dict would walk the whole dict
+            if piece not in memo:
+                if (known := old.get(piece)) is not None:
+                    memo[piece] = known
+                else:
+                    words.append(piece)
         for word, coded in zip(
             words, self._library.encode_batch_fast(words, add_special_tokens=False)
         ):
