@@ -100,6 +100,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
+def best_cut(x: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The difference from which on label 1 is likelier: most right answers, the shares of
+    the labels counted; the middle of equally good ones."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    gain = np.where(y > 0, -share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
+    right = np.concatenate([[0.0], np.cumsum(gain)])
+    cuts = np.concatenate([[x[0]], (x[1:] + x[:-1]) / 2, [x[-1]]])
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float(cuts[best[len(best) // 2]])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """good (boolean), rank and a text span of at most `per_class` rows of each label."""
     marked = labels.filter("doc_id is not null and quality is not null").select(
@@ -124,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Com
     model = CompressionModel(build_dictionary(side[True][0]), build_dictionary(side[False][0]))
     x = np.array([model.difference(t) for g in (True, False) for t in side[g][1]])
     y = np.array([g for g in (True, False) for _ in side[g][1]], float)
-    model.slope, model.intercept = fit_logistic(x, y, min(max(known, 0.01), 0.99))
+    share = min(max(known, 0.01), 0.99)
+    model.slope, _ = fit_logistic(x, y, share)
+    # Even odds lie where most labels, in their true shares, are told right.
+    model.intercept = -model.slope * best_cut(x, y, share)
     return model
 
 

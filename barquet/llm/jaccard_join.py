@@ -61,6 +61,7 @@ FREQUENT = 2_000_000
 SAMPLED = 16
 BANDS, BAND_ROWS = 6, 3
 HUB_SHARE = 64
+HUB_COPIES = 4096
 # Pairs of a component tried in each round of verification; the last round takes all.
 TRIES = (4, 16)
 
@@ -230,8 +231,8 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
     """Of stored pairs (a, b): linked, the sizes n and hub_n of both sets, and where a and b
     differ in at most half of a's size, the difference: shingles of a alone (negative), then
     of b alone. The set of a goes to b; a b with many partners is copied to several
-    tasks, one for each HUB_SHARE of them."""
-    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_SHARE).alias("k"))
+    tasks, one for each HUB_SHARE of them, HUB_COPIES at most; each streams its share."""
+    shares = pairs.groupBy("b").agg(F.least(F.ceil(F.count("*") / HUB_SHARE), F.lit(HUB_COPIES).cast("long")).alias("k"))
     salted = pairs.join(shares, "b").select(
         F.col("a").alias("node"), F.struct(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("k")).alias("salt"), F.lit(1).alias("role")).alias("to")
     )
