@@ -28,7 +28,7 @@ HEADLINE = (
     "regime_gate", "sector_momentum", "confidence_model", "backtest_ready",
     "strategy_trades", "performance", "equity_curve", "scanner", "preset_ranking",
     "named_screens", "quality_log", "valid_candles", "without_volume_spikes",
-    "incremental_append", "sink_rebuild", "ml_labelled",
+    "incremental_append", "sink_rebuild", "ml_labelled", "ml_scores", "daily_tables",
 )
 
 
