@@ -48,7 +48,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, memoised; the memo is emptied at a bound."""
 
-    def __init__(self, entries: int = 1_000_000):
+    def __init__(self, entries: int = 300_000):
         self._entries = entries
         self._memo: dict[bytes, int] = {}
 

@@ -19,7 +19,7 @@ from functools import cache
 from unicodedata import category
 
 END_ID = 0
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 
 # Everything but printable Latin and plain white space.
 _LATIN = [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]
