@@ -11,6 +11,8 @@ similarity (weights are multiplicities: sum of minima over sum of maxima) is at
    differ in at most RADIUS // BLOCKS bits of some block (pigeonhole), so tables of each
    block's values and their neighbours find every item within the radius.
 3. Candidates within the radius are verified on the bags themselves.
+4. A document with fewer shingles than an item is one window, whole. It is compared by the
+   bags alone, with the items that share a shingle with it.
 
 At similarity 0.8 two fingerprints are expected to differ in ten bits, with a deviation of
 three; the radius of 19 lies three deviations beyond. A window without any shingle of an
@@ -21,7 +23,8 @@ it is taken in blocks of about `BLOCK_CHARS` characters, one pass over the docum
 tasks receive is bounded and every item is searched for in all documents.
 
 Defined cases: items with fewer than five words have no shingle and are not searched for; items
-without id are searched for and reported without one; null and short texts leak nothing;
+without id are searched for and reported without one; null texts and texts with fewer than five
+words leak nothing;
 repeated rows are each reported; empty tables give no rows; further columns are ignored.
 """
 
@@ -115,6 +118,11 @@ class Items:
     by_length: dict[int, tuple[np.ndarray, HammingIndex]]
     known: np.ndarray
     lengths_of: list[tuple[int, ...]]
+    # Of each item its shingles; of each known shingle from where its items and counts are listed.
+    lengths: np.ndarray
+    listed: np.ndarray
+    items: np.ndarray
+    counts: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS) -> "Items":
@@ -136,7 +144,20 @@ class Items:
             of = np.flatnonzero(number == n)
             by_length[n] = (of, HammingIndex(prints[of], radius, blocks))
         known = np.array(sorted(lengths), np.uint64)
-        return cls(ids, bags, by_length, known, [tuple(sorted(lengths[h])) for h in known.tolist()])
+        entries = sorted((h, i, c) for i, bag in enumerate(bags) for h, c in bag.items())
+        listed = np.searchsorted(np.array([e[0] for e in entries], np.uint64), known)
+        return cls(ids, bags, by_length, known, [tuple(sorted(lengths[h])) for h in known.tolist()],
+                   number, np.append(listed, len(entries)), np.array([e[1] for e in entries], int),
+                   np.array([e[2] for e in entries], int))
+
+    def _shared(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of known shingles (by position, repeated as they occur): all items that have one, and
+        the shingles each has in common with them."""
+        found, times = np.unique(found, return_counts=True)
+        first, many = self.listed[found], self.listed[found + 1] - self.listed[found]
+        rows = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        items, at = np.unique(self.items[rows], return_inverse=True)
+        return items, np.bincount(at, np.minimum(self.counts[rows], np.repeat(times, many))).astype(int)
 
     def leaks(self, text: str | None, least: float = SIMILARITY) -> dict[int, tuple[float, int, int]]:
         """Of each leaked item (by position) the most similar window: similarity, first
@@ -153,6 +174,11 @@ class Items:
             for n in self.lengths_of[at[p]]:
                 starts[n].append(p)
         votes, best = running_votes(hashes), {}
+        if any(n > len(hashes) for n in starts):
+            items, both = self._shared(at[hits])
+            s = both / (self.lengths[items] + len(hashes) - both)
+            for k in np.flatnonzero((self.lengths[items] > len(hashes)) & (s >= least)):
+                best[int(items[k])] = (float(s[k]), 0, len(hashes))
         for n, anchors in starts.items():
             if len(hashes) < n:
                 continue

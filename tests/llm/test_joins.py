@@ -192,6 +192,31 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find(df, bench.limit(0)).count() == decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def brute_leaks(text, item, least=0.8):
+    """The best similarity of a window, which is the whole text if that is shorter."""
+    d, s = decontaminate.shingles(text).tolist(), decontaminate.shingles(item).tolist()
+    n = min(len(d), len(s))
+    best = max((decontaminate.similarity(Counter(d[i : i + n]), Counter(s)) for i in range(len(d) - n + 1)), default=0) if n else 0
+    return best if best >= least else None
+
+
+def test_documents_shorter_than_an_item(spark):
+    importable(spark)
+    rng = random.Random(5)
+    items = [(n, [f"v{rng.randrange(900)}" for _ in range(n)]) for n in (*range(5, 21), 60)]
+    docs = []
+    for _, words in items:
+        for cut in (1, 2, 3):
+            docs += [words[:-cut], words[cut:], words[: len(words) // 2] + words[len(words) // 2 + cut :]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    items = [(i, " ".join(w)) for i, w in items]
+    want = {(d, i): s for d, text in docs for i, item in items if (s := brute_leaks(text, item))}
+    assert {60, 15} <= {i for _, i in want} and len(want) < len(docs)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(df, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_leaks_in_blocks_of_the_benchmark(spark, monkeypatch):
     importable(spark)
     docs, items = leak_rows()
