@@ -11,11 +11,13 @@ similarity (weights are multiplicities: sum of minima over sum of maxima) is at
    differ in at most RADIUS // BLOCKS bits of some block (pigeonhole), so tables of each
    block's values and their neighbours find every item within the radius.
 3. Candidates within the radius are verified on the bags themselves.
-4. A document with fewer shingles than an item is one window, whole. It is compared by the
-   bags alone, with the items that share a shingle with it.
+4. A shingle that is repeated on one side votes many times, which moves a fingerprint beyond any
+   useful radius. So where the item or the document repeats a shingle, all windows are compared
+   by the bags alone, with the items that share enough shingles with the document.
+5. A document with fewer shingles than an item is one window, whole, and also compared so.
 
 At similarity 0.8 two fingerprints are expected to differ in ten bits, with a deviation of
-three; the radius of 19 lies three deviations beyond. A window without any shingle of an
+three, if no shingle is repeated; the radius of 19 lies three deviations beyond. A window without any shingle of an
 item has similarity 0 with it; such windows get no fingerprint, which loses nothing.
 
 Words are runs of letters, digits and underscores, lower-cased. The benchmark is the query set:
@@ -120,6 +122,7 @@ class Items:
     lengths_of: list[tuple[int, ...]]
     # Of each item its shingles; of each known shingle from where its items and counts are listed.
     lengths: np.ndarray
+    repeating: np.ndarray
     listed: np.ndarray
     items: np.ndarray
     counts: np.ndarray
@@ -147,7 +150,8 @@ class Items:
         entries = sorted((h, i, c) for i, bag in enumerate(bags) for h, c in bag.items())
         listed = np.searchsorted(np.array([e[0] for e in entries], np.uint64), known)
         return cls(ids, bags, by_length, known, [tuple(sorted(lengths[h])) for h in known.tolist()],
-                   number, np.append(listed, len(entries)), np.array([e[1] for e in entries], int),
+                   number, np.array([len(b) < b.total() for b in bags], bool),
+                   np.append(listed, len(entries)), np.array([e[1] for e in entries], int),
                    np.array([e[2] for e in entries], int))
 
     def _shared(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +163,25 @@ class Items:
         items, at = np.unique(self.items[rows], return_inverse=True)
         return items, np.bincount(at, np.minimum(self.counts[rows], np.repeat(times, many))).astype(int)
 
+    def _best_window(self, hashes: np.ndarray, hits: np.ndarray, item: int) -> tuple[float, int, int]:
+        """The first of the windows most similar to an item, from the bags of all windows."""
+        bag, n = self.bags[item], min(int(self.lengths[item]), len(hashes))
+        change = np.zeros(len(hashes) + 1, int)
+        seen: dict[int, list] = defaultdict(list)
+        for p in hits.tolist():
+            h = int(hashes[p])
+            if not (most := bag.get(h)):
+                continue
+            # Counts in the windows that hold it and fewer than `most` of its kind after their start before it.
+            before = seen[h]
+            first = max(p - n + 1, before[-most] + 1 if len(before) >= most else 0, 0)
+            before.append(p)
+            change[first] += 1
+            change[p + 1] -= 1
+        both = np.cumsum(change)[: len(hashes) - n + 1]
+        first = int(np.argmax(both))
+        return float(both[first] / (self.lengths[item] + n - both[first])), first, n
+
     def leaks(self, text: str | None, least: float = SIMILARITY) -> dict[int, tuple[float, int, int]]:
         """Of each leaked item (by position) the most similar window: similarity, first
         shingle, shingles."""
@@ -174,11 +197,18 @@ class Items:
             for n in self.lengths_of[at[p]]:
                 starts[n].append(p)
         votes, best = running_votes(hashes), {}
-        if any(n > len(hashes) for n in starts):
+        repeats = len(np.unique(hashes)) < len(hashes)
+        if repeats or self.repeating.any() or any(n > len(hashes) for n in starts):
             items, both = self._shared(at[hits])
-            s = both / (self.lengths[items] + len(hashes) - both)
-            for k in np.flatnonzero((self.lengths[items] > len(hashes)) & (s >= least)):
-                best[int(items[k])] = (float(s[k]), 0, len(hashes))
+            n = self.lengths[items]
+            # What a window shares is at most what the document shares.
+            likely = both / (n + np.minimum(n, len(hashes)) - both) >= least
+            for item in items[likely & (repeats | self.repeating[items] | (n > len(hashes)))].tolist():
+                s, first, n = self._best_window(hashes, hits, item)
+                if s >= least:
+                    best[item] = (s, first, n)
+        if repeats:
+            return best
         for n, anchors in starts.items():
             if len(hashes) < n:
                 continue

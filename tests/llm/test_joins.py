@@ -217,6 +217,30 @@ def test_documents_shorter_than_an_item(spark):
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_repetitive_leaks_equal_brute_force():
+    rng = random.Random(6)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    pairs = []
+    for k in range(300):
+        times = rng.choice((3, 5, 6, 10))
+        plain = [next(fresh) for _ in range(8 * (times + 4) + rng.randrange(2, 12))]
+        run = ["0"] * (times + 4)
+        # A run on one side, as many fresh words on the other.
+        ends = plain + run, plain + [next(fresh) for _ in run]
+        item, piece = ends if k % 2 else ends[::-1]
+        filler = [next(fresh) for _ in range(rng.randrange(30))]
+        pairs.append((" ".join(item), " ".join(filler + piece + filler)))
+    pairs += [("0 " * 40 + "a b c", "0 " * n + "a b c") for n in (10, 30, 38, 45, 200)]
+    pairs += [("a b c d e f a b c d e f x", "z " * n + "a b c d e f a b c d e f") for n in range(4)]
+    found = decontaminate.Items.build([(i, item) for i, (item, _) in enumerate(pairs)])
+    leaked = 0
+    for i, (item, text) in enumerate(pairs):
+        got, want = found.leaks(text).get(i, (None,))[0], brute_leaks(text, item)
+        assert got == want, (item, text)
+        leaked += want is not None
+    assert leaked > 200
+
+
 def test_leaks_in_blocks_of_the_benchmark(spark, monkeypatch):
     importable(spark)
     docs, items = leak_rows()
