@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its elements, without those that never hold the article:
-scripts, styles, menus, page headers, footers, sidebars, forms, and whatever a class, id
-or role names as advert, notice, comment and the like. Every paragraph passes points
+scripts, styles, menus, page headers, footers, sidebars, forms. What a class, id or role
+names as advert, notice, comment and the like is marked, and goes as well unless it holds
+the main part of the text (see `_settle`); words after `no`, `has`, `with` and such tell of the
+page's layout and mark nothing. Every paragraph passes points
 (one, one for each comma, up to three for its length) to its parent, half of them to the
 grandparent, a third of that half and so on further up; a container's points are
 discounted by the share of its text that stands in links. The best container is kept
@@ -62,6 +64,10 @@ UNWANTED = frozenset(
     "promotion recommended related replies respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription toolbar toc widget widgets alert".split()
 )
+# In a class or id, words from these on tell what the page has beside the element.
+LAYOUT = frozenset("no not has have with without show hide".split())
+STATES = frozenset("open closed enabled disabled".split())
+REPLIES = frozenset("comment comments commentlist disqus replies respond".split())
 WANTED = frozenset("article body content entry main post story text blog".split())
 TAG_POINTS = {
     "article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3,
@@ -72,31 +78,40 @@ TAG_POINTS = {
 class Node:
     """An element: its name, its children (nodes and text in order), its parent."""
 
-    __slots__ = ("tag", "words", "parent", "items", "points", "chars", "linked")
+    __slots__ = ("tag", "words", "parent", "items", "points", "chars", "linked", "marked")
 
-    def __init__(self, tag: str, words: frozenset, parent: "Node | None"):
-        self.tag, self.words, self.parent = tag, words, parent
+    def __init__(self, tag: str, words: frozenset, parent: "Node | None", marked: bool = False):
+        self.tag, self.words, self.parent, self.marked = tag, words, parent, marked
         self.items: list = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
 def _words_of(attributes: str) -> frozenset:
-    return frozenset(
-        w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
-    )
+    found = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if not STATES.isdisjoint(words):
+                continue
+            for word in words:
+                if word in LAYOUT:
+                    break
+                found.add(word)
+    return frozenset(found)
 
 
-def _unwanted(tag: str, words: frozenset, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main"):
+def _dropped(tag: str, attributes: str) -> bool:
+    if tag in ("html", "body", *WHOLE):
         return False
-    return tag in DROPPED or bool(words & UNWANTED) or bool(_HIDDEN.search(attributes))
+    return tag in DROPPED or bool(_HIDDEN.search(attributes))
 
 
 def parse(html: str) -> Node:
-    """The tree without dropped elements."""
+    """The tree without dropped elements, which are open like others until an end tag or
+    another element ends them."""
     root = here = Node("html", frozenset(), None)
-    at, dropping, depth = 0, "", 0
+    at = 0
     while at < len(html):
         m = _TOKEN.match(html, at)
         if m[0] == "<":
@@ -104,7 +119,7 @@ def parse(html: str) -> Node:
         at = m.end()
         closing, tag, attributes = m.groups()
         if tag is None:
-            if not dropping and (m[0] == "<" or m[0][0] != "<"):
+            if m[0] == "<" or m[0][0] != "<":
                 here.items.append(m[0])
             continue
         tag = tag.lower()
@@ -112,12 +127,8 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if dropping:
-            if tag == dropping:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    dropping = ""
-            continue
+        if here.tag == "head" and not closing and tag not in VOID:
+            here = here.parent
         if tag in ("html", "body"):
             continue
         if closing:
@@ -145,12 +156,12 @@ def parse(html: str) -> Node:
             if node.tag in ends and node is not root:
                 here = node.parent
         words = _words_of(attributes) if attributes else frozenset()
-        if _unwanted(tag, words, attributes):
-            if not attributes.endswith("/"):
-                dropping, depth = tag, 1
+        dropped, marked = _dropped(tag, attributes), tag not in WHOLE and not UNWANTED.isdisjoint(words)
+        if (dropped or marked) and attributes.endswith("/"):
             continue
-        node = Node(tag, words, here)
-        here.items.append(node)
+        node = Node(tag, words, here, marked)
+        if not dropped:
+            here.items.append(node)
         here = node
     return root
 
@@ -184,7 +195,7 @@ def _own_text(node: Node) -> str:
         x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
-        elif x is node or x.tag not in BLOCKS:
+        elif x is node or x.tag not in BLOCKS and not x.marked:
             todo.extend(reversed(x.items))
     return " ".join("".join(parts).split())
 
@@ -205,30 +216,99 @@ def text_of(nodes: list[Node]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order."""
-    nodes = _order(root)
+def _score(nodes: list[Node]) -> dict[int, Node]:
+    """Points of all containers; nothing passes out of a marked element."""
     for node in reversed(nodes):
-        node.chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in node.items)
-        node.linked = node.chars if node.tag == "a" else sum(x.linked for x in node.items if not isinstance(x, str))
+        node.points = 0.0
+        inner = [x for x in node.items if isinstance(x, str) or not x.marked]
+        node.chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in inner)
+        node.linked = node.chars if node.tag == "a" else sum(x.linked for x in inner if not isinstance(x, str))
     scored: dict[int, Node] = {}
     for node in nodes:
         if node.tag not in BLOCKS:
             continue
-        leaf = not any(isinstance(x, Node) and x.tag in BLOCKS for x in node.items)
+        leaf = not any(isinstance(x, Node) and x.tag in BLOCKS and not x.marked for x in node.items)
         if node.tag in PARAGRAPHS or leaf:
             text = _own_text(node)
             if not text:
                 continue
             points, share = 1 + text.count(",") + min(len(text) // 100, 3), 1.0
-            up = node.parent if node.tag in PARAGRAPHS or node.parent is None else node
+            up = node.parent if (node.tag in PARAGRAPHS or node.parent is None) and not node.marked else node
             level = 0
             while up is not None:
                 up.points += points * share
                 scored[id(up)] = up
                 level += 1
                 share = 0.5 if level == 1 else share / 3
+                up = None if up.marked else up.parent
+    return scored
+
+
+def _settle(root: Node) -> None:
+    """Drop marked elements, but keep those around the best container if its text outweighs
+    what is not marked: by any margin where the marked element has a word of articles in its
+    names too or holds the one article, otherwise twice, for comments eight times; four times that
+    outside an article that is not marked. A marked element that holds `main` stays if that has text."""
+    nodes = _order(root)
+    if not any(x.marked for x in nodes):
+        return
+    scored = _score(nodes)
+    region: dict[int, Node] = {}
+    inside: dict[int, bool] = {}
+    best: dict[int, float] = {}
+    holds: dict[int, list[str]] = {}
+    located = False
+    for x in nodes:
+        up = x.parent
+        region[id(x)] = x if x.marked or up is None else region[id(up)]
+        inside[id(x)] = x.tag in WHOLE or up is not None and inside[id(up)]
+        if id(x) in scored and x.chars:
+            of = id(region[id(x)])
+            best[of] = max(best.get(of, 0.0), x.points * (1 - x.linked / x.chars))
+        if x.tag in WHOLE and UNWANTED.isdisjoint(x.words):
+            located |= region[id(x)] is root and x.points > 0
+            while up is not None:
+                if up.marked:
+                    holds.setdefault(id(up), []).append(x.tag)
                 up = up.parent
+
+    def margin(x: Node) -> float:
+        if "main" in (held := holds.get(id(x), [])):
+            return 1e-9
+        if len(held) == 1:
+            least = 1.0
+        elif not REPLIES.isdisjoint(x.words):
+            least = 8.0
+        else:
+            least = 2.0 if WANTED.isdisjoint(x.words) else 1.0
+        return least if inside[id(x)] or not located else 4 * least
+
+    def path(x: Node | None) -> list[Node]:
+        found = []
+        while x is not None:
+            if x.marked:
+                found.append(x)
+            x = x.parent
+        return found
+
+    weighed = [(best[id(x)] / max(map(margin, path(x))), x) for x in nodes if x.marked and best.get(id(x))]
+    most, chosen = max(weighed, key=lambda w: w[0], default=(0.0, root))
+    if most > max(best.get(id(root), 0.0), 1.0):
+        for x in path(chosen):
+            x.marked = False
+    for x in nodes:
+        if x.tag == "main" and UNWANTED.isdisjoint(x.words) and x.chars:
+            for up in path(x):
+                up.marked = False
+    for x in nodes:
+        x.items = [y for y in x.items if isinstance(y, str) or not y.marked]
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The best container and the siblings kept with it, in page order."""
+    _settle(root)
+    nodes = _order(root)
+    scored = _score(nodes)
     if not scored:
         return [root]
 

@@ -160,6 +160,26 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+BODY = "".join(f"<p>Long body text number {k}, with commas, and words enough to make a real paragraph.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("html", [
+    "<div class='content has-sidebar'>{}</div><div><p>Left over</p></div>",
+    "<div class='no-sidebar'>{}</div>",
+    "<div id='content-with-comments'>{}</div><div><p>Left over</p></div>",
+    "<div class='toc-article'>{}</div><div><p>Left over</p></div>",
+    "<div class='page sidebar'><div class=widget><article>{}</article></div></div><div><p>Left over</p></div>",
+    "<article><div class='entry ad'>{}</div></article>",
+    "<div><p class='notice'>Notice{}</div>",
+    "<ul><li class='share'>Share</ul><div>{}</div>",
+    "<table><tr><td class='sidebar'>Side<td>{}</table>",
+    "<head><title>t</title><body><div>{}</div>",
+    "<div>{}</div><div class='comments'>" + "<div class=comment><p>I think, as one does, that this is so.</p></div>" * 9 + "</div>",
+])
+def test_marked_elements_take_no_article_with_them(html):
+    assert extract.main_text(html.format(BODY)) == extract.main_text(f"<article>{BODY}</article>")
+
+
 def test_extract_keeps_rows(spark):
     importable(spark)
     rows = [(i, None, h, "t") for i, (h, _) in enumerate(PAGES)] * 2
