@@ -42,7 +42,7 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
-_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 _PART = 1 << 18
 
 
@@ -60,7 +60,7 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | Non
         over = min(at, 2)
         raw = text[at - over : at + _PART].encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, np.uint32)
-        letters = _LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+        letters = _LETTER[codes]
         if not letters.any():
             continue
         seen = True

@@ -105,6 +105,12 @@ def test_features_do_not_depend_on_parts(monkeypatch):
     assert abs(language_id.features(text) - whole).max() < 1e-9
 
 
+def test_only_letters_are_letters():
+    assert language_id.features("\U0001f600\U0001f680 12 \U0001f4a9!") is None
+    assert (language_id.features("abc \U0001f600 d") == language_id.features("abc   d")).all()
+    assert language_id.features("\U00010400\U00020000") is not None
+
+
 def test_no_language_and_one_language(spark):
     importable(spark)
     docs = spark.createDataFrame([(1, "abc", None), (2, "x", None)], "doc_id long, text string, lang string")
