@@ -9,7 +9,8 @@ A file is a run of frames. A frame is
 
 and a payload is the document id (signed 64-bit) followed by its token ids, two
 bytes each where the vocabulary fits into them and four otherwise; the index says
-which. The checksum is CRC-32 as zlib has it, rotated right by 15 bits with a constant added,
+which. A null id is written as the least signed number, and one byte after the token ids, which
+makes the length odd, says so. The checksum is CRC-32 as zlib has it, rotated right by 15 bits with a constant added,
 so that a checksum over data that itself holds checksums stays sound.
 
 The index is a Parquet table with one row for each record: file, byte offset, frame
@@ -18,7 +19,7 @@ a file part of the data set: a task that runs twice leaves a second file which n
 names. Reading goes by index rows, in any order and by any number of tasks.
 
 Null text is empty text; repeated rows are written again; an empty table gives an
-empty index; further columns are ignored; a null doc_id is refused (files are in its order).
+empty index; further columns are ignored; rows without doc_id come first and are read back without one.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from barquet.llm.tokens import encoder, in_groups
 # Fixed value: the mask of checksums in record files.
 MASK = 0xA282EAD8
 FILE_BYTES = 256 << 20
+NO_ID, NO_ID_MARK = struct.pack("<q", -(1 << 63)), b"\0"
 
 INDEX = (
     "shard int, file string, position long, frame_bytes long, doc_id long, id_bytes int, "
@@ -110,7 +112,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, file_bytes: int = FILE_B
                         n, doc_id = len(coded) // 4, ids[i].as_py()
                         if width == 2:
                             coded = np.frombuffer(coded, "<u4").astype("<u2").tobytes()
-                        data = frame(struct.pack("<q", doc_id) + coded)
+                        data = frame(NO_ID + coded + NO_ID_MARK if doc_id is None else struct.pack("<q", doc_id) + coded)
                         out.write(data)
                         rows.append((worker, name, position, len(data), doc_id, width, n, before))
                         position += len(data)
@@ -170,6 +172,8 @@ def _read(indexed: DataFrame, folder: str, schema: str, row) -> DataFrame:
                     source = store.open_input_file(f"{root}/{name}")
                 payload = payload_of(source.read_at(r["frame_bytes"], r["position"]))
                 (doc_id,) = struct.unpack_from("<q", payload)
+                if len(payload) % 2:
+                    doc_id, payload = None, payload[: -len(NO_ID_MARK)]
                 ids = np.frombuffer(payload, f"<u{r['id_bytes']}", offset=8)
                 if doc_id != r["doc_id"] or len(ids) != r["n_tokens"]:
                     raise ValueError(f"{name} at {r['position']}: not the record of the index")

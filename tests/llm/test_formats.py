@@ -97,6 +97,17 @@ def test_records_round_trip_in_order(spark, docs, coder, tmp_path):
             last, at = doc_id, at + n + 16
 
 
+def test_records_without_an_id(spark, coder, tmp_path):
+    importable(spark)
+    rows = [(None, "first"), (-(1 << 63), "least"), (0, "nought"), (None, "second one"), (None, None)]
+    folder = f"file://{tmp_path}/records"
+    index = records.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, tokenizer_path())
+    got = sorted(records.read_digests(index, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, -(1 << 63), 0]
+    want = [(d, len(ids := ids_of(coder, t)), zlib.crc32(ids.tobytes())) for d, t in rows]
+    assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)
+
+
 def test_broken_frames_are_refused():
     whole = records.frame(b"payload")
     for at in range(len(whole)):
