@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
+from barquet.llm.common import BROADCAST_ROWS, WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
 from barquet.llm.components import components
 from barquet.session import materialize
 
@@ -62,6 +62,9 @@ SAMPLED = 16
 BANDS, BAND_ROWS = 6, 3
 HUB_SHARE = 64
 HUB_COPIES = 4096
+# Partners of a node in one row, and such rows that one copy of its text meets.
+PARTNERS = 256
+ROWS_A_COPY = 16
 # Pairs of a component tried in each round of verification; the last round takes all.
 TRIES = (4, 16)
 
@@ -239,7 +242,15 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
     hubs = shares.select(
         F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt")
     ).select("node", F.struct(F.col("node").alias("hub"), "salt", F.lit(0).alias("role")).alias("to"))
-    wanted = materialize(salted.unionByName(hubs).groupBy("node").agg(F.collect_list("to").alias("to")), "wanted")
+    flat = materialize(salted.unionByName(hubs), "wanted")
+    # A node's partners are dealt over rows of about PARTNERS.
+    hot = materialize(
+        flat.groupBy("node").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).filter("parts > 1"), "hot"
+    )
+    part = F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1).cast("long")))
+    wanted = flat.join(checked_broadcast(hot), "node", "left").groupBy("node", part.alias("part")).agg(
+        F.collect_list("to").alias("to")
+    )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +299,21 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                 names=["a", "b", "linked", "n", "hub_n", "difference"],
             )
 
-    sent = docs.join(checked_broadcast(wanted), docs.doc_id == wanted.node).select("doc_id", "text", "to").mapInArrow(
+    if flat.count() <= BROADCAST_ROWS:
+        texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.node)
+    else:
+        # Only ids are broadcast; partners meet the texts by shuffle, a node with many of them in several copies.
+        wanted = wanted.withColumn("copy", F.floor(F.col("part") / ROWS_A_COPY))
+        ids = materialize(
+            flat.join(checked_broadcast(hot), "node", "left").select(
+                F.col("node").alias("id"), F.ceil(F.coalesce("parts", F.lit(1).cast("long")) / ROWS_A_COPY).alias("copies")
+            ).distinct(), "ids",
+        )
+        copies = docs.join(checked_broadcast(ids), docs.doc_id == ids.id).select(
+            "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy_of")
+        )
+        texts = copies.join(wanted.hint("shuffle_merge"), (copies.doc_id == wanted.node) & (copies.copy_of == wanted["copy"]))
+    sent = texts.select("doc_id", "text", "to").mapInArrow(
         send, "hub long, salt long, role int, node long, tokens binary"
     )
     return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(

@@ -103,6 +103,27 @@ def test_join_of_odd_rows(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_partners_of_a_node_are_bounded(spark, monkeypatch, most):
+    importable(spark)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most, raising=False)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 4, raising=False)
+    monkeypatch.setattr(jaccard_join, "ROWS_A_COPY", 2, raising=False)
+    seen = []
+    broadcast = jaccard_join.checked_broadcast
+    monkeypatch.setattr(jaccard_join, "checked_broadcast", lambda t, *a: seen.append(t.dtypes) or broadcast(t, *a))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(mutated(rng, base, i % 9, base))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(i, 0) for i in range(1, 90)] + [(89, i) for i in range(1, 89)]
+    sets = sets_of(rows, 4)
+    want = Counter((a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    links = jaccard_join.verified(docs, spark.createDataFrame(pairs, "a long, b long"), 4, 85, 100)
+    assert Counter((r.a, r.b) for r in links.collect()) == want and 10 < len(want) < len(pairs)
+    assert not any(kind.startswith("array") for t in seen for _, kind in t)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 40), st.integers(1, 40), st.sampled_from([(85, 100), (80, 100), (1, 2), (1, 1)]))
 def test_overlap_is_the_least_that_links(s, t, share):
