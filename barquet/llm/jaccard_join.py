@@ -442,6 +442,18 @@ def list_pairs(
     )
 
 
+def _id_links(copies: DataFrame, nodes: DataFrame, every: DataFrame) -> DataFrame:
+    """Links (a, b) among the nodes of one doc_id's texts. copies: rows whose node is another doc_id."""
+    others = copies.select("doc_id", "node").distinct()
+    # The doc_id stands for a text of its own that is a node, or has no words.
+    own = nodes.select(F.col("node").alias("doc_id")).unionByName(every.filter("n = 0").select("doc_id"))
+    ids = materialize(others.select("doc_id").distinct(), "ids")
+    own = own.join(checked_broadcast(ids), "doc_id", "left_semi").distinct().withColumn("node", F.col("doc_id"))
+    texts = materialize(others.unionByName(own), "texts")
+    least = texts.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("doc_id", "b")
+    return texts.join(least, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -460,10 +472,13 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
 
     copies = materialize(
         known.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "node"), ["hi", "lo"])
-        .filter("doc_id <> node").select("doc_id").distinct(), "copies",
+        .filter("doc_id <> node").distinct(), "copies",
     )
+    links = materialize(links.unionByName(_id_links(copies, nodes, every)), "links")
     lightest = next(n for n in range(1, boundary + 2) if den * n >= num * (boundary + 1))
-    originals = known.filter(F.col("n") >= lightest).join(checked_broadcast(copies), "doc_id", "left_anti")
+    originals = known.filter(F.col("n") >= lightest).join(
+        checked_broadcast(copies.select("doc_id", "hi", "lo")), ["doc_id", "hi", "lo"], "left_anti"
+    )
     sketches = originals.select(F.col("doc_id").alias("node"), "n", "prefix", "bands")
     bands = sketches.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")

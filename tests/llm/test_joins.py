@@ -103,6 +103,29 @@ def test_join_of_odd_rows(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+def shared_id_rows():
+    rng = random.Random(8)
+    a, b = ([rng.choice("abcdefghijklmnopq") + str(rng.randrange(99)) for _ in range(60)] for _ in range(2))
+    a, b, near = " ".join(a), " ".join(b), " ".join(b[:-1] + ["other"])
+    return [(5, a), (7, a), (7, b), (9, near), (8, ""), (8, ""), (8, a), (None, a), (None, b)]
+
+
+def test_texts_that_share_an_id(spark):
+    importable(spark)
+    df = spark.createDataFrame(shared_id_rows(), "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (8, 5), (None, None)}
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    rows = shared_id_rows()
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_number string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    want = [rows[0], rows[2], (8, ""), rows[7], rows[8]]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_partners_of_a_node_are_bounded(spark, monkeypatch, most):
     importable(spark)
