@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.llm import archive, chat, compression, decontaminate, extract, jaccard_join, language_id, packing, quality_rules, records
+from barquet.llm import (
+    archive, chat, compression, decontaminate, extract, jaccard_join, language_id, packing, periodic_runs, quality_rules,
+    records, spelling_variants, token_counts,
+)
 from barquet.llm.common import table, text_crc32
 from barquet.session import shared_folder
 
@@ -137,6 +140,35 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by crc32 of its id) repeats its words from a position on.
+
+    Rows without doc_id and texts without words stay as they are.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_crc32(F.col("doc_id")).alias("h"))
+    listed = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    repeated = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return listed.select(
+        "doc_id", F.when(F.size("words") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), planted=199)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -148,5 +180,8 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_compression": op10_compression,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {"op4_archive": OP4_SQL, "op7_chat": OP7_SQL}

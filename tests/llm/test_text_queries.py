@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
