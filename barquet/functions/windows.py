@@ -135,6 +135,42 @@ def ema(
     return out.drop("__era", "__k", "__first", "__last", "__ends", *[f"__l{s}" for s in spans])
 
 
+def ema_onward(
+    df: DataFrame,
+    spans: Sequence[int],
+    seeds: Mapping[int, Column],
+    value: str = "close_price",
+    key: str = "symbol",
+    order: str = "trade_date",
+    prefix: str = "ema_",
+    names: Mapping[int, str] | None = None,
+) -> DataFrame:
+    """Exponential averages that go on from known ones.
+
+    `seeds` gives the average before a series' first row, on all its rows; where it is null
+    the first value starts the average, as in `ema`. Only for short series: a few hundred
+    rows keep the powers inside a double.
+    """
+    names = names or {s: f"{prefix}{s}" for s in spans}
+    w = series(key, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(value).cast("double")
+    decay = {s: (s - 1) / (s + 1) for s in spans}
+    staged = df.withColumns({"__k": (F.row_number().over(w) - 1).cast("double"), "__first": F.first(x).over(upto)})
+    staged = staged.withColumns(
+        {f"__l{s}": F.sum(x * F.pow(F.lit(decay[s]), -F.col("__k"))).over(upto) for s in spans}
+    )
+
+    def average(s: int) -> Column:
+        d = F.lit(decay[s])
+        e = F.pow(d, F.col("__k")) * F.lit(1 - decay[s]) * F.col(f"__l{s}") + F.pow(d, F.col("__k") + 1) * F.coalesce(
+            seeds[s], F.col("__first")
+        )
+        return F.when(F.abs(e - x) <= F.abs(x) * SETTLED, x).otherwise(e)
+
+    return staged.withColumns({names[s]: average(s) for s in spans}).drop("__k", "__first", *[f"__l{s}" for s in spans])
+
+
 def asof_backward(
     days: DataFrame,
     bars: Mapping[str, tuple[DataFrame, str]],

@@ -264,14 +264,15 @@ def relative_strength(df: DataFrame) -> DataFrame:
     ).drop("__own")
 
 
-def _rs_past() -> Column:
+def rs_past() -> Column:
+    """Highest relative strength of the year before."""
     return roll(F.max, C("rs_value"), R.rs_high_bars, R.rs_high_min_bars, shift=1)
 
 
 def rs_new_high(df: DataFrame) -> DataFrame:
     """Relative strength above its own past year."""
     if "__rs_past" not in df.columns:
-        df = df.withColumn("__rs_past", _rs_past())
+        df = df.withColumn("__rs_past", rs_past())
     return df.withColumn("rs_new_high", flag(C("rs_value") > C("__rs_past"))).drop("__rs_past")
 
 
@@ -439,10 +440,15 @@ def raw_signals(
     )
     second = (
         base.transform(trend_signal).transform(stage2_signal).transform(relative_strength)
-        .withColumns({"__off": last_off(C("stage2_signal") == 1), "__rs_past": _rs_past()})
+        .withColumns({"__off": last_off(C("stage2_signal") == 1), "__rs_past": rs_past()})
     )
+    return second.transform(later_flags, pass_score).transform(composite)
+
+
+def later_flags(df: DataFrame, pass_score: int = 6) -> DataFrame:
+    """Every flag after trend, Stage 2 and relative strength, whose windows are there."""
     return (
-        second
+        df
         .transform(stage2_age)
         .transform(rs_new_high)
         .transform(contraction_signals)
@@ -454,5 +460,4 @@ def raw_signals(
         .transform(breakout_ready_signal)
         .transform(minervini_signal)
         .transform(darvas_signal)
-        .transform(composite)
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barquet import config
-from barquet.operators import cleaning, ml, screen, serving
+from barquet.operators import boosting, cleaning, ml, screen, serving
 from barquet.plans.screening import run_screen
 from barquet.sources import listings, scans, sinks
 from barquet.streaming import incremental
@@ -197,9 +197,9 @@ def test_screen_names_resolve_or_fail(rows):
 
 def test_best_round_waits_for_patience():
     falls = [1.0, 0.9, 0.95, 0.96, 0.8, 0.85, 0.86, 0.87, 0.5]
-    assert ml.best_round(falls, 3) == (5, True)
-    assert ml.best_round(falls, 4) == (9, False)
-    assert ml.best_round([3.0], 5) == (1, False)
+    assert boosting.best_round(falls, 3) == (5, True)
+    assert boosting.best_round(falls, 4) == (9, False)
+    assert boosting.best_round([3.0], 5) == (1, False)
 
 
 # ------------------------------------------------------------------ incremental
@@ -276,12 +276,12 @@ def test_train_score_save_load(spark, tmp_path):
     rows = labelled(spark, 300).withColumn(
         "pa_score", F.when(F.col("symbol") != "S1", F.col("pa_score")))
     model, metrics = ml.train(rows, trees=5)
-    assert 1 <= metrics["trees"] <= 5 and model.stages[-1].getNumTrees == metrics["trees"]
+    assert 1 <= metrics["trees"] <= 5 and len(model.trees) == metrics["trees"]
     assert metrics["auc"] > 0.7 and metrics["n_train"] + metrics["n_test"] == 300
     assert len(metrics["top_features"]) == 5
     path = str(tmp_path / "model")
     assert ml.load(spark, path) is None
-    ml.save(model, path)
+    ml.save(spark, model, path)
     a = ml.score(model, rows).orderBy("symbol").collect()
     b = ml.score(ml.load(spark, path), rows).orderBy("symbol").collect()
     assert a == b and all(0 <= r.ml_win_prob <= 1 for r in a)

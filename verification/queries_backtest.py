@@ -266,7 +266,7 @@ def _scores(s: Stages):
 
 @register("ml_scores")
 def _(s: Stages):
-    """M2-M4: train on labelled entries, score one date. Rows only: the trees are MLlib's."""
+    """M2-M4: train on labelled entries, score one date. Rows only: SQL grows no trees."""
     return s._stored("ml_scores", lambda: _scores(s))
 
 
@@ -285,4 +285,44 @@ def _(s: Stages):
     )
 
 
+@register("ml_split", """
+SELECT label, count(*) AS rows, TRUE AS share_holds, TRUE AS repeats FROM ml_labelled GROUP BY label""")
+def _(s: Stages):
+    """M1: the held-out share of each label, and the same rows on another partitioning."""
+    rows = s._stored("ml_training", lambda: _labelled(s))
+    first = ml.mark_test_rows(rows)
+    again = ml.mark_test_rows(rows.repartition(3)).select("symbol", "trade_date", C("is_test").alias("again"))
+    share = DEFAULTS.ml.test_share
+    return first.join(again, ["symbol", "trade_date"]).groupBy("label").agg(
+        F.count("*").alias("rows"),
+        (F.abs(F.count_if("is_test") - share * F.count("*")) <= 1 + 0.01 * F.count("*")).alias("share_holds"),
+        F.bool_and(C("is_test") == C("again")).alias("repeats"),
+    )
+
+
+CTE["ml_judged"] = """
+SELECT year(trade_date) % 2 = 1 AS is_test, label, (composite_score + pa_score) / 200.0::DOUBLE AS p FROM ml_labelled"""
+CTE["ml_counts"] = """
+SELECT is_test, p, sum(label)::BIGINT AS wins, sum(1 - label)::BIGINT AS losses FROM ml_judged GROUP BY 1, 2"""
+CTE["ml_below"] = """
+SELECT *, coalesce(sum(losses) OVER (PARTITION BY is_test ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+FROM ml_counts"""
+
+
+@register("ml_metrics", """
+SELECT is_test, sum(wins + losses)::BIGINT AS rows, sum(wins)::DOUBLE / sum(wins + losses) AS win_rate,
+  (sum(CASE WHEN p > 0.5 THEN wins ELSE losses END))::DOUBLE / sum(wins + losses) AS accuracy,
+  sum(wins * (2 * below + losses))::DOUBLE / nullif(2.0::DOUBLE * sum(wins)::DOUBLE * sum(losses)::DOUBLE, 0) AS auc,
+  coalesce(sum(CASE WHEN p > 0.5 THEN wins END)::DOUBLE / nullif(sum(CASE WHEN p > 0.5 THEN wins + losses END), 0), 0) AS precision,
+  coalesce(sum(CASE WHEN p > 0.5 THEN wins END)::DOUBLE / nullif(sum(wins), 0), 0) AS recall
+FROM ml_below GROUP BY is_test""")
+def _(s: Stages):
+    """M3: the metrics of a score that SQL can compute, by odd and even years."""
+    rows = s._stored("ml_training", lambda: _labelled(s))
+    return ml.metrics(rows.select(
+        "label", (F.year("trade_date") % 2 == 1).alias("is_test"),
+        ((C("composite_score") + C("pa_score")) / 200.0).alias("ml_win_prob"),
+    ))
+
+
 _ = roll

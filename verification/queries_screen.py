@@ -181,14 +181,14 @@ def _(s: Stages):
 
 
 _FOLD = (screen.Test("VCP", "=", 1), screen.Test("Breakout", "=", "tick", "OR"),
-         screen.Test("No such field", ">=", 3), screen.Test("Dist Pivot%", ">", 0))
+         screen.Test("Fund Score", ">=", 3), screen.Test("Dist Pivot%", ">", 0))
 
 
 @register("screen_left_fold", """
 SELECT symbol, trade_date, distance_from_pivot_pct FROM signals
 WHERE (vcp_signal = 1 OR breakout_signal = 1) AND coalesce(distance_from_pivot_pct > 0, FALSE)""")
 def _(s: Stages):
-    """A OR B AND C reads (A OR B) AND C; unknown fields hold."""
+    """A OR B AND C reads (A OR B) AND C; a known field whose column is absent holds."""
     return screen.screen(s.signals(), _FOLD).select(
         "symbol", "trade_date", "distance_from_pivot_pct"
     )
