@@ -365,7 +365,8 @@ def _score_changes(fresh: DataFrame) -> DataFrame:
 
 
 def _next_state(state: DataFrame, fresh: DataFrame, periods: dict[str, DataFrame]) -> DataFrame:
-    """States of the folded symbols after the delivery."""
+    """States of the folded symbols after the delivery, with marks: `__moved` where the set of
+    scores is another one, `__reached` where there are enough periods for averages now."""
     rows = fresh.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.when(C("__new"), F.struct(*_TAIL_COLUMNS)))).alias("__rows"),
         F.first(F.when(~C("__new"), F.struct(*_KEPT)), ignorenulls=True).alias("__revised"),
@@ -384,15 +385,20 @@ def _next_state(state: DataFrame, fresh: DataFrame, periods: dict[str, DataFrame
             "tail": F.slice(tail, F.greatest(F.size(tail) - TAIL + 1, F.lit(1)), F.lit(TAIL)),
             "bars": C("bars") + F.size("__rows"),
             "last_date": F.element_at("__rows", -1)["trade_date"],
+            "__old": F.sort_array(F.map_keys("scores")),
             "scores": F.map_filter(merged, lambda k, n: n > 0),
         }
     )
+    reached = F.lit(False)
     for frame in FRAMES:
         last_two = _last_rows(periods[frame.name], 2, "end").groupBy("symbol").agg(
             F.sort_array(F.collect_list(F.struct(*_PERIOD))).alias(frame.name), F.first("__total").alias(f"n_{frame.name}")
         )
-        out = out.drop(frame.name, f"n_{frame.name}").join(last_two, "symbol")
-    return out.select(*_state_columns())
+        out = out.withColumnRenamed(f"n_{frame.name}", f"__n_{frame.name}").drop(frame.name).join(last_two, "symbol")
+        reached |= (C(f"__n_{frame.name}") < frame.need) & (C(f"n_{frame.name}") >= frame.need)
+    return out.select(
+        *_state_columns(), (F.sort_array(F.map_keys("scores")) != C("__old")).alias("__moved"), reached.alias("__reached")
+    )
 
 
 @dataclass(frozen=True)
@@ -422,33 +428,23 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
     periods = {f.name: materialize(_periods_onward(bars, state, f), f"fold_{f.name}") for f in FRAMES}
     folded = state.join(bars.select("symbol").distinct(), "symbol", "left_semi")
     after = materialize(_next_state(folded, fresh, periods), "fold_state")
-
-    scores = after.select("symbol", "scores")
-    before = state.select("symbol", C("scores").alias("__old"))
-    moved = materialize(
-        scores.join(before, "symbol").filter(
-            F.sort_array(F.map_keys("scores")) != F.sort_array(F.map_keys("__old"))
-        ).select("symbol", "scores"),
-        "fold_moved",
-    )
-    ranked = fresh.join(scores, "symbol").withColumn("composite_rank", _rank(C("composite_score"), C("scores")))
-    new_signals = ranked.select(*SIGNAL_COLUMNS)
-    reached = None
-    for frame in FRAMES:
-        crossing = periods[frame.name].filter((C("__n") < frame.need) & (C("__total") >= frame.need)).select("symbol")
-        reached = crossing if reached is None else reached.unionByName(crossing)
-    reached = materialize(reached.distinct(), "fold_reached")
+    n_folded, n_moved, n_reached = after.agg(
+        F.count("*"), F.count_if("__moved"), F.count_if("__reached")
+    ).first()
+    moved, reached = after.filter("__moved").select("symbol", "scores"), after.filter("__reached").select("symbol")
+    revised = fresh.filter(~C("__new")).select(*KEY)
 
     # Bars first: symbols that are built again read them from here.
     t.append(unknown, "bars")
+    ranked = fresh.join(after.select("symbol", "scores"), "symbol")
+    timeframe_bars = bars.join(reached, "symbol", "left_anti") if n_reached else bars
     parts = {
         "features": [panel.filter("__new").select(*FEATURE_COLUMNS)],
-        "signals": [new_signals],
+        "signals": [ranked.withColumn("composite_rank", _rank(C("composite_score"), C("scores"))).select(*SIGNAL_COLUMNS)],
         "price_action": [_price_action_rows(panel)],
-        "timeframes": [_timeframe_rows(bars.join(reached, "symbol", "left_anti"), periods)],
-        "state": [after],
+        "timeframes": [_timeframe_rows(timeframe_bars, periods)],
+        "state": [after.select(*_state_columns())],
     }
-    n_reached, n_moved = reached.count(), moved.count()
     if n_reached:
         whole = t.read("bars").select(*KEY, "close_price").join(reached, "symbol", "left_semi")
         parts["timeframes"].append(timeframes(whole))
@@ -458,14 +454,14 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
             parts[name].append(df)
         for name in ("features", "price_action", "timeframes"):
             t.delete(name, rebuilt)
-    revised = fresh.filter(~C("__new")).select(*KEY)
-    _rewrite_signals(t, rebuilt, moved, materialize(revised, "fold_revised"))
+    if n_rebuilt or n_moved or not revised.isEmpty():
+        _rewrite_signals(t, rebuilt, moved, revised)
     for name in ("features", "signals", "price_action", "timeframes"):
         t.append(_together(parts[name]), name)
     changed = _together(parts["state"])
     untouched = state.join(changed.select("symbol").unionByName(rebuilt), "symbol", "left_anti")
     t.rebuild(untouched.unionByName(changed), "state", ("symbol",))
-    return Report(t.commit(), after.count(), n_rebuilt, n_moved, n_reached)
+    return Report(t.commit(), n_folded, n_rebuilt, n_moved, n_reached)
 
 
 def _together(frames: list[DataFrame]) -> DataFrame:
