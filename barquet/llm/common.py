@@ -8,18 +8,24 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed value: what separates words in all contracts; bytes.split() takes the same.
 BLANKS = " \t\n\x0b\f\r"
 
-# Rows of ids a side may have and still be broadcast.
-BROADCAST_ROWS = 2_000_000
+# Bytes a side of a join may have and still be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def checked_broadcast(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of ids, marked for broadcast if a count finds it small enough;
-    beyond that the join shuffles."""
-    return F.broadcast(stored) if stored.count() <= rows else stored
+def row_bytes(schema: StructType) -> int:
+    """Bytes of a row of fixed-width columns in a broadcast relation, key and pointer included."""
+    return 32 + 8 * len(schema.fields)
+
+
+def checked_broadcast(stored: DataFrame, at_most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table of fixed-width columns, marked for broadcast if a count finds it small
+    enough; beyond that the join shuffles."""
+    return F.broadcast(stored) if stored.count() * row_bytes(stored.schema) <= at_most else stored
 
 
 def importable(spark: SparkSession) -> None:

@@ -33,3 +33,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     ).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found` (stored, as `components` returns it) after further links.
+
+    Links are first mapped through the components that are known: only what joins two of them is
+    searched, and where nothing does, no search runs and `found` comes back with the new nodes' rows.
+    """
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = materialize(
+        links.join(a, "a", "left").join(b, "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(),
+        "between",
+    )
+    if between.isEmpty():
+        return found
+    merged = materialize(components(between), "merged")
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    # Nodes that had no link before are their own components in `merged`.
+    new = merged.join(found.select("node"), "node", "left_anti")
+    return materialize(moved.unionByName(new), "components")

@@ -52,8 +52,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import BROADCAST_ROWS, WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
-from barquet.llm.components import components
+from barquet.llm.common import BROADCAST_BYTES, WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
+from barquet.llm.components import components, extended
 from barquet.session import materialize
 
 LARGEST_LIGHT = 14
@@ -299,7 +299,8 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                 names=["a", "b", "linked", "n", "hub_n", "difference"],
             )
 
-    if flat.count() <= BROADCAST_ROWS:
+    # A partner is a struct of three numbers in an array, a node at least one row.
+    if flat.count() * 64 <= BROADCAST_BYTES:
         texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.node)
     else:
         # Only ids are broadcast; partners meet the texts by shuffle, a node with many of them in several copies.
@@ -490,10 +491,8 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
     pairs = materialize(hub_pairs(bands, found), "pairs")
     tried = materialize(compared(docs, pairs, size, num, den), "tried")
     members = materialize(hub_members(tried, num, den), "members")
-    links = materialize(links.unionByName(tried.filter("linked").select("a", "b")).unionByName(hub_stars(members)), "links")
-    found = materialize(components(links), "components")
-    links = materialize(links.unionByName(hub_links(members, found, num, den)), "links")
-    found = materialize(components(links), "components")
+    found = extended(found, tried.filter("linked").select("a", "b").unionByName(hub_stars(members)))
+    found = extended(found, hub_links(members, found, num, den))
     # A doc_id with several texts is left to the lists.
     once = tried.groupBy(F.col("a").alias("node")).count().filter("count = 1").select("node")
     hubs = materialize(members.filter("node <> hub").select("node", "hub").join(once, "node", "left_semi"), "hubs")
@@ -502,9 +501,9 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
         pairs = materialize(next_pairs(open_pairs, found, tries), "pairs")
         if pairs.isEmpty():
             break
-        links = materialize(links.unionByName(verified(docs, pairs, size, num, den)), "links")
-        found = materialize(components(links), "components")
-        open_pairs = materialize(open_pairs.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = extended(found, verified(docs, pairs, size, num, den))
+        if tries is not None:
+            open_pairs = materialize(open_pairs.join(pairs, ["a", "b"], "left_anti"), "pairs")
 
     members = every.select("doc_id", "n", "hi", "lo").join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left")
     return members.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")).join(found, "node", "left").select(

@@ -24,6 +24,7 @@ any labelled rows of both kinds the list is empty. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -208,9 +209,21 @@ def learn(
         )).alias("levels")), "levels",
     )
     count = [F.sum(F.col("bad").cast("long")).alias("p"), F.sum((~F.col("bad")).cast("long")).alias("n")]
+    place = {f: k for k, f in enumerate(features)}
 
-    def best(rest: DataFrame) -> tuple[float, Test | None, int, int]:
-        got = rest.select("bad", F.posexplode("levels").alias("f", "level")).groupBy("f", "level").agg(*count)
+    def met(tests: list[Test]) -> Column:
+        """The tests as one array value on the rows' levels: all plans of the search have one
+        shape and share their generated code, whatever is tested."""
+        return F.array(*(
+            F.struct(F.lit(place[t.feature]).alias("f"), F.lit(t.below).alias("below"), F.lit(bisect_left(cuts[t.feature], t.threshold)).alias("cut"))
+            for t in tests
+        )).cast("array<struct<f:int,below:boolean,cut:int>>")
+
+    def hold(tests: Column) -> Column:
+        return F.forall(tests, lambda t: (F.get("levels", t["f"]) <= t["cut"]) == t["below"])
+
+    def best(grow: DataFrame) -> tuple[float, Test | None, int, int]:
+        got = grow.select("bad", F.posexplode("levels").alias("f", "level")).groupBy("f", "level").agg(*count)
         table = {(r["f"], r["level"]): (r["p"], r["n"]) for r in got.collect()}
         top = (0.0, None, 0, 0)
         for k, feature in enumerate(features):
@@ -225,22 +238,21 @@ def learn(
         return top
 
     rules: list[tuple[Test, ...]] = []
-    rest = levels
     while len(rules) < max_rules:
-        grow, tests = rest.filter("grow"), []
+        known = F.array(*map(met, rules)).cast("array<array<struct<f:int,below:boolean,cut:int>>>")
+        rest, tests = levels.filter(~F.exists(known, hold)), []
         while len(tests) < max_tests:
-            _, test, p, n = best(grow)
+            _, test, p, n = best(rest.filter(F.col("grow") & hold(met(tests))))
             if test is None:
                 break
             tests.append(test)
-            grow = grow.filter(test.column())
             if n == 0:
                 break
         if not tests:
             break
         checked = rest.filter(~F.col("grow")).agg(*(
-            F.sum(F.when(_all(tests[:k]) & (F.col("bad") == b), 1).otherwise(0)).alias(f"{name}{k}")
-            for k in range(1, len(tests) + 1) for name, b in (("p", True), ("n", False))
+            F.sum(F.when(hold(met(tests[:k])) & (F.col("bad") == b), 1).otherwise(0)).alias(f"{name}{k}")
+            for k in range(1, max_tests + 1) for name, b in (("p", True), ("n", False))
         )).first()
         worth = []
         for k in range(1, len(tests) + 1):
@@ -250,7 +262,6 @@ def learn(
         if p + n == 0 or p / (p + n) < precision:
             break
         rules.append(tuple(tests[:-k]))
-        rest = rest.filter(~_all(rules[-1]))
     return DecisionList(tuple(rules))
 
 
