@@ -42,6 +42,7 @@ from barquet.operators.targets import targets
 from barquet.operators.timeframes import TIMEFRAME_COLUMNS, timeframe_trend, timeframes
 from barquet.plans.daily import SIGNAL_COLUMNS, feature_table, signal_table
 from barquet.session import materialize
+from barquet.sources.layout import Tiles
 from barquet.sources.scans import PRICE_ACTION_INPUT
 from barquet.sources.snapshots import Snapshots, Transaction
 
@@ -158,14 +159,15 @@ def _built(bars: DataFrame, facts: Facts) -> dict[str, DataFrame]:
     }
 
 
-def build(store: Snapshots, bars: DataFrame, facts: Facts, files: int | None = None) -> int:
-    """All tables from the whole history, in one transaction. Panels are written clustered
-    by symbol, so that a symbol lies in few files."""
-    clean = valid_candles(bars)
+def build(store: Snapshots, bars: DataFrame, facts: Facts, files: int = 64) -> int:
+    """All tables from the whole history, in one transaction; panels lie in tiles of symbols and
+    dates, on so many files each."""
+    clean = materialize(valid_candles(bars), "fold_clean")
+    tiles = Tiles.of(clean, files)
     with store.transaction() as t:
-        t.rebuild(clean, "bars", KEY, files)
-        for name, df in _built(t.read("bars"), facts).items():
-            t.rebuild(df, name, ("symbol",) if name == "state" else KEY, files)
+        t.rebuild(clean, "bars", tiles)
+        for name, df in _built(clean, facts).items():
+            t.rebuild(df, name, ("symbol",) if name == "state" else tiles)
     return store.version()
 
 

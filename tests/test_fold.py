@@ -1,6 +1,7 @@
 """Deliveries folded into the daily tables against a full rebuild."""
 
 import math
+import uuid
 from datetime import date
 
 import pytest
@@ -72,7 +73,7 @@ def grown(spark):
     eve = [r for r in rows if r[0] == "EVE.NS"][-2][1]
     earnings = spark.createDataFrame([("EVE.NS", eve)], "symbol string, earnings_date date")
     facts = fold.Facts(earnings, index)
-    store = Snapshots(spark, f"{shared_folder(spark)}/fold/grown")
+    store = Snapshots(spark, f"{shared_folder(spark)}/fold/{uuid.uuid4().hex}")
     batch = lambda n: bars.filter(F.col("delivery") == n).drop("delivery")
     fold.build(store, batch(0), facts, files=4)
     before = store.read("signals").filter(F.col("symbol") == "EVE.NS").orderBy(F.desc("trade_date")).first()

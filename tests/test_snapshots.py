@@ -1,5 +1,6 @@
 """Tables that change all at once: versions, copies on write, failures half-way."""
 
+import uuid
 from datetime import date
 
 import pytest
@@ -7,14 +8,15 @@ from pyspark.sql import functions as F
 
 from barquet.operators import quality
 from barquet.session import shared_folder
+from barquet.sources.layout import Tiles
 from barquet.sources.snapshots import Conflict, Snapshots
 
 SCHEMA = "symbol string, trade_date int, x double"
 
 
 @pytest.fixture
-def store(spark, request):
-    return Snapshots(spark, f"{shared_folder(spark)}/snap/{request.node.name}")
+def store(spark):
+    return Snapshots(spark, f"{shared_folder(spark)}/snap/{uuid.uuid4().hex}")
 
 
 def rows(spark, *data):
@@ -127,3 +129,70 @@ def test_stale_rows_leave_the_stored_panel(spark, store):
     with store.transaction() as t:
         assert quality.delete_stale(t, "prices", date(2024, 1, 9)) == 0
     assert store.read("quality_log").count() == 1
+
+
+# ------------------------------------------------------------------ layout and dates
+def scanned_rows(df):
+    """Rows that file scans of a query handed on."""
+    df.write.format("noop").mode("overwrite").save()
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+
+    def scans(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from scans(plan.executedPlan())
+        elif name == "FileSourceScanExec":
+            yield plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        for k in range(children.size()):
+            yield from scans(children.apply(k))
+
+    return sum(scans(execution.executedPlan()))
+
+
+@pytest.fixture(scope="module")
+def tiled(spark):
+    days = spark.range(400).select(F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int")).alias("trade_date"))
+    names = spark.range(250).select(F.format_string("S%03d", "id").alias("symbol"))
+    panel = names.crossJoin(days).withColumn("x", F.rand(3))
+    store = Snapshots(spark, f"{shared_folder(spark)}/snap/{uuid.uuid4().hex}")
+    with store.transaction() as t:
+        t.rebuild(panel, "panel", Tiles.of(panel, 256))
+    return store
+
+
+def test_tiles_serve_symbols_and_dates(tiled):
+    panel = tiled.read("panel")
+    assert len(tiled.files("panel")) == 256
+    history = panel.filter("symbol = 'S077'")
+    day = panel.filter(F.col("trade_date") == F.lit(date(2020, 7, 9)))
+    assert history.count() == 400 and day.count() == 250
+    for df in (history, day):
+        assert scanned_rows(df.select("symbol", "trade_date", "x")) <= 0.1 * 100_000
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_any_number_of_files_keeps_all_rows(spark, files):
+    rows = [(f"S{k % 5}", date(2024, 1, 1 + k % 9), float(k)) for k in range(90)] + [(None, None, 0.0)]
+    panel = spark.createDataFrame(rows, "symbol string, trade_date date, x double")
+    tiles = Tiles.of(panel, files)
+    assert sorted(map(repr, tiles.apply(panel).collect())) == sorted(map(repr, panel.collect()))
+    assert Tiles.of(panel.limit(0), files).apply(panel.limit(0)).count() == 0
+
+
+def test_dates_come_from_the_manifest(spark, tiled):
+    days = tiled.dates("panel")
+    assert days.count() == 400 and not days.inputFiles()
+    assert "Scan parquet" not in days._jdf.queryExecution().toString()
+
+
+def test_dates_after_changes(spark, store):
+    rows = [("A", date(2024, 1, d), 1.0) for d in range(1, 6)] + [("B", date(2024, 1, 9), 1.0)]
+    with store.transaction() as t:
+        t.rebuild(spark.createDataFrame(rows, "symbol string, trade_date date, x double"), "t", ("symbol",), 2)
+        t.append(spark.createDataFrame([("C", date(2024, 2, 1), None)], "symbol string, trade_date date, x double"), "t")
+    with store.transaction() as t:
+        t.delete("t", spark.createDataFrame([("A", date(2024, 1, 3))], "symbol string, trade_date date"))
+    got = sorted(r[0] for r in store.dates("t").collect())
+    assert got == [date(2024, 1, d) for d in (1, 2, 4, 5, 9)] + [date(2024, 2, 1)]

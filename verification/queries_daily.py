@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet import config
-from barquet.operators import cleaning, quality
+from barquet.operators import cleaning, quality, serving
 from barquet.session import shared_folder
+from barquet.sources import scans
 from barquet.sources.snapshots import Snapshots
 from barquet.streaming import fold
 from verification.fixtures import supplier_number
@@ -89,6 +91,46 @@ def _(s: Stages):
     return show(grown(s).read("timeframes"), "mtf_weekly_trend", "mtf_monthly_trend", "mtf_score", **MTF)
 
 
+# ------------------------------------------------------------------ reads of the grown tables
+@register("stored_date_range", "SELECT min(trade_date) AS min_date, max(trade_date) AS max_date FROM bars")
+def _(s: Stages):
+    """A13 from the manifest: no row is read."""
+    return serving.date_range(grown(s).dates("bars"))
+
+
+@register("stored_trade_dates", "SELECT DISTINCT trade_date FROM signals")
+def _(s: Stages):
+    """A13, T8 from the manifest and the files that were replaced since."""
+    return serving.trade_dates(grown(s).dates("signals"))
+
+
+@register("stored_nearest_date", """
+SELECT max(trade_date) AS trade_date FROM bars WHERE trade_date <= DATE '2021-05-09'""")
+def _(s: Stages):
+    """T6 from the manifest."""
+    return serving.nearest_date(grown(s).dates("bars"), datetime.date(2021, 5, 9))
+
+
+@register("stored_latest_price_date", "SELECT max(trade_date) AS trade_date FROM bars WHERE symbol = 'S7.NS'")
+def _(s: Stages):
+    """A13 of one symbol from its state row."""
+    return serving.latest_price_date(grown(s).read("state").select("symbol", C("last_date").alias("trade_date")), "S7.NS")
+
+
+@register("stored_symbol_history", "SELECT * FROM bars WHERE symbol = 'S7.NS'")
+def _(s: Stages):
+    """S4 on a panel in tiles: only files of its symbol range are read."""
+    return scans.symbol_history(grown(s).read("bars"), "S7.NS")
+
+
+@register("stored_day", shown(
+    "signals WHERE trade_date = (SELECT d FROM screen_day)", "composite_score", "breakout_ready_signal", "stage2_days"))
+def _(s: Stages):
+    """J1, T9 on a panel in tiles: only files of its dates are read."""
+    return show(grown(s).read("signals").filter(C("trade_date") == F.lit(s.screen_day())),
+                "composite_score", "breakout_ready_signal", "stage2_days")
+
+
 # ------------------------------------------------------------------ stored panels
 def _without_stale(s: Stages) -> Snapshots:
     """A stored panel after its stale rows were deleted twice."""

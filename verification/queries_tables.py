@@ -15,6 +15,7 @@ from barquet.plans import store
 from barquet.schemas import TRADES
 from barquet.session import materialize, shared_folder
 from barquet.sources import listings, scans, sinks
+from barquet.sources.snapshots import Snapshots
 from barquet.streaming import incremental
 from verification.registry import register
 from verification.sql_stages import CTE
@@ -359,7 +360,7 @@ def _(s: Stages):
         s.bars(), s.index_bars(), s.market_states(), s.universe(), s.earnings(),
         s.fundamentals(), s.vol_index(),
     )
-    tables = store.build_all(inputs, store.Store(s.spark, _fresh(s, "day")), s.last_day())
+    tables = store.build_all(inputs, Snapshots(s.spark, _fresh(s, "day")), s.last_day())
     totals = {
         "features": F.sum("trend_score"), "regime": F.sum("regime_score"),
         "environment": F.sum(C("cash_mode").cast("int")),
