@@ -144,6 +144,84 @@ def _bucket(day: Column, width: int) -> Column:
     return F.floor(F.unix_date(day) / F.lit(width)).cast("int")
 
 
+# From this holding period on, entries meet blocks of bars before bars.
+LONG_HOLD = 120
+# Calendar days of a block.
+BLOCK_DAYS = 16
+
+
+def _event_columns() -> list[Column]:
+    return [
+        F.min(F.when(C("low_price") <= C("__stop"), C("trade_date"))).alias("__stopped"),
+        F.min(F.when(C("high_price") >= C("__target"), C("trade_date"))).alias("__reached"),
+        F.max("trade_date").alias("__last"),
+        F.max_by("close_price", "trade_date").alias("__close"),
+    ]
+
+
+def _events_by_bars(opened: DataFrame, prices: DataFrame, width: int, whole: Sequence[str]) -> DataFrame:
+    """First stop, first target and last bar of each entry, from all bars in reach."""
+    first = _bucket(F.date_add("entry_date", 1), width)
+    last = _bucket(F.date_add("entry_date", width), width)
+    reach = opened.withColumn("__bucket", F.explode(F.sequence(first, last)))
+    bars = prices.select(
+        "symbol", "trade_date", "high_price", "low_price", "close_price",
+        _bucket(C("trade_date"), width).alias("__bucket"),
+    )
+    met = reach.join(bars, ["symbol", "__bucket"]).filter(
+        (C("trade_date") > C("entry_date"))
+        & (C("trade_date") <= F.date_add("entry_date", width))
+    )
+    return met.groupBy(*whole).agg(*_event_columns())
+
+
+def _events_by_blocks(opened: DataFrame, prices: DataFrame, width: int, whole: Sequence[str]) -> DataFrame:
+    """The same by blocks of bars with their lowest low and highest high.
+
+    The blocks strictly inside an entry's reach tell which of them closes it first and what the last
+    bar before the reach's end is. Bars are met only in the block the reach starts in, and in that first closing
+    block or, without one, in the block the reach ends in. Events after the first closing block cannot
+    decide anything.
+    """
+    group = -(-width // BLOCK_DAYS) + 1  # blocks of a reach lie in at most two groups of so many
+    bars = prices.select(
+        "symbol", "trade_date", "high_price", "low_price", "close_price",
+        _bucket(C("trade_date"), BLOCK_DAYS).alias("__block"),
+    )
+    blocks = bars.groupBy("symbol", "__block").agg(
+        F.min("low_price").alias("__low"), F.max("high_price").alias("__high"),
+        F.max(F.struct("trade_date", "close_price")).alias("__end"),
+    ).withColumn("__group", F.floor(C("__block") / F.lit(group)).cast("int"))
+    reach = opened.withColumns(
+        {"__b0": _bucket(F.date_add("entry_date", 1), BLOCK_DAYS), "__b1": _bucket(F.date_add("entry_date", width), BLOCK_DAYS)}
+    )
+    edge = lambda c: F.floor(C(c) / F.lit(group)).cast("int")
+    # Left joins: an entry stays, whatever its reach holds.
+    grouped = reach.withColumn("__group", F.explode(F.sequence(edge("__b0"), edge("__b1")))).alias("r")
+    inside = grouped.join(
+        blocks.alias("x"),
+        (C("r.symbol") == C("x.symbol")) & (C("r.__group") == C("x.__group"))
+        & (C("x.__block") > C("r.__b0")) & (C("x.__block") < C("r.__b1")), "left",
+    ).select("r.*", "x.__block", "x.__low", "x.__high", "x.__end")
+    closing = F.when((C("__low") <= C("__stop")) | (C("__high") >= C("__target")), C("__block"))
+    decided = inside.groupBy(*whole, "__b0", "__b1").agg(F.min(closing).alias("__closing"), F.max("__end").alias("__inner"))
+    looked = decided.withColumn(
+        "__at", F.explode(F.array_distinct(F.array("__b0", F.coalesce("__closing", "__b1"))))
+    ).alias("e")
+    met = looked.join(
+        bars.alias("p"),
+        (C("e.symbol") == C("p.symbol")) & (C("e.__at") == C("p.__block"))
+        & (C("p.trade_date") > C("e.entry_date")) & (C("p.trade_date") <= F.date_add("e.entry_date", width)), "left",
+    ).select("e.*", "p.trade_date", "p.low_price", "p.high_price", "p.close_price")
+    events = met.groupBy(*whole).agg(
+        *_event_columns()[:2], F.max(F.when(C("trade_date").isNotNull(), F.struct("trade_date", "close_price"))).alias("__seen"),
+        F.first("__inner").alias("__inner"),
+    ).withColumn("__tail", F.greatest("__seen", "__inner"))
+    return events.filter(C("__tail").isNotNull()).withColumns(
+        {"__last": C("__tail.trade_date"), "__close": C("__tail.close_price")}
+    ).drop("__seen", "__inner", "__tail")
+
+
 def trade_exits(
     entries: DataFrame,
     prices: DataFrame,
@@ -157,34 +235,18 @@ def trade_exits(
     Bars up to `max_holding_days` calendar days ahead lie in at most two
     adjacent buckets of that width, so each entry meets only those buckets'
     bars: an equi-join on (symbol, bucket) whose work is entries times bars in
-    reach. A busy symbol is spread over its buckets. Exits are minima and maxima
-    that combine before the shuffle.
+    reach. From `LONG_HOLD` days on entries meet blocks of bars first. A busy symbol is spread
+    over its buckets. Exits are minima and maxima that combine before the shuffle.
     """
-    width = max_holding_days
     opened = entries.filter(C("entry_price") > 0).withColumns(
         {
             "__stop": C("entry_price") * (1.0 - stop_loss),
             "__target": C("entry_price") * (1.0 + target),
         }
     )
-    first = _bucket(F.date_add("entry_date", 1), width)
-    last = _bucket(F.date_add("entry_date", width), width)
-    reach = opened.withColumn("__bucket", F.explode(F.sequence(first, last)))
-    bars = prices.select(
-        "symbol", "trade_date", "high_price", "low_price", "close_price",
-        _bucket(C("trade_date"), width).alias("__bucket"),
-    )
-    met = reach.join(bars, ["symbol", "__bucket"]).filter(
-        (C("trade_date") > C("entry_date"))
-        & (C("trade_date") <= F.date_add("entry_date", width))
-    )
-    carried = ("entry_price", "composite_score", "regime", "__stop", "__target")
-    closed = met.groupBy(*key, *carried).agg(
-        F.min(F.when(C("low_price") <= C("__stop"), C("trade_date"))).alias("__stopped"),
-        F.min(F.when(C("high_price") >= C("__target"), C("trade_date"))).alias("__reached"),
-        F.max("trade_date").alias("__last"),
-        F.max_by("close_price", "trade_date").alias("__close"),
-    )
+    whole = (*key, "entry_price", "composite_score", "regime", "__stop", "__target")
+    events = _events_by_blocks if max_holding_days >= LONG_HOLD else _events_by_bars
+    closed = events(opened, prices, max_holding_days, whole)
     stopped = C("__stopped").isNotNull() & b(
         C("__reached").isNull() | (C("__stopped") <= C("__reached"))
     )

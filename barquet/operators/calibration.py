@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from barquet.config import DEFAULTS, UNKNOWN_REGIME
 from barquet.functions.predicates import half_even
 from barquet.functions.scalars import score_bucket
+from barquet.session import materialize
+from barquet.sources.snapshots import Transaction
 
 C = F.col
 R = DEFAULTS.targets
@@ -31,14 +33,17 @@ def forward_highs(bars: DataFrame) -> DataFrame:
     ).drop("__day", "high_price")
 
 
-def calibration_entries(signals: DataFrame, as_of: date) -> DataFrame:
-    """Set-ups old enough for the longest horizon to have passed."""
+def calibration_entries(signals: DataFrame, as_of: date, after: date | None = None) -> DataFrame:
+    """Set-ups old enough for the longest horizon to have passed; with `after`, those alone
+    whose horizon was still open on that day."""
     fallback = C("pivot_price") + C("pivot_price") * C("base_range_pct") / 100.0 * R.t3
-    return signals.filter(
+    rows = signals.filter(C("trade_date") <= F.date_sub(F.lit(as_of), R.hold_days_t2))
+    if after is not None:
+        rows = rows.filter(C("trade_date") > F.date_sub(F.lit(after), R.hold_days_t2))
+    return rows.filter(
         ((C("breakout_signal") == 1) | (C("breakout_ready_signal") == 1))
         & C("target_1_price").isNotNull() & C("target_2_price").isNotNull()
         & C("pivot_price").isNotNull()
-        & (C("trade_date") <= F.date_sub(F.lit(as_of), R.hold_days_t2))
     ).select(
         "symbol", "trade_date", "target_1_price", "target_2_price",
         F.coalesce("target_3_price", fallback).alias("target_3_price"),
@@ -56,22 +61,66 @@ def target_hits(entries: DataFrame, highs: DataFrame) -> DataFrame:
     )
 
 
-def confidence_model(
-    signals: DataFrame, bars: DataFrame, environment: DataFrame, as_of: date
+def confidence_counts(
+    signals: DataFrame, bars: DataFrame, environment: DataFrame, as_of: date, after: date | None = None
 ) -> DataFrame:
-    """Hit rates by score bucket and market regime, thin cells left out."""
-    hits = target_hits(calibration_entries(signals, as_of), forward_highs(bars))
+    """Set-ups and their hits by score bucket, market regime and the day their horizon closes
+    (`trade_date`).
+
+    The rows of different closing days add up, so a table of them grows by the days since `after`
+    alone; then only set-ups that closed since and the bars in their reach are read.
+    """
+    if after is not None:
+        bars = bars.filter(
+            (C("trade_date") > F.date_sub(F.lit(after), R.hold_days_t2)) & (C("trade_date") <= F.lit(as_of))
+        )
+    hits = target_hits(calibration_entries(signals, as_of, after), forward_highs(bars))
     regimes = environment.select("trade_date", C("market_state").alias("market_regime"))
-    rates = {t: half_even(F.avg(f"hit_{t}") * 100, 1).alias(f"hit_rate_{t}") for t, _ in HORIZONS}
+    closes = F.date_add("trade_date", R.hold_days_t2)
     return (
         hits.join(regimes, "trade_date", "left")
         .withColumn("market_regime", F.coalesce("market_regime", F.lit(UNKNOWN_REGIME)))
-        .groupBy("score_bucket", "market_regime")
-        .agg(F.count("*").alias("sample_count"), *rates.values())
+        .groupBy("score_bucket", "market_regime", closes.alias("closes"))
+        .agg(F.count("*").alias("n"), *[F.sum(f"hit_{t}").alias(f"hits_{t}") for t, _ in HORIZONS])
+        .withColumnRenamed("closes", "trade_date")
+    )
+
+
+def confidence_rates(counts: DataFrame) -> DataFrame:
+    """Hit rates by score bucket and market regime, thin cells left out."""
+    total = F.sum("n")
+    rates = {t: half_even(F.sum(f"hits_{t}") / total * 100, 1).alias(f"hit_rate_{t}") for t, _ in HORIZONS}
+    return (
+        counts.groupBy("score_bucket", "market_regime")
+        .agg(total.alias("sample_count"), *rates.values())
         .filter(C("sample_count") >= R.min_samples)
     )
 
 
+def confidence_model(
+    signals: DataFrame, bars: DataFrame, environment: DataFrame, as_of: date
+) -> DataFrame:
+    """Hit rates from all history at once."""
+    return confidence_rates(confidence_counts(signals, bars, environment, as_of))
+
+
+def extend_counts(
+    t: Transaction, name: str, signals: DataFrame, bars: DataFrame, environment: DataFrame, as_of: date
+) -> int:
+    """Bring a stored table of counts up to `as_of`; returns the number of its days added.
+
+    What the table holds is kept; set-ups close in order of their days, so nothing is counted twice.
+    A day that was already reached adds nothing.
+    """
+    reached = t.read(f"{name}_reached").first()[0] if f"{name}_reached" in t else None
+    if reached is not None and reached >= as_of:
+        return 0
+    new = materialize(confidence_counts(signals, bars, environment, as_of, reached), "counts")
+    t.append(new, name)
+    t.rebuild(new.sparkSession.createDataFrame([(as_of,)], "as_of date"), f"{name}_reached")
+    return new.select("trade_date").distinct().count()
+
+
 def apply_confidence(signals_on_day: DataFrame, model: DataFrame, regime: str | None) -> DataFrame:
     """Confidences of one day's signals.
 

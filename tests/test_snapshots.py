@@ -132,23 +132,35 @@ def test_stale_rows_leave_the_stored_panel(spark, store):
 
 
 # ------------------------------------------------------------------ layout and dates
-def scanned_rows(df):
-    """Rows that file scans of a query handed on."""
-    df.write.format("noop").mode("overwrite").save()
+def plan_metrics(df):
+    """(node name, output rows) of all operators of a query that was run."""
     execution = df._jdf.queryExecution()
     execution.executedPlan().executeCollect()
 
-    def scans(plan):
+    def walk(plan):
         name = plan.getClass().getSimpleName()
         if name == "AdaptiveSparkPlanExec":
-            yield from scans(plan.executedPlan())
-        elif name == "FileSourceScanExec":
-            yield plan.metrics().apply("numOutputRows").value()
+            yield from walk(plan.executedPlan())
+            return
+        if name.endswith("QueryStageExec"):
+            yield from walk(plan.plan())
+            return
+        if plan.metrics().contains("numOutputRows"):
+            yield name, plan.metrics().apply("numOutputRows").value()
         children = plan.children()
         for k in range(children.size()):
-            yield from scans(children.apply(k))
+            yield from walk(children.apply(k))
+
+    return list(walk(execution.executedPlan()))
+
+
+def scanned_rows(df):
+    """Rows that file scans of a query handed on."""
+    return sum(n for name, n in plan_metrics(df) if name == "FileSourceScanExec")
+
 
-    return sum(scans(execution.executedPlan()))
+def joined_rows(df):
+    return sum(n for name, n in plan_metrics(df) if name.endswith("JoinExec"))
 
 
 @pytest.fixture(scope="module")

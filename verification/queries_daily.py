@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquet import config
-from barquet.operators import cleaning, quality, serving
+from barquet.operators import calibration, cleaning, quality, serving
 from barquet.session import shared_folder
 from barquet.sources import scans
 from barquet.sources.snapshots import Snapshots
@@ -131,6 +131,19 @@ def _(s: Stages):
                 "composite_score", "breakout_ready_signal", "stage2_days")
 
 
+# ------------------------------------------------------------------ additive calibration
+@register("confidence_increment", "SELECT * FROM confidence")
+def _(s: Stages):
+    """Counts up to five days ago, extended day by day, give the model of all history."""
+    store, last = _store(s, "counts"), s.last_day()
+    for back in (5, 4, 3, 2, 1, 0, 0):
+        with store.transaction() as t:
+            calibration.extend_counts(
+                t, "counts", s.signals(), s.bars(), s.environment(), last - datetime.timedelta(days=back)
+            )
+    return calibration.confidence_rates(store.read("counts"))
+
+
 # ------------------------------------------------------------------ stored panels
 def _without_stale(s: Stages) -> Snapshots:
     """A stored panel after its stale rows were deleted twice."""
