@@ -112,17 +112,26 @@ def best_cut(x: np.ndarray, y: np.ndarray, share: float) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """good (boolean), rank and a text span of at most `per_class` rows of each label."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, span: int = SPAN) -> DataFrame:
+    """good (boolean), rank and a text span of at most `per_class` rows of each label.
+
+    Labels are chosen first, then rows of their documents by id and digest of the text, so the bound
+    holds whatever ids repeat in either table; rows equal in both count once.
+    """
     marked = labels.filter("doc_id is not null and quality is not null").select(
         "doc_id", (F.col("quality") == 1).alias("good")
-    )
-    order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SPAN + 1)).cast("int")
-    return docs.filter("text is not null").select("doc_id", "text").join(
-        F.broadcast(chosen), "doc_id"
-    ).select("good", "rank", "doc_id", F.substring(F.col("text"), start + 1, F.lit(SPAN)).alias("text"))
+    ).distinct()
+    side = Window.partitionBy("good")
+    by_id = side.orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = marked.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= per_class).drop("rank")
+    rows = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    by_row = side.orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+    found = rows.select("doc_id", "digest").join(F.broadcast(chosen), "doc_id").distinct()
+    ranked = found.withColumn("rank", F.row_number().over(by_row)).filter(F.col("rank") <= per_class)
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - span + 1)).cast("int")
+    return rows.join(F.broadcast(ranked), ["doc_id", "digest"]).select(
+        "good", "rank", "doc_id", F.substring(F.col("text"), start + 1, F.lit(span)).alias("text")
+    ).groupBy("good", "rank", "doc_id").agg(F.first("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CompressionModel:

@@ -1,10 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of its elements, without those that never hold the article:
-scripts, styles, menus, page headers, footers, sidebars, forms. What a class, id or role
+A page becomes a tree of its elements, without those that never hold the article
+(scripts, styles, menus, page headers, footers) and without what its own attributes hide. What a class, id or role
 names as advert, notice, comment and the like is marked, and goes as well unless it holds
 the main part of the text (see `_settle`); words after `no`, `has`, `with` and such tell of the
-page's layout and mark nothing. Every paragraph passes points
+page's layout and mark nothing. Forms and asides are weighed like marked elements: one may
+wrap a whole page. Every paragraph passes points
 (one, one for each comma, up to three for its length) to its parent, half of them to the
 grandparent, a third of that half and so on further up; a container's points are
 discounted by the share of its text that stands in links. The best container is kept
@@ -35,15 +36,20 @@ _TOKEN = re.compile(
 # A tag with a quote that never ends.
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+# Only attributes with one of these are looked at one by one.
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is no markup: it ends at their end tag.
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 DROPPED = RAW | frozenset(
-    "head nav footer aside form button select option svg canvas object audio video menu dialog "
-    "fieldset label datalist map math".split()
+    "head nav footer button select option svg canvas object audio video menu dialog "
+    "fieldset label datalist map".split()
 )
+# Weighed like elements with an unwanted name: a form may wrap a whole page.
+WEIGHED = frozenset(("aside", "form"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th "
@@ -62,7 +68,7 @@ UNWANTED = frozenset(
     "comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav "
     "navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted "
     "promotion recommended related replies respond search share sharing sidebar signup social sponsor "
-    "sponsored subscribe subscription toolbar toc widget widgets alert".split()
+    "sponsored subscribe subscription toolbar toc widget widgets alert hidden".split()
 )
 # In a class or id, words from these on tell what the page has beside the element.
 LAYOUT = frozenset("no not has have with without show hide".split())
@@ -104,7 +110,18 @@ def _words_of(attributes: str) -> frozenset:
 def _dropped(tag: str, attributes: str) -> bool:
     if tag in ("html", "body", *WHOLE):
         return False
-    return tag in DROPPED or bool(_HIDDEN.search(attributes))
+    return tag in DROPPED or _hidden(attributes)
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it; what a title or a class says does not."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
 
 
 def parse(html: str) -> Node:
@@ -112,6 +129,16 @@ def parse(html: str) -> Node:
     another element ends them."""
     root = here = Node("html", frozenset(), None)
     at = 0
+    open_tags: dict[str, int] = {}
+
+    def closed(node: Node) -> Node:
+        """The parent of an open element, which ends with all that is open inside it."""
+        end, inner = node.parent, here
+        while inner is not end:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return end
+
     while at < len(html):
         m = _TOKEN.match(html, at)
         if m[0] == "<":
@@ -128,15 +155,15 @@ def parse(html: str) -> Node:
             at = end.end() if end else len(html)
             continue
         if here.tag == "head" and not closing and tag not in VOID:
-            here = here.parent
+            here = closed(here)
         if tag in ("html", "body"):
             continue
         if closing:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags.get(tag):  # an end without its element ends nothing
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = closed(node)
             continue
         if tag == "br" or tag == "hr" or tag == "wbr":
             here.items.append("" if tag == "wbr" else " ")
@@ -148,43 +175,36 @@ def parse(html: str) -> Node:
             while node is not root and (node.tag not in BLOCKS or node.tag in HEADINGS and tag not in HEADINGS):
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
-        if (ends := ENDED_BY.get(tag)) is not None:
+                here = closed(node)
+        if (ends := ENDED_BY.get(tag)) is not None and any(open_tags.get(x) for x in ends):
             node = here
             while node is not root and node.tag not in ends and node.tag not in ("ul", "ol", "dl", "table"):
                 node = node.parent
             if node.tag in ends and node is not root:
-                here = node.parent
+                here = closed(node)
         words = _words_of(attributes) if attributes else frozenset()
-        dropped, marked = _dropped(tag, attributes), tag not in WHOLE and not UNWANTED.isdisjoint(words)
+        dropped, marked = _dropped(tag, attributes), tag in WEIGHED or tag not in WHOLE and not UNWANTED.isdisjoint(words)
         if (dropped or marked) and attributes.endswith("/"):
             continue
         node = Node(tag, words, here, marked)
         if not dropped:
             here.items.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         here = node
     return root
 
 
-def _in_article(node: Node) -> bool:
-    while node is not None:
-        if node.tag in WHOLE:
-            return True
-        node = node.parent
-    return False
-
-
 def _order(root: Node) -> list[Node]:
     """All nodes, parents first; no recursion, whatever the depth."""
-    found, todo = [], [root]
+    found, todo = [], [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
+        inside = inside or node.tag in WHOLE
         if node.tag == "header" or "header" in node.words and node.tag not in WHOLE:
             # A page header goes; of an article's, headings stay.
-            keep = _in_article(node)
-            node.items = [x for x in node.items if keep and isinstance(x, Node) and x.tag in HEADINGS]
+            node.items = [x for x in node.items if inside and isinstance(x, Node) and x.tag in HEADINGS]
         found.append(node)
-        todo.extend(x for x in reversed(node.items) if isinstance(x, Node))
+        todo.extend((x, inside) for x in reversed(node.items) if isinstance(x, Node))
     return found
 
 
@@ -223,7 +243,6 @@ def _score(nodes: list[Node]) -> dict[int, Node]:
         inner = [x for x in node.items if isinstance(x, str) or not x.marked]
         node.chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in inner)
         node.linked = node.chars if node.tag == "a" else sum(x.linked for x in inner if not isinstance(x, str))
-    scored: dict[int, Node] = {}
     for node in nodes:
         if node.tag not in BLOCKS:
             continue
@@ -232,15 +251,21 @@ def _score(nodes: list[Node]) -> dict[int, Node]:
             text = _own_text(node)
             if not text:
                 continue
-            points, share = 1 + text.count(",") + min(len(text) // 100, 3), 1.0
             up = node.parent if (node.tag in PARAGRAPHS or node.parent is None) and not node.marked else node
-            level = 0
-            while up is not None:
-                up.points += points * share
-                scored[id(up)] = up
-                level += 1
-                share = 0.5 if level == 1 else share / 3
-                up = None if up.marked else up.parent
+            if up is not None:
+                up.points += 1 + text.count(",") + min(len(text) // 100, 3)
+    # Bottom-up, each node once: half of what paragraphs gave a node, and a third of what
+    # reached it from below, go on to its parent.
+    scored: dict[int, Node] = {}
+    passed: dict[int, float] = {}
+    for node in reversed(nodes):
+        own, below = node.points, passed.get(id(node), 0.0)
+        if not own and id(node) not in passed:
+            continue
+        node.points = own + below
+        scored[id(node)] = node
+        if not node.marked and node.parent is not None:
+            passed[id(node.parent)] = passed.get(id(node.parent), 0.0) + 0.5 * own + below / 3
     return scored
 
 
@@ -256,7 +281,6 @@ def _settle(root: Node) -> None:
     region: dict[int, Node] = {}
     inside: dict[int, bool] = {}
     best: dict[int, float] = {}
-    holds: dict[int, list[str]] = {}
     located = False
     for x in nodes:
         up = x.parent
@@ -267,15 +291,25 @@ def _settle(root: Node) -> None:
             best[of] = max(best.get(of, 0.0), x.points * (1 - x.linked / x.chars))
         if x.tag in WHOLE and UNWANTED.isdisjoint(x.words):
             located |= region[id(x)] is root and x.points > 0
-            while up is not None:
-                if up.marked:
-                    holds.setdefault(id(up), []).append(x.tag)
-                up = up.parent
+    # Bottom-up: articles and mains a node holds, itself left out, and mains with text.
+    wholes: dict[int, int] = {}
+    mains: dict[int, int] = {}
+    full: dict[int, bool] = {}
+    for x in reversed(nodes):
+        if x.parent is None:
+            continue
+        named = x.tag in WHOLE and UNWANTED.isdisjoint(x.words)
+        up = id(x.parent)
+        wholes[up] = wholes.get(up, 0) + wholes.get(id(x), 0) + named
+        mains[up] = mains.get(up, 0) + mains.get(id(x), 0) + (named and x.tag == "main")
+        here = full.get(id(x), False) or named and x.tag == "main" and bool(x.chars)
+        full[id(x)] = here
+        full[up] = full.get(up, False) or here
 
     def margin(x: Node) -> float:
-        if "main" in (held := holds.get(id(x), [])):
+        if mains.get(id(x)):
             return 1e-9
-        if len(held) == 1:
+        if wholes.get(id(x)) == 1:
             least = 1.0
         elif not REPLIES.isdisjoint(x.words):
             least = 8.0
@@ -283,23 +317,20 @@ def _settle(root: Node) -> None:
             least = 2.0 if WANTED.isdisjoint(x.words) else 1.0
         return least if inside[id(x)] or not located else 4 * least
 
-    def path(x: Node | None) -> list[Node]:
-        found = []
-        while x is not None:
-            if x.marked:
-                found.append(x)
-            x = x.parent
-        return found
-
-    weighed = [(best[id(x)] / max(map(margin, path(x))), x) for x in nodes if x.marked and best.get(id(x))]
-    most, chosen = max(weighed, key=lambda w: w[0], default=(0.0, root))
+    # Top-down: the largest margin among a marked element and the marked ones around it.
+    needed: dict[int, float] = {}
+    most, chosen = 0.0, root
+    for x in nodes:
+        around = needed.get(id(x.parent), 0.0) if x.parent is not None else 0.0
+        needed[id(x)] = max(around, margin(x)) if x.marked else around
+        if x.marked and best.get(id(x)) and (weight := best[id(x)] / needed[id(x)]) > most:
+            most, chosen = weight, x
     if most > max(best.get(id(root), 0.0), 1.0):
-        for x in path(chosen):
-            x.marked = False
+        while chosen is not None:
+            chosen.marked, chosen = False, chosen.parent
     for x in nodes:
-        if x.tag == "main" and UNWANTED.isdisjoint(x.words) and x.chars:
-            for up in path(x):
-                up.marked = False
+        if full.get(id(x)):
+            x.marked = False
     for x in nodes:
         x.items = [y for y in x.items if isinstance(y, str) or not y.marked]
 

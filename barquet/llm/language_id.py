@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 500
+# Rows of all languages together.
+MOST_ROWS = 20_000
 DIMENSIONS = 2048
 UNKNOWN = "und"
 
@@ -152,17 +154,26 @@ class LanguageModel:
         return language, sure * within
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, lang and text of at most `per_language` rows of each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.filter("lang is not null and text is not null and doc_id is not null")
-        .select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= per_language).select("doc_id").distinct()
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> DataFrame:
+    """doc_id, lang and text of at most `per_language` rows of each language, fewer where that would make
+    more than `most` rows in all.
+
+    Rows are chosen by id and digest of the text, so the bound holds whatever ids repeat; rows
+    equal in all three count once.
+    """
+    rows = docs.filter("lang is not null and text is not null and doc_id is not null").select(
+        "doc_id", "lang", "text", F.xxhash64("text").alias("digest")
     )
-    return docs.select("doc_id", "lang", "text").filter("lang is not null").join(
-        F.broadcast(chosen), "doc_id"
+    languages = rows.agg(F.approx_count_distinct("lang")).first()[0]
+    each = max(1, min(per_language, most // max(languages, 1)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+    chosen = (
+        rows.select("doc_id", "lang", "digest").withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= each).select("doc_id", "lang", "digest").distinct()
     )
+    return rows.join(F.broadcast(chosen), ["doc_id", "lang", "digest"]).groupBy("doc_id", "lang", "digest").agg(
+        F.first("text").alias("text")
+    ).select("doc_id", "lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> LanguageModel:

@@ -193,3 +193,95 @@ def test_extract_keeps_rows(spark):
     got = extract.extract(df).collect()
     assert len(got) == 2 * len(PAGES) and all(r.text == PAGES[r.page_id][1] for r in got)
     assert extract.extract(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ pages of odd shapes
+BODY = "".join(f"<p>Paragraph {k} of the story, with commas, names, and enough words to be read as text by anyone.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    f'<html><body><div title="see hidden text">{BODY}</div><nav>Home About</nav></body></html>',
+    f'<html><body><div class="page hidden lg-block">{BODY}</div></body></html>',
+    f'<html><body><form action="/x"><div>{BODY}</div><input type="hidden" name="a"></form></body></html>',
+    f'<html><body><aside><div>{BODY}</div></aside></body></html>',
+])
+def test_wrapped_pages_keep_their_text(page):
+    text = extract.main_text(page)
+    assert all(f"Paragraph {k} of" in text for k in range(6)) and "Home" not in text
+
+
+def test_hidden_forms_and_asides_go_beside_an_article():
+    page = (f"<html><body><article>{BODY}<p>where <math><mi>x</mi>=<mn>1</mn></math> holds.</p></article>"
+            '<form><p>Subscribe, please, to the letter.</p></form><aside><p>Another story, elsewhere.</p></aside>'
+            '<div hidden><p>unseen, one</p></div><div style="display: none"><p>unseen, two</p></div>'
+            '<div aria-hidden="true"><p>unseen, three</p></div></body></html>')
+    text = extract.main_text(page)
+    assert "Paragraph 5" in text and "x=1" in text
+    assert not any(w in text for w in ("Subscribe", "Another", "unseen"))
+
+
+@pytest.mark.parametrize("page", [
+    "<div><p>a, b" * 200_000, "</span>" * 300_000 + "<p>end of it, all", "<div class=ad>" * 200_000 + "<p>x, y",
+    "<span>" * 200_000 + "<p>text, here</p>", "<div>" * 100_000 + "<li>x</li>" * 100_000,
+    "<main>" * 100_000 + "<p>m, n", "<article><header>" * 60_000 + "<h1>t",
+])
+def test_megabytes_of_nested_elements_finish(page):
+    assert isinstance(extract.main_text(page), str)
+
+
+def plain_points(root):
+    """Points by walking up from every paragraph."""
+    points = {}
+
+    def walk(node):
+        inner = [x for x in node.items if isinstance(x, extract.Node)]
+        if node.tag in extract.BLOCKS:
+            leaf = not any(x.tag in extract.BLOCKS and not x.marked for x in inner)
+            text = extract._own_text(node)
+            if (node.tag in extract.PARAGRAPHS or leaf) and text:
+                given, share = 1 + text.count(",") + min(len(text) // 100, 3), 1.0
+                up = node.parent if (node.tag in extract.PARAGRAPHS or node.parent is None) and not node.marked else node
+                level = 0
+                while up is not None:
+                    points[id(up)] = points.get(id(up), 0.0) + given * share
+                    level += 1
+                    share = 0.5 if level == 1 else share / 3
+                    up = None if up.marked else up.parent
+        for x in inner:
+            walk(x)
+
+    walk(root)
+    return points
+
+
+def test_points_equal_walks_up_random_trees():
+    rng = random.Random(5)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "section", "ul", "li", "span", "td", "div class=ad", "a"])
+            inner = tree(depth - 1) if depth and rng.random() < 0.7 else "words, and more " * rng.randint(0, 12)
+            parts.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        return "".join(parts)
+
+    for _ in range(60):
+        root = extract.parse(tree(4))
+        nodes = extract._order(root)
+        scored = extract._score(nodes)
+        want = plain_points(root)
+        assert scored.keys() == want.keys()
+        assert all(scored[k].points == pytest.approx(want[k]) for k in want)
+
+
+# ------------------------------------------------------------------ samples of models
+def test_samples_are_bounded_whatever_ids_repeat(spark):
+    importable(spark)
+    rows = [(1, f"text number {k} of one id", "en") for k in range(400)] + [(2, "same text", "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = language_id.training_rows(docs, 20)
+    assert got.groupBy("lang").count().rdd.collectAsMap() == {"en": 20, "de": 1}
+    assert language_id.training_rows(docs, 20, most=10).count() == 6
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(2, 0)] * 50, "doc_id long, quality int")
+    spans = compression.training_rows(docs, labels, 30)
+    assert {r.good: r["count"] for r in spans.groupBy("good").count().collect()} == {True: 30, False: 1}
