@@ -167,7 +167,7 @@ def build(store: Snapshots, bars: DataFrame, facts: Facts, files: int = 64) -> i
     with store.transaction() as t:
         t.rebuild(clean, "bars", tiles)
         for name, df in _built(clean, facts).items():
-            t.rebuild(df, name, ("symbol",) if name == "state" else tiles)
+            t.rebuild(df, name, () if name == "state" else tiles)
     return store.version()
 
 
@@ -462,7 +462,7 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
         t.append(_together(parts[name]), name)
     changed = _together(parts["state"])
     untouched = state.join(changed.select("symbol").unionByName(rebuilt), "symbol", "left_anti")
-    t.rebuild(untouched.unionByName(changed), "state", ("symbol",))
+    t.rebuild(untouched.unionByName(changed), "state")
     return Report(t.commit(), n_folded, n_rebuilt, n_moved, n_reached)
 
 
