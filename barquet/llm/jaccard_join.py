@@ -52,8 +52,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.llm.common import BROADCAST_BYTES, WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
+from barquet.llm.common import WordHashes, checked_broadcast, lower_words, mixed, shingle_hashes
 from barquet.llm.components import components, extended
+from barquet.llm.tokens import forget
 from barquet.session import materialize
 
 LARGEST_LIGHT = 14
@@ -65,6 +66,8 @@ HUB_COPIES = 4096
 # Partners of a node in one row, and such rows that one copy of its text meets.
 PARTNERS = 256
 ROWS_A_COPY = 16
+# Bytes of partners that may be broadcast, at 64 a partner; beyond that the texts are shuffled to them.
+WANTED_BYTES = 128 << 20
 # Pairs of a component tried in each round of verification; the last round takes all.
 TRIES = (4, 16)
 
@@ -141,6 +144,7 @@ def _sample(docs: DataFrame, size: int) -> DataFrame:
     """Digest and set of every sixteenth text, equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
             digests = [_digest(x) for x in sets]
@@ -172,6 +176,7 @@ def _sketches(docs: DataFrame, size: int, frequent: np.ndarray, num: int, den: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.array([], np.uint64)
+        forget()
         for batch in batches:
             n, digests, prefixes, bands = [], [], [], []
             for text in batch.column("text"):
@@ -300,7 +305,7 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
             )
 
     # A partner is a struct of three numbers in an array, a node at least one row.
-    if flat.count() * 64 <= BROADCAST_BYTES:
+    if flat.count() * 64 <= WANTED_BYTES:
         texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.node)
     else:
         # Only ids are broadcast; partners meet the texts by shuffle, a node with many of them in several copies.

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquet.llm.tokens import forget
+
 PER_LANGUAGE = 500
 # Rows of all languages together.
 MOST_ROWS = 20_000
@@ -225,6 +227,7 @@ def confident(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
     """The rows of `docs`, unchanged, whose text has a language with at least this score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array([a != UNKNOWN and s >= least for a, s in found], pa.bool_()))

@@ -11,6 +11,7 @@ young one is full it becomes the old one, and what is asked for again moves up.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -92,6 +93,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Give up the worker's encoders and what they remember. Workers outlive a stage; later stages that
+    need the memory for something else call this first."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+
+
 def in_groups(texts, chars: int = 1 << 20):
     """(first, texts) in groups of about so many characters; bounds a worker's memory."""
     first, group, size = 0, [], 0

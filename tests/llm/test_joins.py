@@ -129,7 +129,7 @@ def test_stage_keeps_different_texts_of_one_id(spark):
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_partners_of_a_node_are_bounded(spark, monkeypatch, most):
     importable(spark)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 64 * most)
+    monkeypatch.setattr(jaccard_join, "WANTED_BYTES", 64 * most)
     monkeypatch.setattr(jaccard_join, "PARTNERS", 4, raising=False)
     monkeypatch.setattr(jaccard_join, "ROWS_A_COPY", 2, raising=False)
     seen = []
