@@ -14,6 +14,7 @@ from barquet.session import shared_folder
 from barquet.sources import scans
 from barquet.sources.snapshots import Snapshots
 from barquet.streaming import fold
+from verification.check import stored_names
 from verification.fixtures import supplier_number
 from verification.queries_panel import CONTRACTION, EMAS, FULL, LATER, MTF, PA_DAY, PA_NUM, PIVOT, PRICES, VOL, show, shown
 from verification.registry import register
@@ -65,8 +66,12 @@ _FLAGS = (
 
 @register("daily_increment", shown("signals", *_FLAGS, composite_rank=4))
 def _(s: Stages):
-    """Signals after three deliveries equal the full rebuild."""
-    return show(grown(s).read("signals"), *_FLAGS, composite_rank=4)
+    """Signals after three deliveries equal the full rebuild.
+
+    The statement names two columns twice; the second of each has the name it gets in a stored table.
+    """
+    names = ["symbol", "trade_date", *stored_names(_FLAGS), "composite_rank"]
+    return show(grown(s).read("signals"), *_FLAGS, composite_rank=4).toDF(*names)
 
 
 @register("daily_increment_features", shown(
