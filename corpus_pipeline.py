@@ -29,7 +29,9 @@ from barquet.llm.common import checked_broadcast, importable, table
 from barquet.llm.queries import tokenizer_path
 from barquet.session import materialize
 
-LEAST_SURE = 0.2
+# A score is the product of the winners' probabilities in two duels, each at least a half but for
+# cycles: a bound of a quarter or less never holds anything back.
+LEAST_SURE = 0.65
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
