@@ -259,8 +259,8 @@ def _signal_rows(panel: DataFrame, facts: Facts) -> DataFrame:
     first_new = F.min(F.when(C("__new"), C("trade_date"))).over(Window.partitionBy("symbol"))
     last_pos = F.max(F.when(old, C("__pos"))).over(Window.partitionBy("symbol"))
     staged = staged.withColumns(
-        {"__fresh_off": fresh_off.over(upto), "__first_new": first_new, "__last_pos": last_pos, "__rs_past": flags.rs_past()}
-    )
+        {"__fresh_off": fresh_off.over(upto), "__first_new": first_new, "__last_pos": last_pos}
+    ).transform(flags.rs_past)
     carried = off(
         C("__last_pos") - C("__last.stage2_days"), F.coalesce(C("__last.stage2_started_date"), C("__first_new"))
     )
