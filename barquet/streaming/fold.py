@@ -41,7 +41,7 @@ from barquet.operators.cleaning import valid_candles
 from barquet.operators.targets import targets
 from barquet.operators.timeframes import TIMEFRAME_COLUMNS, timeframe_trend, timeframes
 from barquet.plans.daily import SIGNAL_COLUMNS, feature_table, signal_table
-from barquet.session import materialize
+from barquet.session import at_once, materialize
 from barquet.sources.layout import Tiles
 from barquet.sources.scans import PRICE_ACTION_INPUT
 from barquet.sources.snapshots import Snapshots, Transaction
@@ -144,30 +144,41 @@ def _state_columns() -> list[str]:
 
 
 # ------------------------------------------------------------------ build
-def _built(bars: DataFrame, facts: Facts) -> dict[str, DataFrame]:
-    """All tables of some symbols from their whole histories, each stored."""
-    features = materialize(feature_table(bars, facts.earnings), "fold_features")
-    signals = materialize(
-        signal_table(features, facts.index_bars, facts.fundamentals, facts.pass_score), "fold_signals"
-    )
+def _after_signals(features: DataFrame, signals: DataFrame, facts: Facts) -> dict[str, DataFrame]:
+    """The tables that follow from stored features and signals."""
     return {
-        "features": features,
-        "signals": signals,
         "price_action": actions.price_action(features),
         "timeframes": timeframes(features),
         "state": initial_state(features, signals, facts),
     }
 
 
+def _built(bars: DataFrame, facts: Facts) -> dict[str, DataFrame]:
+    """All tables of some symbols from their whole histories; features and signals are stored."""
+    features = materialize(feature_table(bars, facts.earnings), "fold_features")
+    signals = materialize(
+        signal_table(features, facts.index_bars, facts.fundamentals, facts.pass_score), "fold_signals"
+    )
+    return {"features": features, "signals": signals, **_after_signals(features, signals, facts)}
+
+
 def build(store: Snapshots, bars: DataFrame, facts: Facts, files: int = 64) -> int:
     """All tables from the whole history, in one transaction; panels lie in tiles of symbols and
-    dates, on so many files each."""
+    dates, on so many files each. A table is written once, later ones are computed from its tiles."""
+    spark = store.spark
     clean = materialize(valid_candles(bars), "fold_clean")
     tiles = Tiles.of(clean, files)
     with store.transaction() as t:
-        t.rebuild(clean, "bars", tiles)
-        for name, df in _built(clean, facts).items():
-            t.rebuild(df, name, () if name == "state" else tiles)
+        at_once(
+            spark, lambda: t.rebuild(clean, "bars", tiles),
+            lambda: t.rebuild(feature_table(clean, facts.earnings), "features", tiles),
+        )
+        features = t.read("features")
+        t.rebuild(signal_table(features, facts.index_bars, facts.fundamentals, facts.pass_score), "signals", tiles)
+        rest = _after_signals(features, t.read("signals"), facts)
+        at_once(spark, *[
+            lambda name=name, df=df: t.rebuild(df, name, () if name == "state" else tiles) for name, df in rest.items()
+        ])
     return store.version()
 
 
@@ -425,9 +436,21 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
 
     # What the fold computes, each piece stored before it is used twice.
     bars = materialize(bars, "fold_bars")
-    panel = materialize(_short_panel(bars, state, facts), "fold_panel")
-    fresh = materialize(_signal_rows(panel, facts), "fold_signals")
-    periods = {f.name: materialize(_periods_onward(bars, state, f), f"fold_{f.name}") for f in FRAMES}
+    spark = store.spark
+
+    def panel_and_signals() -> tuple[DataFrame, DataFrame]:
+        rows = materialize(_short_panel(bars, state, facts), "fold_panel")
+        return rows, materialize(_signal_rows(rows, facts), "fold_signals")
+
+    def built_again() -> dict[str, DataFrame]:
+        # Bars first: symbols that are built again read them from here.
+        t.append(unknown, "bars")
+        return _built(t.read("bars").join(rebuilt, "symbol", "left_semi"), facts) if n_rebuilt else {}
+
+    (panel, fresh), again_built, *stored = at_once(spark, panel_and_signals, built_again, *[
+        lambda f=f: materialize(_periods_onward(bars, state, f), f"fold_{f.name}") for f in FRAMES
+    ])
+    periods = {f.name: df for f, df in zip(FRAMES, stored)}
     folded = state.join(bars.select("symbol").distinct(), "symbol", "left_semi")
     after = materialize(_next_state(folded, fresh, periods), "fold_state")
     n_folded, n_moved, n_reached = after.agg(
@@ -436,8 +459,6 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
     moved, reached = after.filter("__moved").select("symbol", "scores"), after.filter("__reached").select("symbol")
     revised = fresh.filter(~C("__new")).select(*KEY)
 
-    # Bars first: symbols that are built again read them from here.
-    t.append(unknown, "bars")
     ranked = fresh.join(after.select("symbol", "scores"), "symbol")
     timeframe_bars = bars.join(reached, "symbol", "left_anti") if n_reached else bars
     parts = {
@@ -450,19 +471,30 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
     if n_reached:
         whole = t.read("bars").select(*KEY, "close_price").join(reached, "symbol", "left_semi")
         parts["timeframes"].append(timeframes(whole))
-        t.delete("timeframes", reached)
-    if n_rebuilt:
-        for name, df in _built(t.read("bars").join(rebuilt, "symbol", "left_semi"), facts).items():
-            parts[name].append(df)
-        for name in ("features", "price_action", "timeframes"):
+    for name, df in again_built.items():
+        parts[name].append(df)
+
+    # Each table is a chain of its own: what goes, then what comes.
+    def panel_table(name: str) -> None:
+        if name == "timeframes" and n_reached:
+            t.delete(name, reached)
+        if n_rebuilt:
             t.delete(name, rebuilt)
-    if n_rebuilt or n_moved or not revised.isEmpty():
-        _rewrite_signals(t, rebuilt, moved, revised)
-    for name in ("features", "signals", "price_action", "timeframes"):
         t.append(_together(parts[name]), name)
-    changed = _together(parts["state"])
-    untouched = state.join(changed.select("symbol").unionByName(rebuilt), "symbol", "left_anti")
-    t.rebuild(untouched.unionByName(changed), "state")
+
+    def signal_rows() -> None:
+        if n_rebuilt or n_moved or not revised.isEmpty():
+            _rewrite_signals(t, rebuilt, moved, revised)
+        t.append(_together(parts["signals"]), "signals")
+
+    def states() -> None:
+        changed = _together(parts["state"])
+        untouched = state.join(changed.select("symbol").unionByName(rebuilt), "symbol", "left_anti")
+        t.rebuild(untouched.unionByName(changed), "state")
+
+    at_once(
+        spark, signal_rows, states, *[lambda name=name: panel_table(name) for name in ("features", "price_action", "timeframes")]
+    )
     return Report(t.commit(), n_folded, n_rebuilt, n_moved, n_reached)
 
 

@@ -1,6 +1,7 @@
 """Deliveries folded into the daily tables against a full rebuild."""
 
 import math
+import threading
 import uuid
 from datetime import date
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barquet.operators import price_action, timeframes
 from barquet.plans.daily import feature_table, signal_table
-from barquet.session import shared_folder
+from barquet.session import at_once, shared_folder
 from barquet.sources.snapshots import Snapshots
 from barquet.streaming import fold
 from tests.conftest import weekdays
@@ -165,3 +166,25 @@ def test_a_failing_fold_leaves_the_tables(grown, spark):
     with pytest.raises(Exception, match="torn"):
         fold.apply(store, bad, facts)
     assert store.version() == version
+
+
+def test_the_first_build_writes_each_table_once(spark, panel, monkeypatch):
+    kept = []
+    store = lambda df, name: kept.append(name) or df.cache()
+    monkeypatch.setattr(fold, "materialize", store)
+    bars = panel({"A.NS": [100 + k % 9 for k in range(60)], "B.NS": [50 + k % 7 for k in range(60)]})
+    target = Snapshots(spark, f"{shared_folder(spark)}/fold/{uuid.uuid4().hex}")
+    assert fold.build(target, bars, fold.Facts(), files=4) == 1
+    assert kept == ["fold_clean"]
+    assert target.tables() == ["bars", "features", "price_action", "signals", "state", "timeframes"]
+    assert {n: target.read(n).count() for n in target.tables() if n != "state"} == dict.fromkeys(
+        ("bars", "features", "price_action", "signals", "timeframes"), 120)
+
+
+def test_independent_jobs_run_side_by_side(spark):
+    met = threading.Barrier(2, timeout=60)
+    assert at_once(spark, lambda: met.wait() >= 0, lambda: met.wait() >= 0) == [True, True]
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, lambda: 1 // 0, lambda: done.append(spark.range(3).count()))
+    assert done == [3]
