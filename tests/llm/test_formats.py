@@ -40,6 +40,11 @@ def test_encoder_equals_the_library(coder):
         assert np.frombuffer(coded, "<u4").tolist() == ids_of(coder, text).tolist(), text
 
 
+def test_contractions_are_split_as_the_library_does(coder):
+    texts = ["'s't're've'm'll'd", "''s 'll 'lll 're're", "'S 'RE we'd've 'veto 'x'", "don't 12's ½'m\n'd"]
+    assert coder.encode(texts) == [coder._whole(t) + b"\0\0\0\0" for t in texts]
+
+
 def test_cut_is_exact_and_near_reciprocal():
     for n in range(1, 4000):
         parts = packing.cut(n)
