@@ -27,8 +27,9 @@ prefixes of their lists. The pairs of a hub are thus decided without listing the
 The lists of shingles are then scanned for pairs of different components and hubs alone (lists
 within one component are dropped by a map-side minimum and maximum). A pair from the lists goes on if the
 shingles it shares within the prefixes for its o(s, t), plus what can follow the last of them, reach o(s, t). All that
-remain are verified on the whole sets: first a few pairs of each component, then more,
-then all that still lie in different ones. Hubs save work; the lists decide what links.
+remain are verified: first a few pairs of each component, then more, then all that still lie in different
+ones. Most do not link, and prints, about a byte a shingle, bound the overlap from above: only pairs that
+these cannot refute are verified on the whole sets. Hubs save work; the lists decide what links.
 
 Which shingles count as frequent is estimated from the sets of every sixteenth text (by its
 hash); this only orders shingles, and any order gives the same links. The frequent ones travel to
@@ -43,7 +44,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -68,6 +69,8 @@ PARTNERS = 256
 ROWS_A_COPY = 16
 # Bytes of partners that may be broadcast, at 64 a partner; beyond that the texts are shuffled to them.
 WANTED_BYTES = 128 << 20
+# Bytes of the bit map of lists, which every task gets.
+MARK_BYTES = 16 << 20
 # Pairs of a component tried in each round of verification; the last round takes all.
 TRIES = (4, 16)
 
@@ -135,6 +138,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
+def print_bits(n: int) -> int:
+    """First bits of a hash that a print of n shingles keeps: two shingles agree in them by chance
+    once in 32 n pairs or less."""
+    return n.bit_length() + 5
+
+
+def set_print(tokens: np.ndarray) -> bytes:
+    """The first bits of a sorted set's hashes as differences, 255 standing for 255 and going on."""
+    if not len(tokens):
+        return b""
+    gaps = np.diff(tokens >> np.uint64(64 - print_bits(len(tokens))), prepend=np.uint64(0)).astype(np.int64)
+    ends = np.cumsum(gaps // 255 + 1) - 1
+    out = np.full(ends[-1] + 1, 255, np.uint8)
+    out[ends] = gaps % 255
+    return out.tobytes()
+
+
+def most_shared(raw: bytes, other: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets and the most shingles they can share, from their prints."""
+    sides = []
+    for data in (raw, other):
+        steps = np.frombuffer(data, np.uint8)
+        sides.append(np.cumsum(steps, dtype=np.int64)[steps != 255])
+    n, m = map(len, sides)
+    bits = min(print_bits(n), print_bits(m))
+    x, y = (side >> (print_bits(len(side)) - bits) for side in sides)
+    # A shared shingle has its first bits on both sides.
+    return n, m, min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     raw = xxhash.xxh128_digest(tokens.tobytes())
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
@@ -172,17 +205,18 @@ def _frequent(sampled: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def _sketches(docs: DataFrame, size: int, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc_id, n, 128-bit digest, prefix shingles in order and bands of every set."""
+    """doc_id, n, 128-bit digest, prefix shingles in order, bands and print of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.array([], np.uint64)
         forget()
         for batch in batches:
-            n, digests, prefixes, bands = [], [], [], []
+            n, digests, prefixes, bands, prints = [], [], [], [], []
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), size)
                 n.append(len(tokens))
                 digests.append(_digest(tokens))
+                prints.append(set_print(tokens))
                 if not len(tokens):
                     prefixes.append(nothing)
                     bands.append(nothing)
@@ -197,11 +231,11 @@ def _sketches(docs: DataFrame, size: int, frequent: np.ndarray, num: int, den: i
                 bands.append(_bands(tokens))
             yield pa.record_batch(
                 [batch.column("doc_id"), _longs(n), _longs([d[0] for d in digests]), _longs([d[1] for d in digests]),
-                 _lists(prefixes), _lists(bands)],
-                names=["doc_id", "n", "hi", "lo", "prefix", "bands"],
+                 _lists(prefixes), _lists(bands), pa.array(prints, pa.binary())],
+                names=["doc_id", "n", "hi", "lo", "prefix", "bands", "print"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>, bands array<long>, print binary")
 
 
 def _light_links(light: DataFrame, docs: DataFrame, size: int, boundary: int, num: int, den: int) -> DataFrame:
@@ -235,10 +269,9 @@ def _light_links(light: DataFrame, docs: DataFrame, size: int, boundary: int, nu
     return signed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of stored pairs (a, b): linked, the sizes n and hub_n of both sets, and where a and b
-    differ in at most half of a's size, the difference: shingles of a alone (negative), then
-    of b alone. The set of a goes to b; a b with many partners is copied to several
+def _brought(docs: DataFrame, pairs: DataFrame, payload: Callable[[object], bytes]) -> DataFrame:
+    """For stored pairs (a, b) what `payload` makes of their texts, side by side: rows of one (hub, salt) follow
+    each other, those of b (role 0) first. That of a goes to b; a b with many partners is copied to several
     tasks, one for each HUB_SHARE of them, HUB_COPIES at most; each streams its share."""
     shares = pairs.groupBy("b").agg(F.least(F.ceil(F.count("*") / HUB_SHARE), F.lit(HUB_COPIES).cast("long")).alias("k"))
     salted = pairs.join(shares, "b").select(
@@ -261,7 +294,7 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
         for batch in batches:
             for k in range(batch.num_rows):
                 node = batch.column("doc_id")[k].as_py()
-                raw = shingle_set(batch.column("text")[k].as_py(), size).tobytes()
+                raw = payload(batch.column("text")[k].as_py())
                 to = batch.column("to")[k].as_py()
                 for at in range(0, len(to), 256):
                     part = to[at : at + 256]
@@ -272,6 +305,32 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                         names=["hub", "salt", "role", "node", "tokens"],
                     )
 
+    # A partner is a struct of three numbers in an array, a node at least one row.
+    if flat.count() * 64 <= WANTED_BYTES:
+        texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.node)
+    else:
+        # Only ids are broadcast; partners meet the texts by shuffle, a node with many of them in several copies.
+        wanted = wanted.withColumn("copy", F.floor(F.col("part") / ROWS_A_COPY))
+        ids = materialize(
+            flat.join(checked_broadcast(hot), "node", "left").select(
+                F.col("node").alias("id"), F.ceil(F.coalesce("parts", F.lit(1).cast("long")) / ROWS_A_COPY).alias("copies")
+            ).distinct(), "ids",
+        )
+        copies = docs.join(checked_broadcast(ids), docs.doc_id == ids.id).select(
+            "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy_of")
+        )
+        texts = copies.join(wanted.hint("shuffle_merge"), (copies.doc_id == wanted.node) & (copies.copy_of == wanted["copy"]))
+    sent = texts.select("doc_id", "text", "to").mapInArrow(
+        send, "hub long, salt long, role int, node long, tokens binary"
+    )
+    return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of stored pairs (a, b): linked, the sizes n and hub_n of both sets, and where a and b
+    differ in at most half of a's size, the difference: shingles of a alone (negative), then
+    of b alone."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, nothing = None, [], np.array([], np.uint64)
         for batch in batches:
@@ -304,29 +363,39 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
                 names=["a", "b", "linked", "n", "hub_n", "difference"],
             )
 
-    # A partner is a struct of three numbers in an array, a node at least one row.
-    if flat.count() * 64 <= WANTED_BYTES:
-        texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.node)
-    else:
-        # Only ids are broadcast; partners meet the texts by shuffle, a node with many of them in several copies.
-        wanted = wanted.withColumn("copy", F.floor(F.col("part") / ROWS_A_COPY))
-        ids = materialize(
-            flat.join(checked_broadcast(hot), "node", "left").select(
-                F.col("node").alias("id"), F.ceil(F.coalesce("parts", F.lit(1).cast("long")) / ROWS_A_COPY).alias("copies")
-            ).distinct(), "ids",
-        )
-        copies = docs.join(checked_broadcast(ids), docs.doc_id == ids.id).select(
-            "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy_of")
-        )
-        texts = copies.join(wanted.hint("shuffle_merge"), (copies.doc_id == wanted.node) & (copies.copy_of == wanted["copy"]))
-    sent = texts.select("doc_id", "text", "to").mapInArrow(
-        send, "hub long, salt long, role int, node long, tokens binary"
-    )
-    return sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(
+    return _brought(docs, pairs, lambda text: shingle_set(text, size).tobytes()).mapInArrow(
         check, "a long, b long, linked boolean, n long, hub_n long, difference array<long>"
     )
 
 
+def possible(prints: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of stored pairs (a, b) those that the prints of both sets cannot refute. prints: doc_id, print."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            a, b = [], []
+            columns = [batch.column(c) for c in ("hub", "salt", "role", "node", "tokens")]
+            for hub, salt, role, node, raw in zip(*columns):
+                hub, raw = hub.as_py(), raw.as_py()
+                if (hub, salt.as_py()) != key:
+                    key, held = (hub, salt.as_py()), []
+                if role.as_py() == 0:
+                    held.append(raw)
+                    continue
+                for other in held:
+                    n, m, both = most_shared(raw, other)
+                    if den * both >= num * (n + m - both):
+                        a.append(node.as_py())
+                        b.append(hub)
+                        break
+            yield pa.record_batch([_longs(a), _longs(b)], names=["a", "b"])
+
+    # Rows with one doc_id may be several sets; a pair is kept once.
+    rows = prints.select("doc_id", F.col("print").alias("text"))
+    return _brought(rows, pairs, bytes).mapInArrow(check, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of stored pairs (a, b) those that link."""
     return compared(docs, pairs, size, num, den).filter("linked").select("a", "b")
@@ -415,18 +484,53 @@ def next_pairs(pairs: DataFrame, found: DataFrame, tries: int | None) -> DataFra
     ).select("p.a", "p.b")
 
 
+def list_marks(lists: DataFrame, at_most: int = MARK_BYTES) -> tuple[int, np.ndarray]:
+    """(k, words): a bit for the first k bits of each h of `lists`, 16 or more for each of them up to `at_most` bytes."""
+    k = min(max(16 * lists.count(), 64).bit_length(), (8 * at_most).bit_length() - 1)
+    slot = F.shiftrightunsigned("h", 64 - k)
+    rows = lists.groupBy(F.shiftright(slot, 6).alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - k}) & 63 as int)))").alias("bits")
+    ).toArrow()
+    words = np.zeros(1 << (k - 6), np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return k, words
+
+
+def marked_entries(nodes: DataFrame, k: int, words: np.ndarray) -> DataFrame:
+    """Entries (h, at and the other columns of `nodes`) of the prefixes' shingles whose bit is set."""
+    names = [c for c in nodes.columns if c != "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            flat, lengths = prefix.flatten().to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False)
+            slot = flat.view(np.uint64) >> np.uint64(64 - k)
+            kept = np.flatnonzero((words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+            row = np.repeat(np.arange(len(lengths)), lengths)[kept]
+            start = np.cumsum(lengths, dtype=np.int64) - lengths
+            own = batch.select(names).take(pa.array(row))
+            yield pa.record_batch(
+                [*own.columns, pa.array((kept - start[row]).astype(np.int32)), _longs(flat[kept])], names=[*names, "at", "h"]
+            )
+
+    kinds = dict(nodes.dtypes)
+    return nodes.select(*names, "prefix").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "at int", "h long"]))
+
+
 def list_pairs(
     sketches: DataFrame, found: DataFrame, hubs: DataFrame, boundary: int, num: int, den: int
 ) -> DataFrame:
     """Pairs (a, b) of different components and hubs whose prefixes leave a link possible.
     hubs: node and hub of the sets that `hub_links` has decided."""
-    entries = _labelled(sketches.select("node", "n", "prefix"), found).join(hubs, "node", "left").select(
-        "node", "n", "component", "hub", F.posexplode("prefix").alias("at", "h")
-    )
+    labelled = _labelled(sketches.select("node", "n", "prefix"), found)
     mixed_lists = materialize(
-        entries.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h"),
+        labelled.select("component", F.explode("prefix").alias("h")).groupBy("h").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1")
+        ).filter("c0 <> c1").select("h"),
         "lists",
     )
+    # Most entries are in no such list; a bit map drops nearly all of these where they are read, the join the rest.
+    entries = marked_entries(labelled.join(hubs, "node", "left").select("node", "n", "component", "hub", "prefix"), *list_marks(mixed_lists))
     used = materialize(entries.join(checked_broadcast(mixed_lists), "h", "left_semi"), "entries")
     names = ("node", "n", "component", "hub", "at")
     left = used.select("h", *(F.col(c).alias(f"{c}_a") for c in names))
@@ -506,7 +610,8 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
         pairs = materialize(next_pairs(open_pairs, found, tries), "pairs")
         if pairs.isEmpty():
             break
-        found = extended(found, verified(docs, pairs, size, num, den))
+        likely = materialize(possible(known, pairs, num, den), "likely")
+        found = extended(found, verified(docs, likely, size, num, den))
         if tries is not None:
             open_pairs = materialize(open_pairs.join(pairs, ["a", "b"], "left_anti"), "pairs")
 

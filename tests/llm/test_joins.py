@@ -147,6 +147,50 @@ def test_partners_of_a_node_are_bounded(spark, monkeypatch, most):
     assert not any(kind.startswith("array") for t in seen for _, kind in t)
 
 
+@pytest.mark.parametrize("n,m,both", [(1, 1, 1), (1, 900, 0), (40, 44, 40), (300, 300, 150), (5000, 4000, 1000)])
+def test_prints_bound_the_overlap(n, m, both):
+    rng = np.random.default_rng(n + m)
+    drawn = rng.integers(0, 2**64, n + m - both, dtype=np.uint64)
+    x, y = np.sort(drawn[:n]), np.sort(drawn[n - both :])
+    raw = [jaccard_join.set_print(v) for v in (x, y)]
+    s, t, most = jaccard_join.most_shared(*raw)
+    assert (s, t) == (n, m) and both <= most <= both + 0.08 * (min(n, m) - both) + 3
+    assert len(raw[0]) <= 1.2 * n + 1 or n == 1
+
+
+@pytest.mark.parametrize("at_most", [1 << 20, 8])
+def test_marks_keep_every_entry_of_a_list(spark, at_most):
+    importable(spark)
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3 or None, rng.integers(-(2**63), 2**63, i % 7).tolist()) for i in range(200)]
+    lists = {h for i, _, p in rows for h in p[:2] if i % 5 == 0}
+    k, words = jaccard_join.list_marks(spark.createDataFrame([(h,) for h in lists], "h long"), at_most)
+    assert words.nbytes <= at_most
+    nodes = spark.createDataFrame(rows, "node long, hub long, prefix array<long>").repartition(3)
+    got = Counter((r.node, r.hub, r.at, r.h) for r in jaccard_join.marked_entries(nodes, k, words).collect())
+    every = Counter((i, hub, at, h) for i, hub, p in rows for at, h in enumerate(p))
+    want = Counter({e: c for e, c in every.items() if e[3] in lists})
+    assert not want - got and not got - every
+    assert at_most == 8 or sum((got - want).values()) < 0.12 * sum(every.values())
+
+
+def test_prints_refute_pairs_before_whole_sets_move(spark, monkeypatch):
+    """Texts that share half of their words meet in lists; only pairs that may link go on, and all links stay."""
+    importable(spark)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(mutated(rng, base, 1 + i % 13, base))) for i in range(80)]
+    tried = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda docs, pairs, *a: tried.extend(pairs.collect()) or verified(docs, pairs, *a))
+    monkeypatch.setattr(jaccard_join, "hub_pairs", lambda bands, found: bands.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    sets = sets_of(rows, 4)
+    near = [100 * len(sets[a] & sets[b]) >= 82 * len(sets[a] | sets[b]) for a, b in tried]
+    assert tried and all(near)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 40), st.integers(1, 40), st.sampled_from([(85, 100), (80, 100), (1, 2), (1, 1)]))
 def test_overlap_is_the_least_that_links(s, t, share):
