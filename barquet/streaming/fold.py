@@ -1,12 +1,13 @@
 """The daily tables one delivery of bars further, without reading history.
 
 A state table has one row per symbol: how many bars there are, the last rows of features and
-flags (`TAIL` of them, what the longest window looks back), the last two weeks and months with their
-averages, and how often each composite score occurs. A delivery is folded into it:
+flags (`RECENT` of them), the values that longer windows look back on (closes, true ranges and relative
+strengths of `TAIL` rows), the last two weeks and months with their averages, and how often each
+composite score occurs. A delivery is folded into it:
 
-* New bars behind a symbol's last one are laid after its tail, and the operators of the full build run over
-  that short panel. Exponential averages go on from the last values, positions and streaks from the
-  counters, week and month averages from the last closed period.
+* New bars behind a symbol's last one are laid after its recent rows, and the operators of the full build run over
+  that short panel. Windows that look back further come from the tail's values, as arrays. Exponential averages go on
+  from the last values, positions and streaks from the counters, week and month averages from the last closed period.
 * The row before a delivery changes in one case: its contraction signal looks at the next bar's announcement
   mark. It is computed again with the new rows.
 * A rank depends on the set of a symbol's distinct scores. Where a delivery changes the set, and only there,
@@ -24,6 +25,7 @@ delivery or nothing, and a delivery that is offered twice changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +43,7 @@ from barquet.operators.cleaning import valid_candles
 from barquet.operators.targets import targets
 from barquet.operators.timeframes import TIMEFRAME_COLUMNS, timeframe_trend, timeframes
 from barquet.plans.daily import SIGNAL_COLUMNS, feature_table, signal_table
-from barquet.session import at_once, materialize
+from barquet.session import at_once, discard, materialize
 from barquet.sources.layout import Tiles
 from barquet.sources.scans import PRICE_ACTION_INPUT
 from barquet.sources.snapshots import Snapshots, Transaction
@@ -49,13 +51,26 @@ from barquet.sources.snapshots import Snapshots, Transaction
 C = F.col
 KEY = ("symbol", "trade_date")
 
+_D = DEFAULTS
 # The longest window: a year of relative strength before the row, for the last stored row as well.
-TAIL = DEFAULTS.signals.rs_high_bars + 1
+TAIL = max(_D.signals.rs_high_bars, _D.features.year_bars) + 1
+# What all other windows look back on; the contraction of the volatility is a window over another one.
+RECENT = 2 + max(
+    20, _D.features.slope_bars, _D.features.atr_bars, 2 * _D.features.volatility_bars, _D.signals.pivot_bars,
+    _D.signals.trend_long_slope, _D.signals.trend_short_slope,
+)
+# Price action: a window and its value some days ago, or the weeks of both and those the ends are in.
+_STRUCTURE = 1 + max(
+    _D.price_action.daily_bars + _D.price_action.daily_shift,
+    7 * (_D.price_action.weekly_bars + _D.price_action.weekly_shift + 3),
+)
 MOST_BARS = 200
 
-# What the tail keeps of a signal row.
+# What recent rows keep of a signal row.
 _KEPT = ("stage2_signal", "stage2_days", "stage2_started_date", "rs_value", "vcp_signal", "composite_score")
-_TAIL_COLUMNS = tuple(c for c in FEATURE_COLUMNS if c != "symbol") + _KEPT
+_ROW = tuple(c for c in FEATURE_COLUMNS if c != "symbol") + _KEPT
+# What long windows read.
+_VALUES = ("trade_date", "close_price", "atr_14", "rs_value")
 
 
 @dataclass(frozen=True)
@@ -96,11 +111,6 @@ def _last_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     ).drop("__n")
 
 
-def _listed(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
-    """One row per symbol with its rows as an array, oldest first."""
-    return df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-
-
 def _periods(bars: DataFrame, frame: _Frame) -> DataFrame:
     """Last two periods and the number of periods per symbol, from all bars."""
     rows = resample_last(bars.select("symbol", "trade_date", "close_price"), frame.label(), "end")
@@ -125,8 +135,12 @@ def _quality(facts: Facts) -> DataFrame | None:
 
 def initial_state(features: DataFrame, signals: DataFrame, facts: Facts) -> DataFrame:
     """State rows of symbols from their whole tables."""
-    rows = features.join(signals.select(*KEY, *_KEPT), list(KEY))
-    tail = _listed(_last_rows(rows, TAIL, "trade_date"), _TAIL_COLUMNS, "tail")
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date")))
+    rows = features.join(signals.select(*KEY, *_KEPT), list(KEY)).withColumn("__n", back).filter(C("__n") <= TAIL)
+    tail = rows.groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.struct(*_VALUES))).alias("tail"),
+        F.sort_array(F.collect_list(F.when(C("__n") <= RECENT, F.struct(*_ROW)))).alias("recent"),
+    )
     counts = features.groupBy("symbol").agg(F.count("*").alias("bars"), F.max("trade_date").alias("last_date"))
     scores = signals.groupBy("symbol", "composite_score").agg(F.count("*").alias("n")).groupBy("symbol").agg(
         F.map_from_entries(F.collect_list(F.struct("composite_score", "n"))).alias("scores")
@@ -140,7 +154,7 @@ def initial_state(features: DataFrame, signals: DataFrame, facts: Facts) -> Data
 
 
 def _state_columns() -> list[str]:
-    return ["symbol", "last_date", "bars", "quality", "tail", "scores", *[c for f in FRAMES for c in (f.name, f"n_{f.name}")]]
+    return ["symbol", "last_date", "bars", "quality", "tail", "recent", "scores", *[c for f in FRAMES for c in (f.name, f"n_{f.name}")]]
 
 
 # ------------------------------------------------------------------ build
@@ -153,10 +167,27 @@ def _after_signals(features: DataFrame, signals: DataFrame, facts: Facts) -> dic
     }
 
 
-def _built(bars: DataFrame, facts: Facts) -> dict[str, DataFrame]:
+class _Temporary:
+    """Tables that one delivery stores for itself."""
+
+    def __init__(self) -> None:
+        self._frames: list[DataFrame] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self._frames.append(materialize(df, name))
+        return self._frames[-1]
+
+    def __enter__(self) -> _Temporary:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(*self._frames)
+
+
+def _built(bars: DataFrame, facts: Facts, temporary: _Temporary) -> dict[str, DataFrame]:
     """All tables of some symbols from their whole histories; features and signals are stored."""
-    features = materialize(feature_table(bars, facts.earnings), "fold_features")
-    signals = materialize(
+    features = temporary.store(feature_table(bars, facts.earnings), "fold_features")
+    signals = temporary.store(
         signal_table(features, facts.index_bars, facts.fundamentals, facts.pass_score), "fold_signals"
     )
     return {"features": features, "signals": signals, **_after_signals(features, signals, facts)}
@@ -179,14 +210,17 @@ def build(store: Snapshots, bars: DataFrame, facts: Facts, files: int = 64) -> i
         at_once(spark, *[
             lambda name=name, df=df: t.rebuild(df, name, () if name == "state" else tiles) for name, df in rest.items()
         ])
+    discard(clean)
     return store.version()
 
 
 # ------------------------------------------------------------------ one delivery
-def _sorted_out(t: Transaction, delivered: DataFrame, state: DataFrame, facts: Facts, again: DataFrame | None):
+def _sorted_out(
+    t: Transaction, delivered: DataFrame, state: DataFrame, facts: Facts, again: DataFrame | None, temporary: _Temporary
+):
     """(bars to fold, symbols to build again, all bars that are not stored yet)."""
     heads = state.select("symbol", "last_date", "quality")
-    bars = materialize(
+    bars = temporary.store(
         valid_candles(delivered).join(heads.select("symbol", "last_date"), "symbol", "left"), "delivered"
     )
     behind = bars.filter(C("trade_date") <= C("last_date"))
@@ -195,7 +229,7 @@ def _sorted_out(t: Transaction, delivered: DataFrame, state: DataFrame, facts: F
     if first is not None:
         # Only now are stored bars looked at, and of these days alone.
         stored = t.read("bars").filter(C("trade_date").between(first, last)).select(*KEY)
-        bars = materialize(bars.unionByName(behind.join(stored, list(KEY), "left_anti")), "unknown")
+        bars = temporary.store(bars.unionByName(behind.join(stored, list(KEY), "left_anti")), "unknown")
     by_symbol = bars.groupBy("symbol").agg(
         F.count("*").alias("n"), F.bool_or(F.coalesce(C("trade_date") <= C("last_date"), F.lit(True))).alias("unfit")
     )
@@ -206,31 +240,57 @@ def _sorted_out(t: Transaction, delivered: DataFrame, state: DataFrame, facts: F
         rebuilt = rebuilt.unionByName(changed.filter(~C("quality").eqNullSafe(C("now"))).select("symbol"))
     if again is not None:
         rebuilt = rebuilt.unionByName(again.select("symbol"))
-    rebuilt = materialize(rebuilt.distinct(), "built_again")
+    rebuilt = temporary.store(rebuilt.distinct(), "built_again")
     bars = bars.select(*PRICE_COLUMNS)
     return bars.join(rebuilt, "symbol", "left_anti"), rebuilt, bars
 
 
+def _window(values: Column, n: int, shift: int = 0) -> Column:
+    """The last n values of an array, `shift` values before its end."""
+    end = F.size(values) - shift
+    start = F.greatest(end - n + 1, F.lit(1))
+    return F.slice(values, start, F.greatest(end - start + 1, F.lit(0)))
+
+
+def _extreme(agg: Callable[[Column], Column], values: Column, n: int, min_periods: int, shift: int = 0) -> Column:
+    """`roll` over an array: null until the window holds `min_periods` values."""
+    seen = _window(values, n, shift)
+    return F.when(F.size(F.array_compact(seen)) >= min_periods, agg(seen))
+
+
 def _short_panel(bars: DataFrame, state: DataFrame, facts: Facts) -> DataFrame:
-    """Tails followed by new bars with their features; `__new` marks the latter. Every row
-    carries its symbol's number of bars before the tail and the last stored row."""
+    """Recent rows followed by new bars with their features; `__new` marks the latter. Every row
+    carries its symbol's number of bars before the panel and the last stored row; the last stored row and
+    those after it carry the tail as well."""
+    r = DEFAULTS.features
     wanted = bars.select("symbol").distinct()
     known = state.join(wanted, "symbol", "left_semi").select(
-        "symbol", (C("bars") - F.size("tail")).alias("__before"), F.element_at("tail", -1).alias("__last"), "tail"
+        "symbol", (C("bars") - F.size("recent")).alias("__before"), F.element_at("recent", -1).alias("__last"), "tail", "recent"
     )
     marked = feature_operators.earnings_mark(bars, facts.earnings)
-    onward = ema_onward(
-        marked.join(known.drop("tail"), "symbol"), EMA_SPANS, {s: C(f"__last.ema_{s}") for s in EMA_SPANS}
-    )
-    kept = known.select("symbol", "__before", "__last", F.explode("tail").alias("__row")).select(
-        "symbol", "__before", "__last", *[C(f"__row.{c}").alias(c) for c in _TAIL_COLUMNS], F.lit(False).alias("__new")
+    onward = ema_onward(marked.join(known.drop("recent"), "symbol"), EMA_SPANS, {s: C(f"__last.ema_{s}") for s in EMA_SPANS})
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    onward = onward.withColumn("__closes", F.concat("tail.close_price", F.collect_list("close_price").over(upto)))
+    onward = onward.withColumns(
+        {
+            "__high_52w": _extreme(F.array_max, C("__closes"), r.year_bars, r.year_min_bars),
+            "__low_52w": _extreme(F.array_min, C("__closes"), r.year_bars, r.year_min_bars),
+            "__rs_close": _back(C("__closes"), DEFAULTS.signals.rs_bars),
+        }
+    ).drop("__closes").withColumnRenamed("tail", "__tail")
+    is_last = C("__at") == F.size("recent") - 1
+    kept = known.select("symbol", "__before", "__last", "tail", "recent", F.posexplode("recent").alias("__at", "__row")).select(
+        "symbol", "__before", "__last", F.when(is_last, C("tail")).alias("__tail"), *[C(f"__row.{c}").alias(c) for c in _ROW],
+        C("__row.high_52w").alias("__high_52w"), C("__row.low_52w").alias("__low_52w"),
+        F.when(is_last, _back(C("tail.close_price"), DEFAULTS.signals.rs_bars)).alias("__rs_close"), F.lit(False).alias("__new"),
     )
     names = [c for c in FEATURE_COLUMNS if c not in onward.columns]
-    # Feature operators overwrite their columns on all rows; the stored values of the tail are put back.
-    stored = F.when(~C("__new"), F.struct(*_TAIL_COLUMNS))
+    # Feature operators overwrite their columns on all rows; the stored values of recent rows are put back.
+    stored = F.when(~C("__new"), F.struct(*_ROW))
     panel = kept.unionByName(onward.withColumn("__new", F.lit(True)), allowMissingColumns=True).withColumn("__stored", stored)
     panel = (
         panel.drop(*names)
+        .withColumnsRenamed({"__high_52w": "high_52w", "__low_52w": "low_52w"})
         .transform(feature_operators._bar_windows)
         .transform(feature_operators.trend_score)
         .transform(feature_operators.weinstein_stage)
@@ -239,19 +299,34 @@ def _short_panel(bars: DataFrame, state: DataFrame, facts: Facts) -> DataFrame:
         .transform(feature_operators.year_range)
     )
     return panel.withColumns({c: F.when(C("__new"), C(c)).otherwise(C(f"__stored.{c}")) for c in names}).select(
-        *FEATURE_COLUMNS, "__new", "__before", "__last", "__stored"
+        *FEATURE_COLUMNS, "__new", "__before", "__last", "__stored", "__tail", "__rs_close"
     )
 
 
+def _back(values: Column, n: int) -> Column:
+    """The value n before an array's last one, null where there is none."""
+    return F.get(values, F.size(values) - 1 - n)
+
+
+def _with_new(name: str) -> Column:
+    """The tail's values and those of new rows up to this one; null before the last stored row."""
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    new = F.collect_list(F.when(C("__new"), F.struct(C(name).alias("v")))).over(upto)
+    return F.concat(C(f"__tail.{name}"), new["v"])
+
+
 def _signal_rows(panel: DataFrame, facts: Facts) -> DataFrame:
     """Signals up to the composite score of new rows and of the last stored one."""
     w = series()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     position = C("__before") + F.row_number().over(w)
+    r = DEFAULTS.signals
+    staged = flags.attach_context(panel, facts.index_bars, facts.fundamentals).withColumns(
+        {"__pos": position, "__bar_no": position, "__next": F.lead("trade_date").over(w), "__start": C("trade_date"),
+         "__atrs": _with_new("atr_14")}
+    )
     staged = flags.with_inputs(
-        flags.attach_context(panel, facts.index_bars, facts.fundamentals).withColumns(
-            {"__pos": position, "__bar_no": position, "__next": F.lead("trade_date").over(w), "__start": C("trade_date")}
-        )
+        staged.withColumn("__atr_peak", _extreme(F.array_max, C("__atrs"), r.vcp_atr_bars, r.vcp_atr_min_bars)).drop("__atrs")
     )
     staged = staged.transform(flags.trend_signal).transform(flags.stage2_signal).transform(flags.relative_strength)
     old = ~C("__new")
@@ -270,8 +345,10 @@ def _signal_rows(panel: DataFrame, facts: Facts) -> DataFrame:
     first_new = F.min(F.when(C("__new"), C("trade_date"))).over(Window.partitionBy("symbol"))
     last_pos = F.max(F.when(old, C("__pos"))).over(Window.partitionBy("symbol"))
     staged = staged.withColumns(
-        {"__fresh_off": fresh_off.over(upto), "__first_new": first_new, "__last_pos": last_pos}
-    ).transform(flags.rs_past)
+        {"__fresh_off": fresh_off.over(upto), "__first_new": first_new, "__last_pos": last_pos, "__rs": _with_new("rs_value")}
+    )
+    past = _extreme(F.array_max, C("__rs"), r.rs_high_bars, r.rs_high_min_bars, 1)
+    staged = staged.withColumn("__rs_past", past).drop("__rs", "__tail")
     carried = off(
         C("__last_pos") - C("__last.stage2_days"), F.coalesce(C("__last.stage2_started_date"), C("__first_new"))
     )
@@ -292,8 +369,12 @@ def _signal_rows(panel: DataFrame, facts: Facts) -> DataFrame:
 
 
 def _price_action_rows(panel: DataFrame) -> DataFrame:
+    closes = panel.filter(~C("__new") & C("__tail").isNotNull()).select(
+        "symbol", F.explode(_window(C("__tail"), _STRUCTURE)).alias("__row"), F.lit(False).alias("__new")
+    ).select("symbol", "__row.trade_date", "__row.close_price", "__new")
+    rows = panel.filter("__new").select(*PRICE_ACTION_INPUT, "__new").unionByName(closes, allowMissingColumns=True)
     return (
-        panel.select(*PRICE_ACTION_INPUT, "__new")
+        rows
         .transform(actions.daily_structure).transform(actions.weekly_structure).transform(actions.price_action_score)
         .filter("__new").select(*actions.PRICE_ACTION_COLUMNS)
     )
@@ -381,21 +462,23 @@ def _next_state(state: DataFrame, fresh: DataFrame, periods: dict[str, DataFrame
     """States of the folded symbols after the delivery, with marks: `__moved` where the set of
     scores is another one, `__reached` where there are enough periods for averages now."""
     rows = fresh.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.when(C("__new"), F.struct(*_TAIL_COLUMNS)))).alias("__rows"),
+        F.sort_array(F.collect_list(F.when(C("__new"), F.struct(*_ROW)))).alias("__rows"),
         F.first(F.when(~C("__new"), F.struct(*_KEPT)), ignorenulls=True).alias("__revised"),
     )
     out = state.join(rows, "symbol").join(_score_changes(fresh), "symbol")
-    size = F.size("tail")
-    last = F.element_at("tail", -1)
+    size = F.size("recent")
+    last = F.element_at("recent", -1)
     revised = F.when(
         C("__revised").isNotNull(),
         last.withField("vcp_signal", C("__revised.vcp_signal")).withField("composite_score", C("__revised.composite_score")),
     ).otherwise(last)
-    tail = F.concat(F.slice("tail", 1, size - 1), F.array(revised), C("__rows"))
+    recent = F.concat(F.slice("recent", 1, size - 1), F.array(revised), C("__rows"))
+    values = F.transform("__rows", lambda row: F.struct(*[row[c].alias(c) for c in _VALUES]))
     merged = F.map_zip_with("scores", "__changes", lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     out = out.withColumns(
         {
-            "tail": F.slice(tail, F.greatest(F.size(tail) - TAIL + 1, F.lit(1)), F.lit(TAIL)),
+            "tail": _window(F.concat("tail", values), TAIL),
+            "recent": _window(recent, RECENT),
             "bars": C("bars") + F.size("__rows"),
             "last_date": F.element_at("__rows", -1)["trade_date"],
             "__old": F.sort_array(F.map_keys("scores")),
@@ -427,37 +510,48 @@ class Report:
 
 def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame | None = None) -> Report:
     """Fold a delivery of bars into the stored tables, in one transaction."""
+    with _Temporary() as temporary:
+        return _folded(store, delivered, facts, again, temporary)
+
+
+def _folded(
+    store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame | None, temporary: _Temporary
+) -> Report:
     t = store.transaction()
     state = t.read("state")
-    bars, rebuilt, unknown = _sorted_out(t, delivered, state, facts, again)
+    bars, rebuilt, unknown = _sorted_out(t, delivered, state, facts, again, temporary)
     n_rebuilt = rebuilt.count()
     if unknown.isEmpty() and n_rebuilt == 0:
         return Report(store.version(), 0, 0, 0, 0)
 
     # What the fold computes, each piece stored before it is used twice.
-    bars = materialize(bars, "fold_bars")
+    bars = temporary.store(bars, "fold_bars")
     spark = store.spark
 
     def panel_and_signals() -> tuple[DataFrame, DataFrame]:
-        rows = materialize(_short_panel(bars, state, facts), "fold_panel")
-        return rows, materialize(_signal_rows(rows, facts), "fold_signals")
+        rows = temporary.store(_short_panel(bars, state, facts), "fold_panel")
+        return rows, temporary.store(_signal_rows(rows, facts), "fold_signals")
 
     def built_again() -> dict[str, DataFrame]:
         # Bars first: symbols that are built again read them from here.
         t.append(unknown, "bars")
-        return _built(t.read("bars").join(rebuilt, "symbol", "left_semi"), facts) if n_rebuilt else {}
+        return _built(t.read("bars").join(rebuilt, "symbol", "left_semi"), facts, temporary) if n_rebuilt else {}
 
     (panel, fresh), again_built, *stored = at_once(spark, panel_and_signals, built_again, *[
-        lambda f=f: materialize(_periods_onward(bars, state, f), f"fold_{f.name}") for f in FRAMES
+        lambda f=f: temporary.store(_periods_onward(bars, state, f), f"fold_{f.name}") for f in FRAMES
     ])
     periods = {f.name: df for f, df in zip(FRAMES, stored)}
     folded = state.join(bars.select("symbol").distinct(), "symbol", "left_semi")
-    after = materialize(_next_state(folded, fresh, periods), "fold_state")
+    after = temporary.store(_next_state(folded, fresh, periods), "fold_state")
     n_folded, n_moved, n_reached = after.agg(
         F.count("*"), F.count_if("__moved"), F.count_if("__reached")
     ).first()
-    moved, reached = after.filter("__moved").select("symbol", "scores"), after.filter("__reached").select("symbol")
-    revised = fresh.filter(~C("__new")).select(*KEY)
+    # Stored by themselves, so that their size is known and the panels they change need no shuffle.
+    moved, revised = at_once(
+        spark, lambda: temporary.store(after.filter("__moved").select("symbol", "scores"), "fold_moved"),
+        lambda: temporary.store(fresh.filter(~C("__new")).select(*KEY), "fold_revised"),
+    )
+    reached = after.filter("__reached").select("symbol")
 
     ranked = fresh.join(after.select("symbol", "scores"), "symbol")
     timeframe_bars = bars.join(reached, "symbol", "left_anti") if n_reached else bars
@@ -484,7 +578,7 @@ def apply(store: Snapshots, delivered: DataFrame, facts: Facts, again: DataFrame
 
     def signal_rows() -> None:
         if n_rebuilt or n_moved or not revised.isEmpty():
-            _rewrite_signals(t, rebuilt, moved, revised)
+            _rewrite_signals(t, rebuilt, moved, revised, temporary)
         t.append(_together(parts["signals"]), "signals")
 
     def states() -> None:
@@ -505,7 +599,9 @@ def _together(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _rewrite_signals(t: Transaction, rebuilt: DataFrame, moved: DataFrame, revised: DataFrame) -> None:
+def _rewrite_signals(
+    t: Transaction, rebuilt: DataFrame, moved: DataFrame, revised: DataFrame, temporary: _Temporary
+) -> None:
     """Take out rows of symbols built again and revised rows, and give the rows of symbols with
     another set of scores their new ranks; files without such rows stay."""
     hit = rebuilt.unionByName(moved.select("symbol")).unionByName(revised.select("symbol")).distinct()
@@ -516,4 +612,4 @@ def _rewrite_signals(t: Transaction, rebuilt: DataFrame, moved: DataFrame, revis
         rank = F.when(C("scores").isNull(), C("composite_rank")).otherwise(_rank(C("composite_score"), C("scores")))
         return ranked.withColumn("composite_rank", rank)
 
-    t.rewrite("signals", materialize(hit, "fold_hit"), change)
+    t.rewrite("signals", temporary.store(hit, "fold_hit"), change)

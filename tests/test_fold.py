@@ -4,10 +4,13 @@ import math
 import threading
 import uuid
 from datetime import date
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barquet.functions.windows import roll, series
 from barquet.operators import price_action, timeframes
 from barquet.plans.daily import feature_table, signal_table
 from barquet.session import at_once, shared_folder
@@ -188,3 +191,37 @@ def test_independent_jobs_run_side_by_side(spark):
     with pytest.raises(ZeroDivisionError):
         at_once(spark, lambda: 1 // 0, lambda: done.append(spark.range(3).count()))
     assert done == [3]
+
+
+def test_only_recent_rows_go_through_the_windows(grown):
+    store, facts, _, _, _, batch = grown
+    bars = batch(3)
+    panel = fold._short_panel(bars, store.read("state"), facts)
+    per_symbol = panel.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("__new").alias("new")).collect()
+    assert per_symbol and all(r.n - r.new <= fold.RECENT < 60 < fold.TAIL for r in per_symbol)
+
+
+def test_windows_over_arrays_equal_rolling_ones(spark, panel):
+    closes = [3.0, 9.0, None, 1.0, 7.0, 2.0, None, None, 5.0]
+    rows = spark.createDataFrame([("A", k, c) for k, c in enumerate(closes)], "symbol string, trade_date int, x double")
+    values = F.collect_list(F.struct("x")).over(series().rowsBetween(Window.unboundedPreceding, 0))["x"]
+    for n, need, shift in ((3, 2, 0), (4, 3, 1), (20, 5, 1), (1, 1, 0)):
+        got = rows.withColumn("all", values).select(
+            "trade_date", fold._extreme(F.array_max, F.col("all"), n, need, shift).alias("top"),
+            roll(F.max, F.col("x"), n, need, shift).alias("want"),
+            fold._back(F.col("all"), 2).alias("back"))
+        for r in got.collect():
+            assert r.top == r.want, (n, need, shift, r)
+            assert r.back == (closes[r.trade_date - 2] if r.trade_date >= 2 else None)
+
+
+def test_a_delivery_leaves_no_tables_of_its_own(spark, panel, monkeypatch):
+    folder = f"/tmp/fold-{uuid.uuid4().hex}"
+    monkeypatch.setattr("barquet.session.shared_folder", lambda _: folder)
+    bars = panel({"A.NS": [100 + k % 9 for k in range(60)], "B.NS": [50 + k % 7 for k in range(60)]})
+    store = Snapshots(spark, f"{folder}/store")
+    last = F.lit(weekdays(60)[-1])
+    fold.build(store, bars.filter(F.col("trade_date") < last), fold.Facts(), files=4)
+    assert fold.apply(store, bars.filter(F.col("trade_date") == last), fold.Facts()).folded == 2
+    assert list(Path(folder, "tables").iterdir()) == []
+    assert store.read("signals").count() == 120

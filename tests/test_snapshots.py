@@ -208,3 +208,24 @@ def test_dates_after_changes(spark, store):
         t.delete("t", spark.createDataFrame([("A", date(2024, 1, 3))], "symbol string, trade_date date"))
     got = sorted(r[0] for r in store.dates("t").collect())
     assert got == [date(2024, 1, d) for d in (1, 2, 4, 5, 9)] + [date(2024, 2, 1)]
+
+
+def test_vacuum_keeps_what_the_newest_version_reads(spark, store):
+    with store.transaction() as t:
+        t.rebuild(panel(spark), "t", ("symbol",), 4)
+        t.rebuild(rows(spark, ("A", 1, 1.0)), "u")
+    with store.transaction() as t:
+        t.delete("t", rows(spark, ("B", 3, 0.0)).select("symbol", "trade_date"))
+        t.rebuild(rows(spark, ("C", 1, 1.0)), "u")
+    running = store.transaction()
+    running.append(rows(spark, ("Z", 1, 1.0)), "u")
+    want = content(store.read("t"))
+    assert store.vacuum(keep=2) == 0
+    gone = store.vacuum()
+    assert gone >= 2 and store.vacuum() == 0
+    assert store.version() == 2 and content(store.read("t")) == want and len(want) == 19
+    assert content(store.read("u")) == [("C", 1, 1.0)]
+    with pytest.raises(Exception):
+        store.read("u", 1)
+    running.commit()
+    assert content(store.read("u")) == [("C", 1, 1.0), ("Z", 1, 1.0)]

@@ -42,7 +42,8 @@ def deliveries(s: Stages) -> DataFrame:
 
 
 def grown(s: Stages) -> Snapshots:
-    """The tables after the first build and three deliveries, each offered twice."""
+    """The tables after the first build and three deliveries, the last one offered twice. Nobody reads
+    the versions before."""
     key = s._key("grown")
     if key not in _GROWN:
         store, facts = _store(s, "grown"), fold.Facts(s.earnings(), s.index_bars(), s.fundamentals())
@@ -51,6 +52,7 @@ def grown(s: Stages) -> Snapshots:
         fold.build(store, batch(0), facts)
         for n in (1, 2, 3):
             fold.apply(store, batch(n), facts)
+            store.vacuum()
         fold.apply(store, batch(3), facts)
         _GROWN[key] = store
     return _GROWN[key]
